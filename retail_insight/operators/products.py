@@ -1,0 +1,162 @@
+"""Product clusters: category profiles, clustering, 2-D projection, contents."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.errors import PySparkException
+from pyspark.ml.feature import PCA, PCAModel
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from retail_insight.functions.measures import average
+from retail_insight.operators.clustering import (
+    Choice,
+    features,
+    fit_kmeans,
+    fit_scaler,
+    select_k,
+    silhouette,
+    training_rows,
+)
+from retail_insight.operators.lookup import spread_lookup
+from retail_insight.operators.sampling import SEED
+from retail_insight.schema import PRODUCT_INPUT, PRODUCT_METRICS, require
+from retail_insight.sources.workspace import cut_lineage
+
+# Most clusters tried, and the score of a k that has no silhouette.
+MAX_PRODUCT_K = 10
+NO_SILHOUETTE = -1.0
+LIST_SIZE = 1000
+
+
+def product_profile(df: DataFrame) -> DataFrame:
+    """Mean price, mean quantity, revenue and return rate per category."""
+    require(df, *PRODUCT_INPUT)
+    return (
+        df.groupBy("product_category")
+        .agg(
+            average("product_price").alias("avg_price"),
+            average("quantity").alias("avg_quantity"),
+            F.sum("total_amount").cast("double").alias("total_revenue"),
+            average("returns").alias("avg_returns_rate"),
+        )
+        .na.drop()
+    )
+
+
+@dataclass
+class ProductClusters:
+    """``assigned`` is the profile with ``features`` and ``prediction``."""
+
+    choice: Choice
+    automatic: bool
+    assigned: DataFrame
+
+    @property
+    def scores(self) -> DataFrame:
+        return self.choice.scores(self.assigned)
+
+
+def candidate_ks(categories: int) -> list[int]:
+    """The k an automatic run tries: 2 up to one below the category count, at most 10."""
+    if categories < 2:
+        raise ValueError("a single category cannot be clustered")
+    return list(range(2, min(categories - 1, MAX_PRODUCT_K) + 1)) or [2]
+
+
+def product_clusters(profile: DataFrame, k: int = 0, seed: int = SEED) -> ProductClusters:
+    """Cluster category profiles; ``k`` of 0 or 1 chooses k by silhouette.
+
+    A given k not below the number of categories is lowered to one below it (at
+    least 2). Its score is null when no silhouette can be computed.
+    """
+    require(profile, "product_category", *PRODUCT_METRICS)
+    profile = cut_lineage(profile.na.drop(subset=list(PRODUCT_METRICS)))
+    categories = profile.count()
+    if categories == 0:
+        raise ValueError("no usable rows: categories with all four metrics")
+    scaler = fit_scaler(profile, PRODUCT_METRICS, with_mean=True)
+    everything = scaler.transform(features(profile, PRODUCT_METRICS))
+    scaled = training_rows(everything, "product_category", categories)
+    try:
+        if k <= 1:
+            choice = select_k(scaled, candidate_ks(categories), on_error=NO_SILHOUETTE, seed=seed)
+        else:
+            choice = _given_k(scaled, k if k < categories else max(2, categories - 1), categories, seed)
+    finally:
+        scaled.unpersist()
+    return ProductClusters(choice, k <= 1, choice.model.transform(everything))
+
+
+def _given_k(scaled: DataFrame, k: int, categories: int, seed: int) -> Choice:
+    model = fit_kmeans(scaled, k, seed)
+    score = None
+    if categories > 1 and k <= categories:
+        try:
+            score = silhouette(model.transform(scaled))
+        except PySparkException:
+            score = None
+    return Choice(k, score, model, [(k, score)])
+
+
+@dataclass
+class Projection:
+    """``points`` adds ``x`` and ``y``; ``variance`` is the share each explains."""
+
+    points: DataFrame
+    variance: list[float]
+
+
+def _signs(model: PCAModel) -> list[float]:
+    """Sign per component that makes its largest loading positive."""
+    loadings = model.pc.toArray()
+    return [1.0 if column[abs(column).argmax()] >= 0 else -1.0 for column in loadings.T]
+
+
+def product_pca(assigned: DataFrame) -> Projection:
+    """First two principal components of the scaled features, with a fixed sign."""
+    model = PCA(k=2, inputCol="features", outputCol="pca_features").fit(assigned)
+    sign_x, sign_y = _signs(model)
+    xy = vector_to_array("pca_features")
+    points = (
+        model.transform(assigned)
+        .withColumn("x", xy[0] * sign_x)
+        .withColumn("y", xy[1] * sign_y)
+        .drop("pca_features")
+        .na.drop(subset=["x", "y"])
+    )
+    return Projection(points, [float(v) for v in model.explainedVariance])
+
+
+def cluster_contents(clustered: DataFrame, size: int = LIST_SIZE) -> DataFrame:
+    """Sorted category lists and category count per cluster.
+
+    A cluster of up to ``size`` categories is one row. A larger one is cut into
+    lists of about that size (``part`` numbers them), so no task ever holds
+    more than one list of a cluster.
+    """
+    items = clustered.select("prediction", "product_category")
+    sizes = items.groupBy("prediction").agg(F.count(F.lit(1)).alias("num_products"))
+    parts = F.ceil(F.col("num_products") / size)
+    return (
+        spread_lookup(items, sizes, "prediction", "product_category")
+        .withColumn("part", F.pmod(F.xxhash64("product_category"), parts).cast("int"))
+        .groupBy("prediction", "part")
+        .agg(
+            F.sort_array(F.collect_list("product_category")).alias("products"),
+            F.max("num_products").alias("num_products"),
+        )
+        .orderBy("prediction", "part")
+    )
+
+
+def category_names(clustered: DataFrame) -> DataFrame:
+    """Distinct categories in order."""
+    return clustered.select("product_category").distinct().orderBy("product_category")
+
+
+def cluster_ids(clustered: DataFrame) -> DataFrame:
+    """Distinct cluster ids in order."""
+    return clustered.select("prediction").distinct().orderBy("prediction")
