@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from retail_insight.schema import HEADER_NAMES, UNKNOWN
 
-PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+# A text that is a number as a whole, or else each character no number has.
+NUMBER_OR_NOISE = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*$|[^0-9.\-]"
 
 
 def normalize_columns(df: DataFrame, mapping: dict[str, str] = HEADER_NAMES) -> DataFrame:
@@ -31,11 +32,10 @@ def clean_money(value: Column, parens_negative: bool = False) -> Column:
     Text that already is a number is cast as it stands, so scientific notation
     survives. Only other text loses its currency signs and separators first.
     """
-    text = F.trim(value.cast("string"))
-    stripped = F.regexp_replace(text, r"[^0-9.\-]", "")
-    number = F.when(text.rlike(PLAIN_NUMBER), text).otherwise(stripped).try_cast("double")
+    text = value.cast("string")
+    number = F.regexp_replace(text, NUMBER_OR_NOISE, "$1").try_cast("double")
     if parens_negative:
-        number = F.when(text.rlike(r"^\(.*\)$"), -F.abs(number)).otherwise(number)
+        number = F.when(text.rlike(r"^\s*\(.*\)\s*$"), -F.abs(number)).otherwise(number)
     return number
 
 
@@ -54,33 +54,40 @@ def clean_flag(value: Column) -> Column:
 
 
 def normalize_ts_text(value: Column) -> Column:
-    """Trim, turn ISO markers and no-break spaces into blanks, collapse runs."""
+    """Trim, then turn ISO markers and every run of blanks into one space."""
     text = F.trim(value.cast("string"))
-    text = F.regexp_replace(text, "T|Z$", " ")
-    text = F.regexp_replace(text, r"[\u00A0\u2007\u202F]", " ")
-    return F.regexp_replace(text, r"\s+", " ")
+    return F.regexp_replace(text, r"(?:T|Z$|[\s\u00A0\u2007\u202F])+", " ")
 
 
-# Fixed values: (shape, formats tried in turn) for whole-text parsing. Ambiguous
-# day/month text reads month first. The shape keeps rows away from formats that
-# cannot fit, since every failed parse costs an exception inside the JVM.
+# Shape and format of each layout for whole-text parsing, in the
+# order they are tried. Text that could be either reads month first. The shapes
+# keep rows away from formats that cannot fit, because every failed parse costs
+# an exception inside the JVM.
+MONTH, DAY = r"(?:0?[1-9]|1[0-2])", r"\d{1,2}"
+MONTH_FIRST, DAY_FIRST = rf"{MONTH}/{DAY}/\d{{4}}", rf"{DAY}/{MONTH}/\d{{4}}"
 STRICT_FORMATS = (
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2} [AaPp][Mm]$", ("M/d/yyyy h:mm a",)),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2} [AaPp][Mm]$", ("M/d/yyyy h:mm:ss a",)),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", ("M/d/yyyy H:mm", "d/M/yyyy H:mm")),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$", ("M/d/yyyy H:mm:ss", "d/M/yyyy H:mm:ss")),
-    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$", ("yyyy-MM-dd HH:mm:ss",)),
-    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}$", ("yyyy-MM-dd HH:mm",)),
-    (r"^\d{4}-\d{2}-\d{2}$", ("yyyy-MM-dd",)),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", ("M/d/yyyy", "d/M/yyyy")),
+    (rf"^{MONTH_FIRST} \d{{1,2}}:\d\d [AaPp][Mm]$", "M/d/yyyy h:mm a"),
+    (rf"^{MONTH_FIRST} \d{{1,2}}:\d\d:\d\d [AaPp][Mm]$", "M/d/yyyy h:mm:ss a"),
+    (rf"^{MONTH_FIRST} \d{{1,2}}:\d\d$", "M/d/yyyy H:mm"),
+    (rf"^{MONTH_FIRST} \d{{1,2}}:\d\d:\d\d$", "M/d/yyyy H:mm:ss"),
+    (rf"^{DAY_FIRST} \d{{1,2}}:\d\d$", "d/M/yyyy H:mm"),
+    (rf"^{DAY_FIRST} \d{{1,2}}:\d\d:\d\d$", "d/M/yyyy H:mm:ss"),
+    (r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d$", "yyyy-MM-dd HH:mm:ss"),
+    (r"^\d{4}-\d\d-\d\d \d\d:\d\d$", "yyyy-MM-dd HH:mm"),
+    (r"^\d{4}-\d\d-\d\d$", "yyyy-MM-dd"),
+    (rf"^{MONTH_FIRST}$", "M/d/yyyy"),
+    (rf"^{DAY_FIRST}$", "d/M/yyyy"),
 )
 
-# The leading part that is read, and the formats tried on it, when
-# text after a readable start is to be ignored.
+# The leading part that is read and its format, when text after a
+# readable start is to be ignored.
+LONG_MONTH = r"0*(?:[1-9]|1[0-2])"
 PREFIX_FORMATS = (
-    (r"^(\d+/\d+/\d+ \d+:\d+)", ("M/d/y H:m", "d/M/y H:m")),
-    (r"^(\d+-\d+-\d+)", ("y-M-d",)),
-    (r"^(\d+/\d+/\d+)", ("M/d/y", "d/M/y")),
+    (rf"^({LONG_MONTH}/\d+/\d+ \d+:\d+)", "M/d/y H:m"),
+    (rf"^(\d+/{LONG_MONTH}/\d+ \d+:\d+)", "d/M/y H:m"),
+    (r"^(\d+-\d+-\d+)", "y-M-d"),
+    (rf"^({LONG_MONTH}/\d+/\d+)", "M/d/y"),
+    (rf"^(\d+/{LONG_MONTH}/\d+)", "d/M/y"),
 )
 
 
@@ -105,37 +112,36 @@ def _runs(fmt: str) -> str:
     return "".join(p if p.startswith("'") else re.sub(r"([A-Za-z])\1+", r"\1", p) for p in parts)
 
 
-def parse_event_time(value: Column, user_fmt: str | None = None, mode: str = "strict") -> Column:
+def _read_shape(text: Column, shape: str, fmt: str, group: int) -> Column:
+    """Timestamp in the part of the text that has the shape, else null."""
+    part = F.regexp_extract(text, shape, group) if group else text
+    return F.when(text.rlike(shape), F.try_to_timestamp(part, F.lit(fmt)))
+
+
+def parse_event_time(text: Column, user_fmt: str | None = None, mode: str = "strict") -> Column:
     """Timestamp text in any of the known layouts to a timestamp, else null.
 
     ``strict`` matches whole texts and keeps AM/PM, seconds and ISO times.
     ``prefix`` reads the longest known leading part and ignores what follows,
-    which is what lenient date parsers do.
+    which is what lenient date parsers do. A user format is tried first.
+
+    ``text`` appears in every try, so it should be a column that already holds
+    ``trim(normalize_ts_text(...))`` and not that expression.
     """
-    text = F.trim(normalize_ts_text(value))
+    shape = _shape_of(user_fmt) if user_fmt else None
     if mode == "strict":
-        tries = [
-            F.when(text.rlike(shape), F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats]))
-            for shape, formats in STRICT_FORMATS
-        ]
-        if user_fmt:
-            shape = _shape_of(user_fmt)
-            parsed = F.try_to_timestamp(text, F.lit(user_fmt))
-            tries.insert(0, F.when(text.rlike(f"^{shape}$"), parsed) if shape else parsed)
+        rules = [(s, fmt, 0) for s, fmt in STRICT_FORMATS]
+        if shape:
+            rules.insert(0, (f"^{shape}$", user_fmt, 0))
     elif mode == "prefix":
-        rules = list(PREFIX_FORMATS)
-        shape = _shape_of(user_fmt) if user_fmt else None
+        rules = [(s, fmt, 1) for s, fmt in PREFIX_FORMATS]
         if shape:
-            rules.insert(0, (f"^({shape})", (_runs(user_fmt),)))
-        tries = [
-            F.try_to_timestamp(F.regexp_extract(text, shape, 1), F.lit(f))
-            for shape, formats in rules
-            for f in formats
-        ]
-        if user_fmt and not shape:
-            tries.insert(0, F.try_to_timestamp(text, F.lit(user_fmt)))
+            rules.insert(0, (f"^({shape})", _runs(user_fmt), 1))
     else:
         raise ValueError(f"mode must be 'strict' or 'prefix', not {mode!r}")
+    tries = [_read_shape(text, *rule) for rule in rules]
+    if user_fmt and not shape:
+        tries.insert(0, F.try_to_timestamp(text, F.lit(user_fmt)))
     return F.coalesce(*tries)
 
 

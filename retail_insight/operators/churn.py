@@ -6,32 +6,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retail_insight.functions.measures import recency_days
-from retail_insight.schema import require
+from retail_insight.schema import has, require
 
-# A customer with at least this share of the rows is handled apart; there can
-# be no more than 1000 of them, however large the data.
+# A customer with at least a thousandth of the rows is handled apart. There can
+# be no more than a thousand of them, however large the data.
 HOT_SHARE = 1000
 SPREAD = 1024
 
 
-def derive_churn(df: DataFrame, cutoff_days: int = 180) -> DataFrame:
+def customer_activity(df: DataFrame) -> DataFrame:
+    """Last purchase and row counts per customer; one row in all without customers.
+
+    ``n_undated`` and ``n_unflagged`` count the rows without a date and without a
+    churn flag, so the sums over this table describe the whole input.
+    """
+    flag = F.col("churn") if has(df, "churn") else F.lit(None)
+    keys = ["customer_id"] if has(df, "customer_id") else []
+    return df.groupBy(*keys).agg(
+        F.max("purchase_ts").alias("last_purchase"),
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(F.col("purchase_ts").isNull()).alias("n_undated"),
+        F.count_if(flag.isNull()).alias("n_unflagged"),
+    )
+
+
+def derive_churn(
+    df: DataFrame, cutoff_days: int = 180, activity: DataFrame | None = None
+) -> DataFrame:
     """Fill null ``churn`` with 1 when the last purchase is over ``cutoff_days`` old.
 
     Given flags are kept. Rows without a customer stay null, and when no date
     at all is known every null becomes 0. An absent churn column counts as null.
+    ``activity`` is ``customer_activity(df)`` when the caller already has it.
     """
     require(df, "customer_id", "purchase_ts")
-    if "churn" not in df.columns:
+    if not has(df, "churn"):
         df = df.withColumn("churn", F.lit(None).cast("int"))
-    columns = df.columns
-
-    last = (
-        df.where(F.col("customer_id").isNotNull())
-        .groupBy("customer_id")
-        .agg(F.max("purchase_ts").alias("_last"), F.count(F.lit(1)).alias("_rows"))
-    )
-    total = last.agg(F.sum("_rows")).scalar()
-    hot = last.where(F.col("_rows") * HOT_SHARE >= total).select(
+    activity = customer_activity(df) if activity is None else activity
+    last = activity.select("customer_id", F.col("last_purchase").alias("_last"), "n_rows")
+    # Both totals use the same two columns as the joins below, so one grouping
+    # of the purchases serves them all.
+    totals = last.agg(
+        F.struct(
+            F.max(F.struct("_last", "n_rows"))["_last"].alias("newest"),
+            F.sum("n_rows").alias("rows"),
+        )
+    ).scalar()
+    hot = last.where(F.col("n_rows") * HOT_SHARE >= totals["rows"]).select(
         "customer_id", F.col("_last").alias("_hot_last"), F.lit(True).alias("_hot")
     )
     # Hot customers get their date from the broadcast, so their rows need no
@@ -40,15 +61,16 @@ def derive_churn(df: DataFrame, cutoff_days: int = 180) -> DataFrame:
     spread = F.when(
         F.col("_hot") | F.col("customer_id").isNull(), 1 + F.spark_partition_id() % SPREAD
     ).otherwise(0)
-    tagged = df.join(F.broadcast(hot), "customer_id", "left").withColumn("_spread", spread)
-    joined = tagged.join(
-        last.select("customer_id", "_last", F.lit(0).alias("_spread")),
-        ["customer_id", "_spread"],
-        "left",
+    joined = (
+        df.join(F.broadcast(hot), "customer_id", "left")
+        .withColumn("_spread", spread)
+        .join(
+            last.select("customer_id", "_last", F.lit(0).alias("_spread")),
+            ["customer_id", "_spread"],
+            "left",
+        )
     )
-
-    newest = df.agg(F.max("purchase_ts")).scalar()
-    days = recency_days(newest, F.coalesce("_hot_last", "_last"))
-    derived = F.when(newest.isNull(), 0).otherwise((days > cutoff_days).cast("int"))
+    days = recency_days(totals["newest"], F.coalesce("_hot_last", "_last"))
+    derived = F.when(totals["newest"].isNull(), 0).otherwise((days > cutoff_days).cast("int"))
     churn = F.coalesce(F.col("churn").cast("int"), derived)
-    return joined.withColumn("churn", churn).select(*columns)
+    return joined.withColumn("churn", churn).select(*df.columns)

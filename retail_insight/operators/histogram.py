@@ -36,45 +36,35 @@ def histogram(
     # One repeated value gets a bin range of width one around it.
     pad = F.when(low == high, 0.5).otherwise(0.0)
     auto = F.floor(F.greatest(F.lit(AUTO_BINS[0]), F.least(F.lit(AUTO_BINS[1]), F.sqrt(F.sum("w")))))
-    shape = values.agg(
-        F.struct(
+    edge = "transform(sequence(0, bins), i -> IF(i = bins, high, low + i * ((high - low) / bins)))"
+    shape = (
+        values.agg(
             (low - pad).alias("low"),
             (high + pad).alias("high"),
             (F.lit(bins) if bins else auto).cast("int").alias("bins"),
         )
-    ).scalar()
-
-    def edge(i):
-        width = (F.col("s.high") - F.col("s.low")) / F.col("s.bins")
-        return F.when(i == F.col("s.bins"), F.col("s.high")).otherwise(F.col("s.low") + i * width)
-
-    # The division may land a value that lies on an edge one bin off, so the
+        .where(F.col("low").isNotNull())
+        .select(F.struct("low", "high", "bins", F.expr(edge).alias("edges")).alias("s"))
+    )
+    s = F.col("s")
+    # The division may put a value that lies on an edge one bin off, so the
     # guess is checked against the edges themselves.
     guess = F.least(
-        F.floor((F.col("x") - F.col("s.low")) * F.col("s.bins") / (F.col("s.high") - F.col("s.low"))),
-        F.col("s.bins") - 1,
-    )
+        F.floor((F.col("x") - s["low"]) * s["bins"] / (s["high"] - s["low"])), s["bins"] - 1
+    ).cast("int")
+    above = (F.col("x") >= s["edges"][F.col("g") + 1]) & (F.col("g") < s["bins"] - 1)
+    below = F.col("x") < s["edges"][F.col("g")]
     counted = (
-        values.withColumn("s", shape)
+        values.withColumn("s", shape.scalar())
         .withColumn("g", guess)
-        .select(
-            F.when(F.col("x") < edge(F.col("g")), F.col("g") - 1)
-            .when((F.col("x") >= edge(F.col("g") + 1)) & (F.col("g") < F.col("s.bins") - 1), F.col("g") + 1)
-            .otherwise(F.col("g"))
-            .cast("int")
-            .alias("bin"),
-            "w",
-        )
+        .select((F.col("g") + F.when(above, 1).when(below, -1).otherwise(0)).alias("bin"), "w")
         .groupBy("bin")
         .agg(F.sum("w").alias("n"))
     )
-    frame = (
-        df.sparkSession.range(0, bins or AUTO_BINS[1], 1, 1)
-        .select(F.col("id").cast("int").alias("bin"))
-        .withColumn("s", shape)
-        .where(F.col("bin") < F.col("s.bins"))
-        .where(F.col("s.low").isNotNull())
-        .select("bin", ((edge(F.col("bin")) + edge(F.col("bin") + 1)) / 2).alias("center"))
+    frame = shape.select(
+        F.posexplode(
+            F.expr("transform(sequence(1, s.bins), i -> (s.edges[i - 1] + s.edges[i]) / 2)")
+        ).alias("bin", "center")
     )
     return (
         frame.join(counted, "bin", "left")

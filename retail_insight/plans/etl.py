@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from retail_insight.functions import clean
 from retail_insight.functions.measures import null_ratio
-from retail_insight.operators.churn import derive_churn
+from retail_insight.operators.churn import customer_activity, derive_churn
 from retail_insight.schema import CATEGORICAL, has, require
 from retail_insight.sources.tables import read_raw, write_purchases
-from retail_insight.sources.workspace import drop_staged, staged
+from retail_insight.sources.workspace import cut_lineage
 
 # Share of unknown churn above which it is derived, and share of
 # unreadable dates from which the export is reported as unparseable.
@@ -30,11 +30,11 @@ def typed_purchases(
     """Canonical names and types, row by row; absent columns stay absent.
 
     ``purchase_ts`` and ``purchase_date`` always exist, null without a date
-    column. ``customer_id`` stays text until ``finish`` has seen all of it.
+    column. ``customer_id`` stays text, since its type depends on all of it.
     """
     df = clean.normalize_columns(raw)
     typed = {
-        "customer_age": lambda c: clean.clean_money(c),
+        "customer_age": lambda c: c.try_cast("double"),
         "product_price": lambda c: clean.clean_money(c, parens_negative),
         "total_amount": lambda c: clean.clean_money(c, parens_negative),
         "quantity": clean.clean_int,
@@ -43,11 +43,13 @@ def typed_purchases(
         "customer_id": lambda c: c.cast("string"),
         "purchase_date_raw": clean.normalize_ts_text,
     }
+    df = df.withColumns({c: rule(F.col(c)) for c, rule in typed.items() if has(df, c)})
     if has(df, "purchase_date_raw"):
-        ts = clean.parse_event_time(F.col("purchase_date_raw"), ts_format, mode)
+        df = df.withColumn("_text", F.trim("purchase_date_raw"))
+        ts = clean.parse_event_time(F.col("_text"), ts_format, mode)
     else:
         ts = F.lit(None).cast("timestamp")
-    df = df.withColumns({c: rule(F.col(c)) for c, rule in typed.items() if has(df, c)} | {"purchase_ts": ts})
+    df = df.withColumn("purchase_ts", ts).drop("_text")
     return df.withColumn("purchase_date", clean.event_date(F.col("purchase_ts")))
 
 
@@ -59,35 +61,20 @@ def parse_quality(df: DataFrame) -> DataFrame:
     )
 
 
-def whole_table_facts(typed: DataFrame) -> Row:
-    """What only the whole table can tell, in one pass: date, churn and id shares."""
-    churn = null_ratio("churn") if has(typed, "churn") else F.lit(None).cast("double")
+def whole_table_facts(activity: DataFrame) -> Row:
+    """What only the whole table can tell: null shares of date and churn, id type."""
     whole = F.lit(False)
-    if has(typed, "customer_id"):
+    if has(activity, "customer_id"):
         ids = F.col("customer_id")
         whole = F.count(ids) == F.count(ids.try_cast("long"))
-    return typed.agg(
-        null_ratio("purchase_ts").alias("ts_nulls"),
-        churn.alias("churn_nulls"),
+    total = F.sum("n_rows")
+    return activity.agg(
+        (F.sum("n_undated") / total).alias("ts_nulls"),
+        (F.sum("n_unflagged") / total).alias("churn_nulls"),
         whole.alias("whole_ids"),
     ).first()
 
 
-def finish(typed: DataFrame, known: Row) -> DataFrame:
-    """Apply the whole-table decisions: id type, churn fill, unknown categories."""
-    df = typed
-    if known["whole_ids"]:
-        df = df.withColumn("customer_id", F.col("customer_id").try_cast("long"))
-    if known["churn_nulls"] is None or known["churn_nulls"] > CHURN_FILL_ABOVE:
-        df = derive_churn(df, CHURN_CUTOFF_DAYS)
-    return clean.fill_unknown(df, CATEGORICAL)
-
-
-def _report_dates(known: Row) -> None:
-    if known["ts_nulls"] is not None and known["ts_nulls"] >= DATES_UNREADABLE_FROM:
-        warnings.warn("no purchase date could be read; check the date format", stacklevel=3)
-
-
 def etl(
     raw: DataFrame,
     ts_format: str | None = None,
@@ -96,13 +83,20 @@ def etl(
 ) -> DataFrame:
     """Raw export to purchases, as a DataFrame.
 
-    One aggregate over the raw rows runs now and returns a single row to the
-    driver; everything else is lazy.
+    One pass over the raw rows runs now. It leaves one row per customer in the
+    checkpoint folder, from which both the whole-table decisions and the derived
+    churn are made; the returned DataFrame is the second and last pass.
     """
     typed = typed_purchases(raw, ts_format, mode, parens_negative)
-    known = whole_table_facts(typed)
-    _report_dates(known)
-    return finish(typed, known)
+    activity = cut_lineage(customer_activity(typed))
+    known = whole_table_facts(activity)
+    if known["ts_nulls"] is not None and known["ts_nulls"] >= DATES_UNREADABLE_FROM:
+        warnings.warn("no purchase date could be read; check the date format", stacklevel=2)
+    if known["churn_nulls"] is None or known["churn_nulls"] > CHURN_FILL_ABOVE:
+        typed = derive_churn(typed, CHURN_CUTOFF_DAYS, activity)
+    if known["whole_ids"]:
+        typed = typed.withColumn("customer_id", F.col("customer_id").try_cast("long"))
+    return clean.fill_unknown(typed, CATEGORICAL)
 
 
 def run_etl(
@@ -113,17 +107,6 @@ def run_etl(
     mode: str = "strict",
     parens_negative: bool = False,
 ) -> str:
-    """CSV export at ``src`` to the purchase table at ``dst``; returns ``dst``.
-
-    The typed rows are staged once in the shared folder. The whole-table facts,
-    the last purchase per customer and the final write then read Parquet columns
-    instead of parsing all the text three times over.
-    """
-    typed, stage = staged(
-        typed_purchases(read_raw(spark, src), ts_format, mode, parens_negative), "typed-purchases"
-    )
-    known = whole_table_facts(typed)
-    _report_dates(known)
-    write_purchases(finish(typed, known), dst)
-    drop_staged(spark, stage)
+    """CSV export at ``src`` to the purchase table at ``dst``; returns ``dst``."""
+    write_purchases(etl(read_raw(spark, src), ts_format, mode, parens_negative), dst)
     return dst

@@ -51,7 +51,9 @@ RAW_ORDERS = f"""raw_orders AS (
   FROM (SELECT *, o_orderdate + to_minutes(o_orderkey % 1440) AS t FROM orders))"""
 
 _EXPORT = ",\n         ".join(
-    f"{sql} AS {name.lower().replace(' ', '_')}" for name, sql in EXPORT_COLUMNS.items()
+    f"{sql} AS {name.lower().replace(' ', '_')}"
+    for made in EXPORT_COLUMNS.values()
+    for name, sql in made.items()
 )
 RAW_PURCHASES = f"""raw_purchases AS (
   SELECT {_EXPORT},

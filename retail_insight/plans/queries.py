@@ -175,8 +175,9 @@ def normalize_time_text(spark, d):
 
 
 def _parsed(spark, d, mode):
-    ts = clean.parse_event_time(F.col("purchase_date_raw"), mode=mode)
-    parsed = raw_orders(spark, d).select("o_orderkey", ts.alias("purchase_ts"))
+    text = F.trim(clean.normalize_ts_text(F.col("purchase_date_raw"))).alias("text")
+    ts = clean.parse_event_time(F.col("text"), mode=mode)
+    parsed = raw_orders(spark, d).select("o_orderkey", text).select("o_orderkey", ts.alias("purchase_ts"))
     return _ntz(
         parsed.select(
             "o_orderkey",

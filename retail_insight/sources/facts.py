@@ -14,16 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _purchases(line: DataFrame, order: DataFrame, customer: DataFrame, part: DataFrame) -> DataFrame:
     """Order lines with their order, customer and part.
 
     No join is hinted: Spark broadcasts a side once it has measured it as small,
     and otherwise splits the reducers of a hot key (adaptive skew join).
     """
-    line = table(spark, sf_dir, "lineitem")
-    order = table(spark, sf_dir, "orders")
-    customer = table(spark, sf_dir, "customer")
-    part = table(spark, sf_dir, "part")
     return (
         line.join(order, line.l_orderkey == order.o_orderkey)
         .join(customer, order.o_custkey == customer.c_custkey)
@@ -31,6 +27,9 @@ def _purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SOURCES = ("lineitem", "orders", "customer", "part")
+
+
 def _money(name: str):
     return F.col(name).cast("decimal(18,2)")
 
@@ -38,7 +37,7 @@ def _money(name: str):
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order line in canonical purchase columns."""
     third, quarter = F.col("c_custkey") % 3, F.col("c_custkey") % 4
-    return _purchases(spark, sf_dir).select(
+    return _purchases(*[table(spark, sf_dir, name) for name in SOURCES]).select(
         F.col("o_custkey").alias("customer_id"),
         F.col("c_name").alias("customer_name"),
         (F.col("c_custkey") % 110).cast("int").alias("customer_age"),
@@ -93,34 +92,44 @@ def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Columns of the export as SQL that both engines read alike.
+# Columns of the export by the table they are made on, as SQL that both engines
+# read alike.
 EXPORT_COLUMNS = {
-    "Customer ID": "CAST(o_custkey AS STRING)",
-    "Customer Name": "c_name",
-    "Customer Age": "CAST(c_custkey % 110 AS STRING)",
-    "Gender": "CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_mktsegment END",
-    "Product Category": "CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE p_type END",
-    "Product Price": "concat('$', CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS STRING))",
-    "Quantity": """CASE WHEN l_linenumber % 3 = 0 THEN concat(CAST(CAST(l_quantity AS INT) AS STRING), '.0')
-        WHEN l_linenumber % 3 = 1 THEN concat(' ', CAST(CAST(l_quantity AS INT) AS STRING), ' pcs')
-        ELSE CAST(CAST(l_quantity AS INT) AS STRING) END""",
-    "Total Purchase Amount": """CASE WHEN l_suppkey % 9 = 0 THEN 'n/a'
-        WHEN l_suppkey % 9 = 1 THEN concat('(', CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS STRING), ')')
-        ELSE concat('USD ', CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS STRING)) END""",
-    "Payment Method": "CASE WHEN o_custkey % 17 = 0 THEN NULL ELSE o_orderpriority END",
-    "Returns": """CASE WHEN l_returnflag = 'R' THEN '1' WHEN l_returnflag = 'A' THEN '0.0'
-        ELSE 'maybe' END""",
-    "Churn": "CASE WHEN c_custkey % 4 = 0 THEN '1' ELSE NULL END",
+    "orders": {
+        "Customer ID": "CAST(o_custkey AS STRING)",
+        "Payment Method": "CASE WHEN o_custkey % 17 = 0 THEN NULL ELSE o_orderpriority END",
+    },
+    "customer": {
+        "Customer Name": "c_name",
+        "Customer Age": "CAST(c_custkey % 110 AS STRING)",
+        "Gender": "CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_mktsegment END",
+        "Churn": "CASE WHEN c_custkey % 4 = 0 THEN '1' ELSE NULL END",
+    },
+    "part": {
+        "Product Category": "CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE p_type END",
+        "Product Price": "concat('$', CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS STRING))",
+    },
+    "lineitem": {
+        "Quantity": """CASE WHEN l_linenumber % 3 = 0 THEN concat(CAST(CAST(l_quantity AS INT) AS STRING), '.0')
+            WHEN l_linenumber % 3 = 1 THEN concat(' ', CAST(CAST(l_quantity AS INT) AS STRING), ' pcs')
+            ELSE CAST(CAST(l_quantity AS INT) AS STRING) END""",
+        "Total Purchase Amount": """CASE WHEN l_suppkey % 9 = 0 THEN 'n/a'
+            WHEN l_suppkey % 9 = 1 THEN concat('(', CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS STRING), ')')
+            ELSE concat('USD ', CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS STRING)) END""",
+        "Returns": """CASE WHEN l_returnflag = 'R' THEN '1' WHEN l_returnflag = 'A' THEN '0.0'
+            ELSE 'maybe' END""",
+    },
 }
 
 
 def raw_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as an export: source headers, every value as text."""
-    return (
-        _purchases(spark, sf_dir)
-        .withColumn("t", F.expr(ORDER_TIME))
-        .select(
-            *[F.expr(sql).alias(name) for name, sql in EXPORT_COLUMNS.items()],
-            F.expr(DATE_TEXT).alias("Purchase Date"),
-        )
-    )
+
+    def made_on(name: str) -> DataFrame:
+        source = table(spark, sf_dir, name)
+        if name == "orders":
+            source = source.withColumn("t", F.expr(ORDER_TIME)).withColumn("Purchase Date", F.expr(DATE_TEXT))
+        return source.withColumns({c: F.expr(sql) for c, sql in EXPORT_COLUMNS[name].items()})
+
+    columns = [c for made in EXPORT_COLUMNS.values() for c in made]
+    return _purchases(*[made_on(name) for name in SOURCES]).select(*columns, "Purchase Date")

@@ -34,15 +34,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
-
-def staged(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as a Parquet table in the shared folder and read it back."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
-def drop_staged(spark: SparkSession, path: str) -> None:
-    """Delete a table made by ``staged``."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
