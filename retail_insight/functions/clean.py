@@ -91,25 +91,28 @@ PREFIX_FORMATS = (
 )
 
 
+PATTERN_PARTS = re.compile(r"'(?P<quoted>[^']*)'|(?P<run>(?P<letter>[A-Za-z])(?P=letter)*)|(?P<other>.)")
+
+
 def _shape_of(fmt: str) -> str | None:
-    """Regular expression for a user format; None when a letter is not numeric."""
+    """Regular expression for a user format; None when it is not all numbers."""
     shape = ""
-    for quoted, letters, other in re.findall(r"'([^']*)'|([A-Za-z])\2*|([^A-Za-z'])", _runs(fmt)):
-        if letters == "a":
+    for part in PATTERN_PARTS.finditer(fmt):
+        run = part["run"]
+        if not run:
+            shape += re.escape(part["quoted"] or part["other"] or "'")
+        elif run == "a":
             shape += "[AaPp][Mm]"
-        elif letters and letters in "yMdHhmsS":
+        elif run[0] in "yMdHhmsS" and not run.startswith("MMM"):
             shape += r"\d+"
-        elif letters:
-            return None
         else:
-            shape += re.escape(quoted or other)
+            return None
     return shape
 
 
-def _runs(fmt: str) -> str:
-    """Cut each run of one pattern letter down to a single letter (yyyy -> y)."""
-    parts = re.split(r"('[^']*')", fmt)
-    return "".join(p if p.startswith("'") else re.sub(r"([A-Za-z])\1+", r"\1", p) for p in parts)
+def _loosened(fmt: str) -> str:
+    """The format with every number read at any width (yyyy and MM become y and M)."""
+    return PATTERN_PARTS.sub(lambda part: part["letter"] or part[0], fmt)
 
 
 def _read_shape(text: Column, shape: str, fmt: str, group: int) -> Column:
@@ -136,7 +139,7 @@ def parse_event_time(text: Column, user_fmt: str | None = None, mode: str = "str
     elif mode == "prefix":
         rules = [(s, fmt, 1) for s, fmt in PREFIX_FORMATS]
         if shape:
-            rules.insert(0, (f"^({shape})", _runs(user_fmt), 1))
+            rules.insert(0, (f"^({shape})", _loosened(user_fmt), 1))
     else:
         raise ValueError(f"mode must be 'strict' or 'prefix', not {mode!r}")
     tries = [_read_shape(text, *rule) for rule in rules]
