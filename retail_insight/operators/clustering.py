@@ -39,7 +39,11 @@ def scale_features(df: DataFrame, columns: Sequence[str], with_mean: bool) -> Da
 
 
 def fit_kmeans(scaled: DataFrame, k: int, seed: int = SEED) -> KMeansModel:
-    return KMeans(featuresCol="features", k=k, seed=seed).fit(scaled)
+    """Fit ``k`` clusters; fewer distinct rows than ``k`` give fewer clusters.
+
+    The block solver fails in that case, so the row solver is asked for.
+    """
+    return KMeans(featuresCol="features", k=k, seed=seed, solver="row").fit(scaled)
 
 
 def silhouette(assigned: DataFrame) -> float:
