@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.errors import PySparkException
 from pyspark.ml.clustering import KMeans, KMeansModel
@@ -17,6 +18,9 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from retail_insight.operators.sampling import SEED
 
+# What a model that cannot be fitted or scored raises.
+MODEL_ERRORS = (PySparkException, Py4JJavaError)
+
 ROWS_PER_TASK = 50_000
 SCORES = StructType([StructField("k", IntegerType()), StructField("silhouette", DoubleType())])
 
@@ -89,7 +93,7 @@ def select_k(
     ks: Sequence[int],
     on_error: float | None = None,
     seed: int = SEED,
-    parallelism: int = 8,
+    parallelism: int = 10,
 ) -> Choice:
     """Fit every k and keep the one with the highest silhouette.
 
@@ -104,7 +108,7 @@ def select_k(
         model = fit_kmeans(scaled, k, seed)
         try:
             score = silhouette(model.transform(scaled))
-        except PySparkException:
+        except MODEL_ERRORS:
             if on_error is None:
                 raise
             score = on_error

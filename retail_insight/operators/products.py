@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.errors import PySparkException
 from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from retail_insight.functions.measures import average
 from retail_insight.operators.clustering import (
+    MODEL_ERRORS,
     Choice,
     features,
     fit_kmeans,
@@ -96,7 +96,7 @@ def _given_k(scaled: DataFrame, k: int, categories: int, seed: int) -> Choice:
     if categories > 1 and k <= categories:
         try:
             score = silhouette(model.transform(scaled))
-        except PySparkException:
+        except MODEL_ERRORS:
             score = None
     return Choice(k, score, model, [(k, score)])
 

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retail_insight.operators import overview as ov
+from retail_insight.operators.clustering import MODEL_ERRORS
 from retail_insight.operators.histogram import age_histogram, rfm_distribution
 from retail_insight.operators.products import (
     ProductClusters,
@@ -128,7 +128,7 @@ def product_model(df: DataFrame, k: int = 0) -> ProductReport:
     try:
         projection = product_pca(clusters.assigned)
         chart_labels = cluster_examples(projection.points)
-    except PySparkException:
+    except MODEL_ERRORS:
         projection = chart_labels = None
     return ProductReport(
         clusters,
