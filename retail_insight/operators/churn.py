@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from retail_insight.functions.measures import recency_days
 from retail_insight.schema import has, require
+from retail_insight.sources.workspace import cut_lineage
 
 # A customer with at least a thousandth of the rows is handled apart. There can
 # be no more than a thousand of them, however large the data.
@@ -37,20 +38,16 @@ def derive_churn(
 
     Given flags are kept. Rows without a customer stay null, and when no date
     at all is known every null becomes 0. An absent churn column counts as null.
-    ``activity`` is ``customer_activity(df)`` when the caller already has it.
+    ``activity`` is ``customer_activity(df)`` when the caller already has it;
+    otherwise it is computed now, as it is used several times over.
     """
     require(df, "customer_id", "purchase_ts")
     if not has(df, "churn"):
         df = df.withColumn("churn", F.lit(None).cast("int"))
-    activity = customer_activity(df) if activity is None else activity
+    activity = cut_lineage(customer_activity(df)) if activity is None else activity
     last = activity.select("customer_id", F.col("last_purchase").alias("_last"), "n_rows")
-    # Both totals use the same two columns as the joins below, so one grouping
-    # of the purchases serves them all.
     totals = last.agg(
-        F.struct(
-            F.max(F.struct("_last", "n_rows"))["_last"].alias("newest"),
-            F.sum("n_rows").alias("rows"),
-        )
+        F.struct(F.max("_last").alias("newest"), F.sum("n_rows").alias("rows"))
     ).scalar()
     hot = last.where(F.col("n_rows") * HOT_SHARE >= totals["rows"]).select(
         "customer_id", F.col("_last").alias("_hot_last"), F.lit(True).alias("_hot")

@@ -57,7 +57,14 @@ def histogram(
     counted = (
         values.withColumn("s", shape.scalar())
         .withColumn("g", guess)
-        .select((F.col("g") + F.when(above, 1).when(below, -1).otherwise(0)).alias("bin"), "w")
+        # The bin is never null. Saying so keeps a null check of the join below
+        # from being pushed into the scan, where it would undo its reuse.
+        .select(
+            F.coalesce(
+                F.col("g") + F.when(above, 1).when(below, -1).otherwise(0), F.lit(-1)
+            ).alias("bin"),
+            "w",
+        )
         .groupBy("bin")
         .agg(F.sum("w").alias("n"))
     )

@@ -30,7 +30,7 @@ from retail_insight.sources.tables import (
     read_raw,
     write_purchases,
 )
-from retail_insight.sources.workspace import new_path
+from retail_insight.sources.workspace import cut_lineage, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -80,9 +80,12 @@ def _brand_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _fixed_brands(spark: SparkSession, d: str) -> DataFrame:
-    """Brand profiles with a given cluster: last digit of the brand modulo 3."""
+    """Brand profiles with a given cluster: last digit of the brand modulo 3.
+
+    Like the trained clusters, they are computed once and then looked up.
+    """
     digit = F.expr("CAST(right(product_category, 1) AS INT)")
-    return _brand_profile(spark, d).withColumn("prediction", digit % 3)
+    return cut_lineage(_brand_profile(spark, d).withColumn("prediction", digit % 3))
 
 
 # --- sources and sinks --------------------------------------------------------
