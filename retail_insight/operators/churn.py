@@ -45,16 +45,20 @@ def derive_churn(
     if not has(df, "churn"):
         df = df.withColumn("churn", F.lit(None).cast("int"))
     activity = cut_lineage(customer_activity(df)) if activity is None else activity
-    last = activity.select("customer_id", F.col("last_purchase").alias("_last"), "n_rows")
-    totals = last.agg(
-        F.struct(F.max("_last").alias("newest"), F.sum("n_rows").alias("rows"))
+    totals = activity.agg(
+        F.struct(F.max("last_purchase").alias("newest"), F.sum("n_rows").alias("rows"))
     ).scalar()
-    hot = last.where(F.col("n_rows") * HOT_SHARE >= totals["rows"]).select(
-        "customer_id", F.col("_last").alias("_hot_last"), F.lit(True).alias("_hot")
+    last = activity.select(
+        "customer_id",
+        F.col("last_purchase").alias("_last"),
+        (F.col("n_rows") * HOT_SHARE >= totals["rows"]).alias("_hot"),
     )
+    hot = last.where("_hot").select("customer_id", F.col("_last").alias("_hot_last"), "_hot")
     # Hot customers get their date from the broadcast, so their rows need no
     # partner in the shuffled join: spreading them by map partition keeps every
-    # reducer small. Rows without a customer are spread the same way.
+    # reducer small. Rows without a customer are spread the same way. The far
+    # side says -1 for hot customers, as a constant there would be folded away
+    # and with it the spreading.
     spread = F.when(
         F.col("_hot") | F.col("customer_id").isNull(), 1 + F.spark_partition_id() % SPREAD
     ).otherwise(0)
@@ -62,7 +66,9 @@ def derive_churn(
         df.join(F.broadcast(hot), "customer_id", "left")
         .withColumn("_spread", spread)
         .join(
-            last.select("customer_id", "_last", F.lit(0).alias("_spread")),
+            last.select(
+                "customer_id", "_last", F.when(F.col("_hot"), -1).otherwise(0).alias("_spread")
+            ),
             ["customer_id", "_spread"],
             "left",
         )
