@@ -10,6 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from retail_insight.operators.clustering import best_k, scale_features, silhouette
+from retail_insight.operators.lookup import spread_lookup
 from retail_insight.operators.products import (
     candidate_ks,
     category_names,
@@ -261,6 +262,28 @@ def test_ranking_is_cut_before_the_shuffle(clustered):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_lookup_splits_a_hot_cluster_over_reducers(spark):
+    items = spark.range(40_000).select(
+        "id", F.when(F.col("id") % 10 < 9, 0).otherwise(F.col("id") % 7).alias("prediction")
+    )
+    sizes = items.groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
+    shuffle_only = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    for key, value in shuffle_only.items():
+        spark.conf.set(key, value)
+    try:
+        joined = spread_lookup(items, sizes, "prediction", "id")
+        per_reducer = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for key in shuffle_only:
+            spark.conf.unset(key)
+    assert sum(per_reducer) == 40_000 and max(per_reducer) < 10_000
+    assert joined.where("prediction = 0").select("n").distinct().collect()[0].n > 36_000
+
+
 def test_lonely_and_unknown_items(clustered):
     lonely = clustered.where("product_category = 'p0001'")
     assert recommend_all(lonely).collect() == [] and recommend_for(lonely, "p0001").collect() == []
