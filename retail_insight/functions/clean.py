@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from retail_insight.schema import HEADER_NAMES, UNKNOWN
 
+# Text without a digit is kept away from casts, whose failure costs an exception.
+HAS_DIGIT = r"\d"
+
 # A text that is a number as a whole, or else each character no number has.
 NUMBER_OR_NOISE = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*$|[^0-9.\-]"
 
@@ -33,7 +36,9 @@ def clean_money(value: Column, parens_negative: bool = False) -> Column:
     survives. Only other text loses its currency signs and separators first.
     """
     text = value.cast("string")
-    number = F.regexp_replace(text, NUMBER_OR_NOISE, "$1").try_cast("double")
+    number = F.when(
+        text.rlike(HAS_DIGIT), F.regexp_replace(text, NUMBER_OR_NOISE, "$1").try_cast("double")
+    )
     if parens_negative:
         number = F.when(text.rlike(r"^\s*\(.*\)\s*$"), -F.abs(number)).otherwise(number)
     return number
@@ -47,9 +52,10 @@ def clean_int(value: Column) -> Column:
 def clean_flag(value: Column) -> Column:
     """0/1 text (``1``, ``1.0``, ``true``) to int."""
     text = F.trim(value.cast("string"))
-    return F.coalesce(
-        text.try_cast("double").try_cast("int"),
-        F.when(F.lower(text) == "true", 1).when(F.lower(text) == "false", 0),
+    return (
+        F.when(text.rlike(HAS_DIGIT), text.try_cast("double").try_cast("int"))
+        .when(F.lower(text) == "true", 1)
+        .when(F.lower(text) == "false", 0)
     )
 
 
