@@ -416,4 +416,11 @@ FROM ranked WHERE place <= 5""",
 SELECT product_category, {ROUNDED_PRODUCT},
        greatest((SELECT count(*) FROM brands WHERE prediction = 1) - 5, 0) AS n_more
 FROM brands WHERE prediction = 1 ORDER BY brands.total_revenue DESC, product_category LIMIT 5""",
+    "customer_segments_totals": f"""WITH {FACTS}, {RFM}
+SELECT count(*) AS n_assigned, count(DISTINCT customer_id) AS n_customers,
+       CAST(sum(frequency) AS BIGINT) AS n_purchases, round(sum(monetary), 2) AS revenue FROM rfm""",
+    "product_clusters_totals": f"""WITH {FACTS}, {PROFILE}
+SELECT count(*) AS n_listed, count(DISTINCT product_category) AS n_categories,
+       min(product_category) AS first_category, max(product_category) AS last_category
+FROM profile""",
 }

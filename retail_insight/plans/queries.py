@@ -446,6 +446,17 @@ def customer_segments(spark, d):
     return assigned.select("customer_id", *RFM_METRICS, "prediction")
 
 
+def customer_segments_totals(spark, d):
+    """Every customer is in exactly one trained cluster, whichever that is."""
+    assigned = seg.segment_customers(_dated_rfm(spark, d)).assigned
+    return assigned.agg(
+        F.count("prediction").alias("n_assigned"),
+        F.count_distinct("customer_id").alias("n_customers"),
+        F.sum("frequency").alias("n_purchases"),
+        F.round(F.sum("monetary"), 2).alias("revenue"),
+    )
+
+
 def customer_profiles(spark, d):
     assigned = seg.segment_customers(_dated_rfm(spark, d)).assigned
     return seg.label_clusters(seg.cluster_profile(assigned))
@@ -474,6 +485,17 @@ def product_clusters(spark, d):
     return assigned.select("product_category", *pr.PRODUCT_METRICS, "prediction")
 
 
+def product_clusters_totals(spark, d):
+    """Every category is in exactly one trained cluster and keeps its profile."""
+    contents = pr.cluster_contents(pr.product_clusters(_brand_profile(spark, d)).assigned)
+    return contents.select(F.explode("products").alias("product_category")).agg(
+        F.count(F.lit(1)).alias("n_listed"),
+        F.count_distinct("product_category").alias("n_categories"),
+        F.min("product_category").alias("first_category"),
+        F.max("product_category").alias("last_category"),
+    )
+
+
 def product_clusters_given_k(spark, d):
     assigned = pr.product_clusters(_brand_profile(spark, d), k=4).assigned
     return assigned.select("product_category", *pr.PRODUCT_METRICS, "prediction")
@@ -542,12 +564,14 @@ QUERIES: dict[str, Query] = {
     "browse_cluster_fixed": browse_cluster_fixed,
     "customer_k_scores": customer_k_scores,
     "customer_segments": customer_segments,
+    "customer_segments_totals": customer_segments_totals,
     "customer_profiles": customer_profiles,
     "segment_detail": segment_detail,
     "segment_scatter": segment_scatter,
     "segment_export": segment_export,
     "product_k_scores": product_k_scores,
     "product_clusters": product_clusters,
+    "product_clusters_totals": product_clusters_totals,
     "product_clusters_given_k": product_clusters_given_k,
     "product_pca": product_pca,
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark import StorageLevel
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -67,6 +68,11 @@ def write_purchases(df: DataFrame, path: str) -> None:
     df.sparkSession.catalog.refreshByPath(path)
 
 
+def default_export_path(purchases_path: str) -> str:
+    """Where a segmentation of the table at ``purchases_path`` is exported to."""
+    return f"{purchases_path.rstrip('/')}_kmeans_export"
+
+
 def export_segments(assigned: DataFrame, path: str) -> None:
     """Overwrite the five-column export of a customer segmentation."""
     columns = ("customer_id", *RFM_METRICS, "prediction")
@@ -79,5 +85,5 @@ def dataset_ready(spark: SparkSession, path: str) -> bool:
     """True when the path holds a readable Parquet table with at least one row."""
     try:
         return not spark.read.parquet(path).isEmpty()
-    except PySparkException:
+    except (PySparkException, Py4JJavaError):
         return False

@@ -9,6 +9,7 @@ from retail_insight.operators.churn import derive_churn
 from retail_insight.plans.etl import etl, run_etl, typed_purchases
 from retail_insight.sources.tables import (
     dataset_ready,
+    default_export_path,
     export_segments,
     read_purchases,
     read_raw,
@@ -158,6 +159,14 @@ def test_etl_without_churn_column(export):
     assert {r.churn for r in etl(export.drop("Churn")).collect()} == {0}
 
 
+def test_customers_are_needed_only_to_derive_churn(export):
+    nameless = export.drop("Customer ID")
+    known = nameless.withColumn("Churn", F.lit("1"))
+    assert {r.churn for r in etl(known).collect()} == {1}
+    with pytest.raises(ValueError, match="customer_id"):
+        etl(nameless.drop("Churn"))
+
+
 def test_etl_of_nothing(export):
     df = etl(export.limit(0))
     assert df.count() == 0 and "churn" in df.columns
@@ -258,3 +267,4 @@ def test_export_has_five_columns(spark, folder):
     assert spark.read.parquet(f"{folder}/out").columns == ["customer_id", "recency_days", "frequency", "monetary", "prediction"]
     with pytest.raises(ValueError):
         export_segments(df.drop("prediction"), f"{folder}/out")
+    assert default_export_path("/data/out/") == "/data/out_kmeans_export"
