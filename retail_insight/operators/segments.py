@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from retail_insight.operators.clustering import Choice, features, fit_scaler, select_k, training_rows
 from retail_insight.operators.sampling import SEED, cap_sample, limit_sample
-from retail_insight.schema import RFM_METRICS, require, require_rows
+from retail_insight.schema import RFM_METRICS, require
 from retail_insight.sources.workspace import cut_lineage
 
 # The k tried, and the most rows a model is trained on.
@@ -48,7 +48,7 @@ def segment_customers(
     rfm = cut_lineage(rfm.na.drop(subset=list(RFM_METRICS)))
     total = rfm.count()
     if total == 0:
-        require_rows(rfm, "customers with recency, frequency and monetary value")
+        raise ValueError("no usable rows: customers with recency, frequency and monetary value")
     train = cap_sample(rfm, cap, "customer_id", seed) if total > cap else rfm
     scaler = fit_scaler(train, RFM_METRICS, with_mean=False)
     scaled = training_rows(

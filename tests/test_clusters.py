@@ -30,7 +30,7 @@ from retail_insight.operators.segments import (
     segment_customers,
     segment_detail,
 )
-from retail_insight.schema import PRODUCT_METRICS, RFM_METRICS
+from retail_insight.schema import PRODUCT_METRICS
 
 
 @pytest.fixture(scope="module")
