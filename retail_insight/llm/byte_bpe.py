@@ -5,18 +5,23 @@ from __future__ import annotations
 import base64
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retail_insight.sources.workspace import stage
+from retail_insight.sources.workspace import stage_by
 
 CHUNK_BYTES = 12 << 20  # of text whose word positions are kept together
+BUCKET_BYTES = 48 << 20
+PIECE = 500  # documents that leave a chunk together
+RANGE_BYTES = 16 << 20  # of text for one range of the word shuffle
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -26,11 +31,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def _packed(values: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(values).tobytes(), 3)
+    """Integers byte plane by byte plane, compressed."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
+    return zstandard.compress(planes.tobytes(), 3)
 
 
 def _unpacked(data: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), kind)
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
 def _gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -39,9 +47,31 @@ def _gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.n
     return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)]
 
 
-def _explode_words(docs: DataFrame, pattern: str) -> DataFrame:
-    """One row per chunk of documents: their distinct pre-tokens, and each position's word by number."""
+def _word_ranges(words: list[str], ranges: int) -> list[dict]:
+    """Numbered words by range of their hash: the numbers, and the words' bytes with their lengths."""
+    coded = [w.encode() for w in words]
+    place = np.fromiter((xxhash.xxh3_64_intdigest(w) % ranges for w in coded), np.int64, len(coded))
+    order = np.argsort(place, kind="stable")
+    out = []
+    for numbers in np.split(order, np.flatnonzero(np.diff(place[order])) + 1):
+        held = [coded[n] for n in numbers.tolist()]
+        out.append(
+            {
+                "range": int(place[numbers[0]]),
+                "numbers": _packed(np.diff(numbers, prepend=0).astype(np.int32)),
+                "lengths": _packed(np.fromiter(map(len, held), np.int32, len(held))),
+                "words": zstandard.compress(b"".join(held), 3),
+            }
+        )
+    return out
+
+
+def _explode_words(docs: DataFrame, pattern: str, ranges: int) -> DataFrame:
+    """One row per chunk of documents: each position's word by number, and the distinct words by range."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    word_type = pa.list_(
+        pa.struct([("range", pa.int32()), ("numbers", pa.binary()), ("lengths", pa.binary()), ("words", pa.binary())])
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, task, done = regex.compile(pattern).findall, TaskContext.get().partitionId(), 0
@@ -54,18 +84,19 @@ def _explode_words(docs: DataFrame, pattern: str) -> DataFrame:
                 "ids": pa.array([ids], pa.list_(id_type)),
                 "counts": pa.array([counts], pa.list_(pa.int32())),
                 "positions": pa.array([_packed(np.concatenate(runs))], pa.binary()),
-                "words": pa.array([list(words)], pa.list_(pa.string())),
+                "words": pa.array([_word_ranges(list(words), ranges) if words else []], word_type),
             }
             return pa.RecordBatch.from_pydict(row)
 
         for batch in batches:
             id_type = batch.column(0).type
             for key, value in zip(batch.column(0), batch.column(1), strict=True):
-                found = split(value.as_py() or "")
+                text = value.as_py() or ""
+                found = split(text)
                 ids.append(key.as_py())
                 counts.append(len(found))
                 runs.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
-                size += len(value.as_py() or "") + 64
+                size += len(text) + 64
                 if size >= CHUNK_BYTES:
                     yield chunk()
                     done += 1
@@ -75,7 +106,9 @@ def _explode_words(docs: DataFrame, pattern: str) -> DataFrame:
             yield chunk()
 
     return docs.mapInArrow(
-        run, f"chunk long, ids array<{kind}>, counts array<int>, positions binary, words array<string>"
+        run,
+        f"chunk long, ids array<{kind}>, counts array<int>, positions binary, "
+        "words array<struct<range: int, numbers: binary, lengths: binary, words: binary>>",
     )
 
 
@@ -86,83 +119,85 @@ def encode(
 
     Texts are split by ``pattern``; each task numbers the distinct words of a
     chunk of its documents and keeps every position as such a number. The
-    chunks' distinct words meet in one global shuffle by word, sorted, so that
-    each distinct word is encoded once however many chunks hold it. The ids go
-    back to the chunks, and positions turn into the documents' ids. What is
-    shuffled is words per chunk, not words per text; a very common word has
-    one row a chunk.
+    chunks' distinct words meet in one global shuffle, by ranges of the word's
+    hash, where each distinct word is encoded once however many chunks hold
+    it. The ids go back to the chunks, which are bucketed and stay in place,
+    and positions turn into the documents' ids. What is shuffled is words per
+    chunk, not words per text; a very common word has one entry a chunk.
 
     A null text counts as empty and gets an empty list; repeated rows each
     come out; other columns are not used; no rows give no rows.
     """
     import tiktoken
 
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(ranks)  # the vocabulary: bounded
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)  # the vocabulary: bounded
     kind = docs.schema[doc_id].dataType.simpleString()
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    chunks = stage(_explode_words(slim, pattern), "chunks")
-    words = chunks.select("chunk", F.posexplode("words").alias("number", "word"))
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    chunks = stage_by(
+        _explode_words(slim, pattern, total // RANGE_BYTES + 1), "chunk", total // BUCKET_BYTES + 8, "words"
+    )
 
-    def encode_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode_range(table: pa.Table) -> pa.Table:
         bpe = tiktoken.Encoding("ranks", pat_str=r"(?s:.+)", mergeable_ranks=shared.value, special_tokens={})
-        chunk_of, number_of, size_of, tokens, last, found = [], [], [], [], None, None
-        for batch in batches:
-            chunk_of.append(batch.column(0).to_numpy())
-            number_of.append(batch.column(1).to_numpy().astype(np.int32))
-            for word in batch.column(2).to_pylist():
-                if word != last:  # sorted: a word's rows follow each other
-                    last, found = word, bpe.encode_ordinary(word)
-                size_of.append(len(found))
-                tokens.extend(found)
-        if not size_of:
-            return
-        chunk, number = np.concatenate(chunk_of), np.concatenate(number_of)
-        size, token = np.array(size_of, np.int32), np.array(tokens, np.uint32)
-        starts = np.cumsum(size) - size
-        order = np.lexsort((number, chunk))
-        bounds = np.flatnonzero(np.diff(chunk[order])) + 1
-        for rows in np.split(order, bounds):
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "chunk": pa.array([int(chunk[rows[0]])], pa.int64()),
-                    "numbers": pa.array([_packed(np.diff(number[rows], prepend=np.int32(0)))], pa.binary()),
-                    "sizes": pa.array([_packed(size[rows].astype(np.int32))], pa.binary()),
-                    "tokens": pa.array([_packed(_gather(token, starts[rows], size[rows]))], pa.binary()),
-                }
-            )
+        known: dict[bytes, list[int]] = {}
+        sizes, tokens = [], []
+        for lengths, words in zip(table["lengths"].to_pylist(), table["words"].to_pylist(), strict=True):
+            flat, found, at = zstandard.decompress(words), [], 0
+            for length in _unpacked(lengths, "<i4").tolist():
+                word = flat[at : at + length]
+                at += length
+                if word not in known:
+                    known[word] = bpe.encode_ordinary(word.decode())
+                found.append(known[word])
+            sizes.append(_packed(np.fromiter(map(len, found), np.int32, len(found))))
+            tokens.append(_packed(np.fromiter(chain.from_iterable(found), np.uint32)))
+        return pa.table(
+            {
+                "chunk": table["chunk"],
+                "range": table["range"],
+                "sizes": pa.array(sizes, pa.binary()),
+                "tokens": pa.array(tokens, pa.binary()),
+            }
+        )
 
     coded = (
-        words.repartition("word")
-        .sortWithinPartitions("word")
-        .mapInArrow(encode_sorted, "chunk long, numbers binary, sizes binary, tokens binary")
+        chunks.select("chunk", F.explode("words").alias("w"))
+        .select("chunk", "w.range", "w.lengths", "w.words")
+        .groupBy("range")
+        .applyInArrow(encode_range, "chunk long, range int, sizes binary, tokens binary")
+        .groupBy("chunk")
+        .agg(F.collect_list(F.struct("range", "sizes", "tokens")).alias("coded"))
     )
+    numbers = F.transform("words", lambda w: F.struct(w["range"].alias("range"), w["numbers"].alias("numbers")))
+    placed = chunks.withColumn("words", numbers).join(coded, "chunk", "left")
 
-    def reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        numbers = [np.cumsum(_unpacked(x, "<i4")) for x in right["numbers"].to_pylist()]
-        sizes = [_unpacked(x, "<i4") for x in right["sizes"].to_pylist()]
-        token = np.concatenate([_unpacked(x, "<u4") for x in right["tokens"].to_pylist()] or [np.zeros(0, "<u4")])
-        size = np.zeros(sum(map(len, sizes)), np.int64)
-        start = size.copy()
-        if len(size):
-            every = np.concatenate(sizes).astype(np.int64)
-            size[np.concatenate(numbers)] = every
-            start[np.concatenate(numbers)] = np.cumsum(every) - every
-        parts = []
-        for row in left.select(["ids", "counts", "positions"]).to_pylist():
-            at = _unpacked(row["positions"], "<i4")
-            ends = np.concatenate(([0], np.cumsum(np.array(row["counts"], np.int64))))
-            token_ends = np.concatenate(([0], np.cumsum(size[at])))[ends]
-            flat = _gather(token, start[at], size[at])
-            lists = pa.ListArray.from_arrays(pa.array(token_ends, pa.int32()), pa.array(flat.astype(np.int32)))
-            parts.append(pa.table({"doc_id": pa.array(row["ids"], left.schema.field("ids").type.value_type), "ids": lists}))
-        return pa.concat_tables(parts)
-
-    positions = chunks.select("chunk", "ids", "counts", "positions")
-    return (
-        positions.groupBy("chunk")
-        .cogroup(coded.groupBy("chunk"))
-        .applyInArrow(reassemble, f"doc_id {kind}, ids array<int>")
+    def reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            id_type = batch.schema.field("ids").type.value_type
+            for row in batch.to_pylist():
+                parts = {x["range"]: x for x in row["coded"] or ()}
+                places = [np.cumsum(_unpacked(x["numbers"], "<i4")) for x in row["words"]]
+                sizes = [_unpacked(parts[x["range"]]["sizes"], "<i4") for x in row["words"]]
+                tokens = [_unpacked(parts[x["range"]]["tokens"], "<u4") for x in row["words"]]
+                token = np.concatenate([np.zeros(0, "<u4"), *tokens]).astype(np.int32)
+                every = np.concatenate([np.zeros(0, np.int64), *sizes]).astype(np.int64)
+                place = np.concatenate([np.zeros(0, np.int64), *places])
+                size, start = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
+                size[place], start[place] = every, np.cumsum(every) - every
+                at = _unpacked(row["positions"], "<i4")
+                ends = np.concatenate(([0], np.cumsum(np.array(row["counts"], np.int64))))
+                for first in range(0, len(row["ids"]), PIECE):
+                    own = ends[first : first + PIECE + 1]
+                    words = at[own[0] : own[-1]]
+                    token_ends = np.concatenate(([0], np.cumsum(size[words])))[own - own[0]]
+                    flat = _gather(token, start[words], size[words])
+                    lists = pa.ListArray.from_arrays(pa.array(token_ends, pa.int32()), pa.array(flat))
+                    ids = pa.array(row["ids"][first : first + PIECE], id_type)
+                    yield pa.RecordBatch.from_arrays([ids, lists], names=["doc_id", "ids"])
+
+    return placed.select("chunk", "ids", "counts", "positions", "words", "coded").mapInArrow(
+        reassemble, f"doc_id {kind}, ids array<int>"
     )
 
 
@@ -179,9 +214,17 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> Data
     place = [f.name.lower() for f in fields].index(ids.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = {number: token for token, number in shared.value.items()}
+        tokens = dict(sorted((number, token) for token, number in shared.value.items()))
+        size = np.zeros(max(tokens, default=-1) + 1, np.int64)
+        for number, token in tokens.items():
+            size[number] = len(token)
+        table = np.frombuffer(b"".join(tokens.values()), np.uint8)
+        start = np.cumsum(size) - size
         for batch in batches:
-            found = [b"".join(map(table.__getitem__, row.as_py() or ())) for row in batch.column(place)]
+            found = []
+            for row in batch.column(place):
+                numbers = row.values.to_numpy() if row.is_valid else np.zeros(0, np.int64)
+                found.append(_gather(table, start[numbers], size[numbers]).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, "decoded"]
             )
