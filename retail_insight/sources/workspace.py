@@ -42,8 +42,13 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
 
 
 def stage_by(df: DataFrame, column: str, buckets: int, label: str = "bucketed") -> DataFrame:
-    """Like ``stage``, in ``buckets`` by a column: joins on it need not shuffle these rows again."""
+    """Like ``stage``, in buckets by a column: joins on it need not shuffle these rows again.
+
+    There are at least as many buckets as shuffle partitions; with fewer, the
+    planner would shuffle the bucketed side too.
+    """
     spark = df.sparkSession
+    buckets = max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
     path = new_path(spark, label)
     name = f"{label}_{uuid.uuid4().hex}".replace("-", "_")
     _tables.append(name)
