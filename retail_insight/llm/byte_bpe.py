@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 
 from retail_insight.sources.workspace import stage_by
 
-CHUNK_BYTES = 12 << 20  # of text whose word positions are kept together
-BUCKET_BYTES = 48 << 20
+CHUNK_BYTES = 6 << 20  # of text whose word positions are kept together
+BUCKET_BYTES = 32 << 20
 PIECE = 500  # documents that leave a chunk together
-RANGE_BYTES = 16 << 20  # of text for one range of the word shuffle
+RANGE_BYTES = 8 << 20  # of text for one range of the word shuffle
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -135,7 +135,7 @@ def encode(
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     chunks = stage_by(
-        _explode_words(slim, pattern, total // RANGE_BYTES + 1), "chunk", total // BUCKET_BYTES + 8, "words"
+        _explode_words(slim, pattern, total // RANGE_BYTES + 1), "chunk", total // BUCKET_BYTES + 1, "words"
     )
 
     def encode_range(table: pa.Table) -> pa.Table:
