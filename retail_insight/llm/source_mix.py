@@ -11,7 +11,8 @@ from retail_insight.llm.common import WORD, whole
 from retail_insight.sources.workspace import stage
 
 WEIGHTS = (5, 2, 1)
-ROWS_PER_RANGE = 20_000
+ROWS_PER_RANGE = 2_000
+RANGES_PER_SPAN = 1_024
 
 
 def _targets(sources: DataFrame, weights: Sequence[int], share: float, epochs: int) -> DataFrame:
@@ -69,8 +70,8 @@ def mix_sources(
 
     The hash order is cut into ranges of equal width, as many as the table has
     ``ROWS_PER_RANGE`` rows, so that a source with a third of all documents is
-    dealt over many tasks; range totals, then the rows within a range, are
-    summed up to prefix sums.
+    dealt over many tasks; spans of ranges, ranges, then the rows within a
+    range, are summed up to prefix sums.
     """
     sized = docs.select(
         F.col(doc_id).alias("doc_id"),
@@ -84,14 +85,32 @@ def mix_sources(
     totals = sized.groupBy("source", "cut").agg(F.sum("size").alias("words"))
     sources = totals.groupBy("source").agg(F.sum("words").alias("source_size"))
     targets = _targets(sources, weights, share, epochs)
-    earlier = Window.partitionBy("source").orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("offset", F.coalesce(F.sum("words").over(earlier), F.lit(0)))
-    plan = offsets.join(
-        targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))
-    ).select(
-        F.col("source").alias("of"), F.col("cut").alias("at"), "offset", "source_size", "target"
+    # Prefix sums of the range totals: over the ranges of a span, and over the spans of a source.
+    spanned = totals.withColumn("span", F.floor(F.col("cut") / RANGES_PER_SPAN))
+    spans = spanned.groupBy("source", "span").agg(F.sum("words").alias("span_words"))
+    above = Window.partitionBy("of").orderBy("in_span").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        spans.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
+        .select("of", F.col("span").alias("in_span"), "span_words", "source_size", "target")
+        .withColumn("start", F.coalesce(F.sum("span_words").over(above), F.lit(0)))
+    )
+    earlier = Window.partitionBy("source", "span").orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
+    plan = (
+        spanned.withColumn("before", F.coalesce(F.sum("words").over(earlier), F.lit(0)))
+        .join(starts, F.col("source").eqNullSafe(F.col("of")) & (F.col("span") == F.col("in_span")))
+        .select(
+            "of",
+            F.col("cut").alias("at"),
+            (F.col("start") + F.col("before")).alias("offset"),
+            "source_size",
+            "target",
+        )
+    )
+    within = (
+        Window.partitionBy("source", "cut")
+        .orderBy(high, "place", "doc_id")
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
-    within = Window.partitionBy("source", "cut").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     running = sized.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
     placed = running.join(
         plan, F.col("source").eqNullSafe(F.col("of")) & (F.col("cut") == F.col("at"))

@@ -261,7 +261,7 @@ def repeated_bytes(
     ranges = samples // NAMES_PER_RANGE + 1
     # 64 bits and these bytes more: eight bits beyond what the pairs of all places need, 96 bits at most.
     check_size = next((s for s in (1, 2) if 64 + 8 * s >= 2 * total.bit_length() + 8), 4)
-    chunks = stage_by(_chunks(slim), "chunk", total // BUCKET_BYTES + 8, "texts")
+    chunks = stage_by(_chunks(slim), "chunk", total // BUCKET_BYTES + 1, "texts")
     copies = stage(_later_copies(chunks), "copies")
     texts = chunks.drop("digests").join(copies, "chunk", "left")
 
