@@ -115,7 +115,9 @@ def _explode_words(docs: DataFrame, pattern: str, ranges: int) -> DataFrame:
 def encode(
     docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """``doc_id`` and ``ids``, the token numbers of the whole text, for every row.
+    """``doc_id``, ``n_tokens`` and ``ids`` for every row: the token numbers of the whole text.
+
+    ``ids`` is binary: the numbers as little-endian unsigned 32-bit integers.
 
     Texts are split by ``pattern``; each task numbers the distinct words of a
     chunk of its documents and keeps every position as such a number. The
@@ -125,7 +127,7 @@ def encode(
     and positions turn into the documents' ids. What is shuffled is words per
     chunk, not words per text; a very common word has one entry a chunk.
 
-    A null text counts as empty and gets an empty list; repeated rows each
+    A null text counts as empty and gets no ids; repeated rows each
     come out; other columns are not used; no rows give no rows.
     """
     import tiktoken
@@ -180,7 +182,7 @@ def encode(
                 places = [np.cumsum(_unpacked(x["numbers"], "<i4")) for x in row["words"]]
                 sizes = [_unpacked(parts[x["range"]]["sizes"], "<i4") for x in row["words"]]
                 tokens = [_unpacked(parts[x["range"]]["tokens"], "<u4") for x in row["words"]]
-                token = np.concatenate([np.zeros(0, "<u4"), *tokens]).astype(np.int32)
+                token = np.concatenate([np.zeros(0, "<u4"), *tokens])
                 every = np.concatenate([np.zeros(0, np.int64), *sizes]).astype(np.int64)
                 place = np.concatenate([np.zeros(0, np.int64), *places])
                 size, start = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
@@ -191,40 +193,39 @@ def encode(
                     own = ends[first : first + PIECE + 1]
                     words = at[own[0] : own[-1]]
                     token_ends = np.concatenate(([0], np.cumsum(size[words])))[own - own[0]]
-                    flat = _gather(token, start[words], size[words])
-                    lists = pa.ListArray.from_arrays(pa.array(token_ends, pa.int32()), pa.array(flat))
-                    ids = pa.array(row["ids"][first : first + PIECE], id_type)
-                    yield pa.RecordBatch.from_arrays([ids, lists], names=["doc_id", "ids"])
+                    flat = _gather(token, start[words], size[words]).tobytes()
+                    spans = zip(token_ends.tolist(), token_ends[1:].tolist(), strict=False)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(row["ids"][first : first + PIECE], id_type),
+                            pa.array(np.diff(token_ends), pa.int64()),
+                            pa.array([flat[4 * a : 4 * b] for a, b in spans], pa.binary()),
+                        ],
+                        names=["doc_id", "n_tokens", "ids"],
+                    )
 
     return placed.select("chunk", "ids", "counts", "positions", "words", "coded").mapInArrow(
-        reassemble, f"doc_id {kind}, ids array<int>"
+        reassemble, f"doc_id {kind}, n_tokens long, ids binary"
     )
 
 
 def decode(tokens: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFrame:
-    """``tokens`` with ``decoded``, the bytes that its token numbers stand for.
+    """``tokens`` with ``decoded``, the bytes that the numbers in ``ids`` stand for.
 
     The token-byte table is the vocabulary: bounded, so it is joined in the
-    map tasks from a broadcast. Null or empty lists give no bytes; a number
+    map tasks from a broadcast. Null or empty ids give no bytes; a number
     outside the table fails the job. A column named ``decoded`` is replaced.
     """
     shared = tokens.sparkSession.sparkContext.broadcast(ranks)
     fields = [f for f in tokens.schema.fields if f.name.lower() != "decoded"]
-    kept = tokens.select(*[f.name for f in fields])
+    kept = tokens.select(*[F.col(f"`{f.name}`") for f in fields])
     place = [f.name.lower() for f in fields].index(ids.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = dict(sorted((number, token) for token, number in shared.value.items()))
-        size = np.zeros(max(tokens, default=-1) + 1, np.int64)
-        for number, token in tokens.items():
-            size[number] = len(token)
-        table = np.frombuffer(b"".join(tokens.values()), np.uint8)
-        start = np.cumsum(size) - size
+        table, start, size = _token_table(shared.value)
         for batch in batches:
-            found = []
-            for row in batch.column(place):
-                numbers = row.values.to_numpy() if row.is_valid else np.zeros(0, np.int64)
-                found.append(_gather(table, start[numbers], size[numbers]).tobytes())
+            numbers = (np.frombuffer(row.as_py() or b"", "<u4") for row in batch.column(place))
+            found = [_gather(table, start[n], size[n]).tobytes() for n in numbers]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, "decoded"]
             )
@@ -233,33 +234,26 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> Data
     return kept.mapInArrow(run, f"{schema}, decoded binary")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_tokens`` and the hashes of ids (little-endian, 32 bits) and of decoded bytes."""
-    from hashlib import sha256
+def _token_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all tokens in the order of their numbers, and where each starts and how long it is.
 
-    kind = decoded.schema["doc_id"].dataType.simpleString()
+    Numbers that no token has start beyond the table.
+    """
+    tokens = sorted((number, token) for token, number in ranks.items())
+    table = np.frombuffer(b"".join(t for _, t in tokens), np.uint8)
+    numbers = np.array([n for n, _ in tokens], np.int64)
+    size = np.ones(int(numbers.max(initial=-1)) + 1, np.int64)
+    start = np.full(len(size), len(table), np.int64)
+    lengths = np.array([len(t) for _, t in tokens], np.int64)
+    size[numbers], start[numbers] = lengths, np.cumsum(lengths) - lengths
+    return table, start, size
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat = batch.column(1).flatten().to_numpy().astype("<u4")
-            sizes = batch.column(1).value_lengths().to_numpy()
-            ends = np.cumsum(sizes)
-            hashes = [
-                sha256(flat[a:b].tobytes()).hexdigest()
-                for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(hashes, pa.string()),
-                    pa.array([sha256(x.as_py()).hexdigest() for x in batch.column(2)], pa.string()),
-                ],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
 
-    return decoded.select("doc_id", "ids", "decoded").mapInArrow(
-        run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+def digests(decoded: DataFrame) -> DataFrame:
+    """``doc_id``, ``n_tokens`` and the hashes of the ids and of the decoded bytes."""
+    return decoded.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
-
-
