@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from retail_insight.sources.workspace import stage_by
 
-CHUNK_BYTES = 6 << 20  # of text whose word positions are kept together
+CHUNK_BYTES = 4 << 20  # of text whose word positions are kept together
 BUCKET_BYTES = 32 << 20
-PIECE = 500  # documents that leave a chunk together
+PIECE = 250  # documents that leave a chunk together
 RANGE_BYTES = 8 << 20  # of text for one range of the word shuffle
 
 
@@ -223,12 +223,14 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, start, size = _token_table(shared.value)
-        for batch in batches:
-            numbers = (np.frombuffer(row.as_py() or b"", "<u4") for row in batch.column(place))
-            found = [_gather(table, start[n], size[n]).tobytes() for n in numbers]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, "decoded"]
-            )
+        for whole in batches:
+            for first in range(0, whole.num_rows, PIECE):
+                batch = whole.slice(first, PIECE)
+                numbers = (np.frombuffer(row.as_py() or b"", "<u4") for row in batch.column(place))
+                found = [_gather(table, start[n], size[n]).tobytes() for n in numbers]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, "decoded"]
+                )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     return kept.mapInArrow(run, f"{schema}, decoded binary")
