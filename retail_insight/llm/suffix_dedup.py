@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from retail_insight.llm.common import spread_join
 from retail_insight.sources.workspace import stage, stage_by
 
-CHUNK_BYTES = 8 << 20
-BUCKET_BYTES = 32 << 20
+CHUNK_BYTES = 4 << 20
+BUCKET_BYTES = 16 << 20
 NAMES_PER_RANGE = 1_000_000
 LAST = np.iinfo(np.int64).max  # stands for a null id: after all others
 # Perfect difference sets, every residue once as a difference.
