@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 16_384  # candidates of one piece of the index
+BLOCK_ROWS = 65_536  # candidates of one piece of the index
 BATCH_QUERIES = 256  # queries that meet a piece of the index together
 LARGEST = 1 << 24  # of a quantised component's size; scores stay exact in 64 bits
 
@@ -34,10 +35,11 @@ def quantised(vectors: DataFrame, vec_id: str, vector: str, scale: int) -> DataF
     )
 
 
-def _matrix(lists: list[list[int]], width: int) -> np.ndarray:
+def _matrix(lists: pa.ListArray, width: int) -> np.ndarray:
+    """The lists as rows of one width, filled up with zeros."""
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
     out = np.zeros((len(lists), width), np.int64)
-    for row, values in zip(out, lists, strict=True):
-        row[: len(values)] = values
+    out[np.arange(width) < sizes[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
     return out
 
 
@@ -188,12 +190,9 @@ def top_k(
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
             for cell in range(batch.num_rows):
-                sides = []
-                for column in (0, 1):
-                    items = batch.column(column).slice(cell, 1).flatten()
-                    sides.append((items.field("vec_id").to_numpy(), items.field("q").to_pylist()))
-                width = max(len(q) for _, rows in sides for q in rows)
-                (ids, rows), (own, asked) = sides
+                sides = [batch.column(c).slice(cell, 1).flatten() for c in (0, 1)]
+                (ids, rows), (own, asked) = [(x.field("vec_id").to_numpy(), x.field("q")) for x in sides]
+                width = max(int(pc.max(pc.list_value_length(q)).as_py()) for q in (rows, asked))
                 index = Slices(ids, _matrix(rows, width)) if width else None
                 for query, values in zip(own.tolist(), _matrix(asked, width), strict=True):
                     if index is None:
