@@ -58,10 +58,11 @@ def exact_dedup(
     positions = hashed.select(block, F.explode(F.array_distinct(F.array(low, high))).alias("bit"))
     hit_twice = positions.groupBy(block, "bit").agg(F.count("*").alias("hits")).where("hits > 1")
     repeated = fresh(docs, "bloom_bits")
-    bloom = (
+    bloom = stage(
         hit_twice.repartition(block)
         .groupBy(block)
-        .agg(F.bitmap_construct_agg(F.col("bit")).alias(repeated))
+        .agg(F.bitmap_construct_agg(F.col("bit")).alias(repeated)),
+        "bloom",
     )
     probed = hashed.join(F.broadcast(bloom), block, "left").withColumn(
         maybe, F.coalesce(_is_set(repeated, low) & _is_set(repeated, high), F.lit(False))
@@ -77,7 +78,6 @@ def exact_dedup(
     groups = others.groupBy("text_sha256").agg(
         F.max(doc_id).alias("keep_id"), F.count("*").alias("group_size")
     )
-    # Rows without an id are dealt by what else is known of them.
     matched = spread_join(others, groups, ["text_sha256"], by=doc_id).select(
         *columns, "keep_id", "group_size", F.col(doc_id).eqNullSafe(F.col("keep_id")).alias("kept")
     )
