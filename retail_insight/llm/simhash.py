@@ -183,7 +183,8 @@ def near_duplicates(
     """
     marked = stage(fingerprints(docs, doc_id, text, words), "fingerprints")
     first = stage(marked.groupBy("fp").agg(F.min("id").alias("first_id")), "distinct-fingerprints")
-    groups = connected(links_between(first.select("fp"), distance))
+    links = stage(links_between(first.select("fp"), distance), "links")
+    groups = connected(links)
     rooted = first.join(groups, F.col("fp") == F.col("member"), "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root")
     )
