@@ -48,8 +48,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Digests of the token numbers of every document, and of their decoding."""
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    tokens = byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN)
-    return byte_bpe.digests(byte_bpe.decode(tokens, ranks))
+    return byte_bpe.digests(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, decoded=True))
 
 
 STAGES = [

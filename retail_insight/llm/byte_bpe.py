@@ -113,11 +113,18 @@ def _explode_words(docs: DataFrame, pattern: str, ranges: int) -> DataFrame:
 
 
 def encode(
-    docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    ranks: dict[bytes, int],
+    pattern: str,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    decoded: bool = False,
 ) -> DataFrame:
     """``doc_id``, ``n_tokens`` and ``ids`` for every row: the token numbers of the whole text.
 
     ``ids`` is binary: the numbers as little-endian unsigned 32-bit integers.
+    With ``decoded``, the ids are turned back by ``decode``'s table in the same
+    pass over them, and their bytes follow as a column of that name.
 
     Texts are split by ``pattern``; each task numbers the distinct words of a
     chunk of its documents and keeps every position as such a number. The
@@ -204,8 +211,12 @@ def encode(
                         names=["doc_id", "n_tokens", "ids"],
                     )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = reassemble(batches)
+        return _decoded(found, 2, shared.value) if decoded else found
+
     return placed.select("chunk", "ids", "counts", "positions", "words", "coded").mapInArrow(
-        reassemble, f"doc_id {kind}, n_tokens long, ids binary"
+        run, f"doc_id {kind}, n_tokens long, ids binary" + ", decoded binary" * decoded
     )
 
 
@@ -222,20 +233,27 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> Data
     place = [f.name.lower() for f in fields].index(ids.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, start, size = _token_table(shared.value)
-        for whole in batches:
-            for first in range(0, whole.num_rows, PIECE):
-                batch = whole.slice(first, PIECE)
-                numbers = (np.frombuffer(row.as_py() or b"", "<u4") for row in batch.column(place))
-                found = [_gather(table, start[n], size[n]).tobytes() for n in numbers]
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, "decoded"]
-                )
+        return _decoded(batches, place, shared.value)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     return kept.mapInArrow(run, f"{schema}, decoded binary")
 
 
+def _decoded(
+    batches: Iterator[pa.RecordBatch], place: int, ranks: dict[bytes, int]
+) -> Iterator[pa.RecordBatch]:
+    """The batches, some hundred rows at a time, with the bytes for the ids in column ``place``."""
+    table, start, size = _token_table(ranks)
+    for whole in batches:
+        for first in range(0, whole.num_rows, PIECE):
+            batch = whole.slice(first, PIECE)
+            numbers = (np.frombuffer(row.as_py() or b"", "<u4") for row in batch.column(place))
+            found = [_gather(table, start[n], size[n]).tobytes() for n in numbers]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, "decoded"]
+            )
+
+
 def _token_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The bytes of all tokens in the order of their numbers, and where each starts and how long it is.
 

@@ -27,8 +27,9 @@ def op1_exact_dedup(spark, d):
 def op2_byte_bpe(spark, d):
     """Digests of every document's token numbers, and of what they decode to."""
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    tokens = byte_bpe.encode(table(spark, d, "documents"), ranks, public_tokenizers.PATTERN)
-    return byte_bpe.digests(byte_bpe.decode(tokens, ranks))
+    return byte_bpe.digests(
+        byte_bpe.encode(table(spark, d, "documents"), ranks, public_tokenizers.PATTERN, decoded=True)
+    )
 
 
 def op3_source_mix(spark, d):
