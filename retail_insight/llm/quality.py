@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from retail_insight.llm.common import fresh
 from retail_insight.sources.workspace import stage
@@ -43,7 +44,7 @@ def text_features(text: str | None) -> list[float]:
     ]
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def _text_view(texts: pd.Series) -> pd.Series:
     return texts.map(text_features)
 
