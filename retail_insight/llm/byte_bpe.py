@@ -32,7 +32,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 def _packed(values: np.ndarray) -> bytes:
     """Integers byte plane by byte plane, compressed."""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T
     return zstandard.compress(planes.tobytes(), 3)
 
 
