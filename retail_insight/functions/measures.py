@@ -6,9 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Fixed value: sums are kept to a millionth, so that they do not depend on the order of the rows.
+EXACT = "decimal(28,6)"
+
+
+def total(name: str) -> Column:
+    """Exact sum of a number column, as a decimal."""
+    return F.sum(F.col(name).cast(EXACT))
+
+
 def average(name: str) -> Column:
-    """Mean as sum over count, so that a decimal column is summed exactly."""
-    return F.sum(name).cast("double") / F.count(name)
+    """Mean as exact sum over count."""
+    return total(name).cast("double") / F.count(name)
 
 
 def null_ratio(name: str) -> Column:

@@ -9,9 +9,9 @@ from retail_insight.functions.measures import recency_days
 from retail_insight.schema import has, require
 from retail_insight.sources.workspace import cut_lineage
 
-# A customer with at least a thousandth of the rows is handled apart. There can
-# be no more than a thousand of them, however large the data.
-HOT_SHARE = 1000
+# A customer with more rows than one task should take is handled apart. There is
+# at most one for so many rows: some 24 MB to broadcast for 10^12 purchases.
+HOT_ROWS = 1_000_000
 SPREAD = 1024
 
 
@@ -45,13 +45,11 @@ def derive_churn(
     if not has(df, "churn"):
         df = df.withColumn("churn", F.lit(None).cast("int"))
     activity = cut_lineage(customer_activity(df)) if activity is None else activity
-    totals = activity.agg(
-        F.struct(F.max("last_purchase").alias("newest"), F.sum("n_rows").alias("rows"))
-    ).scalar()
+    newest = activity.agg(F.max("last_purchase")).scalar()
     last = activity.select(
         "customer_id",
         F.col("last_purchase").alias("_last"),
-        (F.col("n_rows") * HOT_SHARE >= totals["rows"]).alias("_hot"),
+        (F.col("n_rows") >= HOT_ROWS).alias("_hot"),
     )
     hot = last.where("_hot").select("customer_id", F.col("_last").alias("_hot_last"), "_hot")
     # Hot customers get their date from the broadcast, so their rows need no
@@ -73,7 +71,7 @@ def derive_churn(
             "left",
         )
     )
-    days = recency_days(totals["newest"], F.coalesce("_hot_last", "_last"))
-    derived = F.when(totals["newest"].isNull(), 0).otherwise((days > cutoff_days).cast("int"))
+    days = recency_days(newest, F.coalesce("_hot_last", "_last"))
+    derived = F.when(newest.isNull(), 0).otherwise((days > cutoff_days).cast("int"))
     churn = F.coalesce(F.col("churn").cast("int"), derived)
     return joined.withColumn("churn", churn).select(*df.columns)

@@ -55,13 +55,13 @@ def silhouette(assigned: DataFrame) -> float:
     return ClusteringEvaluator(featuresCol="features").evaluate(assigned)
 
 
-def training_rows(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """The rows in a layout that depends on ``key`` alone, cached.
+def training_rows(df: DataFrame, key: str, rows: int, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """The rows in a layout that depends on ``key`` and the task size alone, cached.
 
     Random initialisation draws by position, so equal data in another layout
     would give other clusters.
     """
-    parts = max(1, math.ceil(rows / ROWS_PER_TASK))
+    parts = max(1, math.ceil(rows / rows_per_task))
     return df.repartition(parts, key).sortWithinPartitions(key).persist(StorageLevel.MEMORY_AND_DISK)
 
 
@@ -99,18 +99,16 @@ def select_k(
 
     The fits are independent and made of many short jobs, so several run at a
     time. ``on_error`` is the score of a k whose silhouette cannot be computed;
-    without it such a k raises.
+    by default it has none, and any k with a score is preferred.
     """
     if not ks:
         raise ValueError("no k to try")
 
-    def attempt(k: int) -> tuple[int, float, KMeansModel]:
+    def attempt(k: int) -> tuple[int, float | None, KMeansModel]:
         model = fit_kmeans(scaled, k, seed)
         try:
             score = silhouette(model.transform(scaled))
         except MODEL_ERRORS:
-            if on_error is None:
-                raise
             score = on_error
         return k, score, model
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retail_insight.operators.quantiles import trim_quantile
+from retail_insight.operators.quantiles import trimmed_counts
 
 # Bounds of the automatic bin count.
 AUTO_BINS = (10, 40)
@@ -92,5 +92,6 @@ def age_histogram(df: DataFrame, column: str = "customer_age") -> DataFrame:
 
 def rfm_distribution(rfm: DataFrame, metric: str, bins: int = 30) -> DataFrame:
     """Histogram of one RFM metric; frequency and monetary lose their top 1 %."""
-    trimmed = rfm if metric == "recency_days" else trim_quantile(rfm, metric, 0.99)
-    return histogram(trimmed, metric, bins)
+    if metric == "recency_days":
+        return histogram(rfm, metric, bins)
+    return histogram(trimmed_counts(rfm, metric, 0.99), "value", bins, weight="n")

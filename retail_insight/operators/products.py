@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retail_insight.functions.measures import average
+from retail_insight.functions.measures import average, total
 from retail_insight.operators.clustering import (
     MODEL_ERRORS,
     Choice,
@@ -20,7 +20,6 @@ from retail_insight.operators.clustering import (
     silhouette,
     training_rows,
 )
-from retail_insight.operators.lookup import spread_lookup
 from retail_insight.operators.sampling import SEED
 from retail_insight.schema import PRODUCT_INPUT, PRODUCT_METRICS, require
 from retail_insight.sources.workspace import cut_lineage
@@ -28,7 +27,6 @@ from retail_insight.sources.workspace import cut_lineage
 # Most clusters tried, and the score of a k that has no silhouette.
 MAX_PRODUCT_K = 10
 NO_SILHOUETTE = -1.0
-LIST_SIZE = 1000
 
 
 def product_profile(df: DataFrame) -> DataFrame:
@@ -39,7 +37,7 @@ def product_profile(df: DataFrame) -> DataFrame:
         .agg(
             average("product_price").alias("avg_price"),
             average("quantity").alias("avg_quantity"),
-            F.sum("total_amount").cast("double").alias("total_revenue"),
+            total("total_amount").cast("double").alias("total_revenue"),
             average("returns").alias("avg_returns_rate"),
         )
         .na.drop()
@@ -59,14 +57,16 @@ class ProductClusters:
         return self.choice.scores(self.assigned)
 
 
-def candidate_ks(categories: int) -> list[int]:
-    """The k an automatic run tries: 2 up to one below the category count, at most 10."""
+def candidate_ks(categories: int, max_k: int = MAX_PRODUCT_K) -> list[int]:
+    """The k an automatic run tries: 2 up to one below the category count, at most ``max_k``."""
     if categories < 2:
         raise ValueError("a single category cannot be clustered")
-    return list(range(2, min(categories - 1, MAX_PRODUCT_K) + 1)) or [2]
+    return list(range(2, min(categories - 1, max_k) + 1)) or [2]
 
 
-def product_clusters(profile: DataFrame, k: int = 0, seed: int = SEED) -> ProductClusters:
+def product_clusters(
+    profile: DataFrame, k: int = 0, seed: int = SEED, max_k: int = MAX_PRODUCT_K
+) -> ProductClusters:
     """Cluster category profiles; ``k`` of 0 or 1 chooses k by silhouette.
 
     A given k not below the number of categories is lowered to one below it (at
@@ -82,7 +82,7 @@ def product_clusters(profile: DataFrame, k: int = 0, seed: int = SEED) -> Produc
     scaled = training_rows(everything, "product_category", categories)
     try:
         if k <= 1:
-            choice = select_k(scaled, candidate_ks(categories), on_error=NO_SILHOUETTE, seed=seed)
+            choice = select_k(scaled, candidate_ks(categories, max_k), on_error=NO_SILHOUETTE, seed=seed)
         else:
             choice = _given_k(scaled, k if k < categories else max(2, categories - 1), categories, seed)
     finally:
@@ -130,26 +130,11 @@ def product_pca(assigned: DataFrame) -> Projection:
     return Projection(points, [float(v) for v in model.explainedVariance])
 
 
-def cluster_contents(clustered: DataFrame, size: int = LIST_SIZE) -> DataFrame:
-    """Sorted category lists and category count per cluster.
-
-    A cluster of up to ``size`` categories is one row. A larger one is cut into
-    lists of about that size (``part`` numbers them), so no task ever holds
-    more than one list of a cluster.
-    """
+def cluster_contents(clustered: DataFrame) -> DataFrame:
+    """One row per cluster and category, with the cluster's category count, in order."""
     items = clustered.select("prediction", "product_category")
     sizes = items.groupBy("prediction").agg(F.count(F.lit(1)).alias("num_products"))
-    parts = F.ceil(F.col("num_products") / size)
-    return (
-        spread_lookup(items, sizes, "prediction", "product_category")
-        .withColumn("part", F.pmod(F.xxhash64("product_category"), parts).cast("int"))
-        .groupBy("prediction", "part")
-        .agg(
-            F.sort_array(F.collect_list("product_category")).alias("products"),
-            F.max("num_products").alias("num_products"),
-        )
-        .orderBy("prediction", "part")
-    )
+    return items.join(sizes, "prediction").orderBy("prediction", "product_category")
 
 
 def category_names(clustered: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retail_insight.operators.lookup import spread_lookup
+from retail_insight.operators.sampling import first_per_cluster
 from retail_insight.schema import PRODUCT_METRICS, require
 
 COLUMNS = ("product_category", *PRODUCT_METRICS)
@@ -34,11 +35,9 @@ def recommend_all(clustered: DataFrame, k: int = 10) -> DataFrame:
     only that short list is joined to the items, never the pairs of a cluster.
     """
     require(clustered, "prediction", *COLUMNS)
-    order = Window.partitionBy("prediction").orderBy(F.desc("total_revenue"), "product_category")
+    order = [F.desc("total_revenue"), F.col("product_category")]
     best = (
-        clustered.select("prediction", *COLUMNS)
-        .withColumn("_place", F.row_number().over(order))
-        .where(F.col("_place") <= k + 1)
+        first_per_cluster(clustered.select("prediction", *COLUMNS), order, k + 1, "product_category")
         .groupBy("prediction")
         .agg(F.sort_array(F.collect_list(F.struct("_place", *COLUMNS))).alias("_best"))
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retail_insight.functions.measures import recency_days
+from retail_insight.functions.measures import recency_days, total
 from retail_insight.schema import RFM_INPUT, RFM_METRICS, require
 
 
@@ -21,7 +21,7 @@ def rfm(df: DataFrame, drop_null_ts: bool = True) -> DataFrame:
     per_customer = base.groupBy("customer_id").agg(
         F.max("purchase_ts").alias("last_purchase"),
         F.count(F.lit(1)).alias("frequency"),
-        F.sum("total_amount").cast("double").alias("monetary"),
+        total("total_amount").cast("double").alias("monetary"),
     )
     # The newest purchase overall is the newest of the customers' last ones.
     # Carrying all three columns keeps the subquery's shuffle identical to the

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from retail_insight.operators.lookup import WAYS
+
 # Fixed value: default seed of every sample and model.
 SEED = 42
 
@@ -19,15 +21,11 @@ def unit_hash(key: str, seed: int = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
 
 
-def cap_sample(df: DataFrame, n: int, key: str, seed: int = SEED) -> DataFrame:
-    """All rows when there are at most ``n``, else a fraction ``n / total`` of them."""
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return df.where((total <= n) | (unit_hash(key, seed) < F.lit(float(n)) / total))
-
-
-def limit_sample(df: DataFrame, n: int, key: str, seed: int = SEED) -> DataFrame:
-    """``cap_sample`` cut to at most ``n`` rows, for a chart that cannot show more."""
-    return cap_sample(df, n, key, seed).orderBy(unit_hash(key, seed), key).limit(n)
+def hash_sample(df: DataFrame, fraction: float, key: str, seed: int = SEED) -> DataFrame:
+    """About ``fraction`` of the rows, those whose key hashes below it."""
+    if not 0 <= fraction <= 1:
+        raise ValueError("fraction must lie between 0 and 1")
+    return df.where(unit_hash(key, seed) < F.lit(float(fraction)))
 
 
 def cluster_examples(
@@ -35,12 +33,22 @@ def cluster_examples(
 ) -> DataFrame:
     """At most ``n`` members per cluster, as chart labels.
 
-    The rank filter is applied inside each map task first, so a cluster of any
-    size sends ``n`` rows per task to the final ranking.
+    Ranked in parts of a cluster first, then among the best of each part, so
+    that no task ever holds a whole cluster, whatever ``n``.
     """
-    order = Window.partitionBy("prediction").orderBy(unit_hash(key, seed), key)
+    return first_per_cluster(clustered, [unit_hash(key, seed), F.col(key)], n, key).drop("_place")
+
+
+def first_per_cluster(df: DataFrame, order: list[Column], n: int, key: str, ways: int = WAYS) -> DataFrame:
+    """The first ``n`` rows of each ``prediction`` with their ``_place``, ranked in two stages."""
+    part = F.pmod(F.xxhash64(key), F.lit(ways))
+    within = Window.partitionBy("prediction", "_part").orderBy(*order)
+    overall = Window.partitionBy("prediction").orderBy(*order)
+    best = (
+        df.withColumn("_part", part)
+        .withColumn("_place", F.row_number().over(within))
+        .where(F.col("_place") <= n)
+    )
     return (
-        clustered.withColumn("_rank", F.row_number().over(order))
-        .where(F.col("_rank") <= n)
-        .drop("_rank")
+        best.withColumn("_place", F.row_number().over(overall)).where(F.col("_place") <= n).drop("_part")
     )

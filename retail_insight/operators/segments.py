@@ -8,15 +8,20 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retail_insight.operators.clustering import Choice, features, fit_scaler, select_k, training_rows
-from retail_insight.operators.sampling import SEED, cap_sample, limit_sample
+from retail_insight.operators.clustering import (
+    ROWS_PER_TASK,
+    Choice,
+    features,
+    fit_scaler,
+    select_k,
+    training_rows,
+)
+from retail_insight.operators.sampling import SEED
 from retail_insight.schema import RFM_METRICS, require
 from retail_insight.sources.workspace import cut_lineage
 
-# The k tried, and the most rows a model is trained on.
+# The k tried, and the rows of a detail table.
 CUSTOMER_KS = tuple(range(2, 9))
-TRAINING_CAP = 200_000
-SCATTER_CAP = 5_000
 DETAIL_ROWS = 200
 
 
@@ -35,13 +40,13 @@ class Segments:
 def segment_customers(
     rfm: DataFrame,
     ks: Sequence[int] = CUSTOMER_KS,
-    cap: int = TRAINING_CAP,
     seed: int = SEED,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> Segments:
     """Cluster customers on scaled RFM, choosing k by silhouette.
 
-    Training uses at most about ``cap`` customers; the chosen model is applied
-    to all of them.
+    The scaler, every model tried and every silhouette see all customers.
+    ``rows_per_task`` is the size of a training task.
     """
     require(rfm, "customer_id", *RFM_METRICS)
     # Dozens of jobs follow, so the purchases behind the table are read once only.
@@ -49,16 +54,14 @@ def segment_customers(
     total = rfm.count()
     if total == 0:
         raise ValueError("no usable rows: customers with recency, frequency and monetary value")
-    train = cap_sample(rfm, cap, "customer_id", seed) if total > cap else rfm
-    scaler = fit_scaler(train, RFM_METRICS, with_mean=False)
-    scaled = training_rows(
-        scaler.transform(features(train, RFM_METRICS)), "customer_id", min(total, cap)
-    )
+    scaler = fit_scaler(rfm, RFM_METRICS, with_mean=False)
+    everyone = scaler.transform(features(rfm, RFM_METRICS))
+    scaled = training_rows(everyone, "customer_id", total, rows_per_task)
     try:
         choice = select_k(scaled, ks, seed=seed)
     finally:
         scaled.unpersist()
-    return Segments(choice, choice.model.transform(scaler.transform(features(rfm, RFM_METRICS))))
+    return Segments(choice, choice.model.transform(everyone))
 
 
 def global_averages(rfm: DataFrame) -> DataFrame:
@@ -144,8 +147,11 @@ def segment_detail(assigned: DataFrame, n: int = DETAIL_ROWS) -> DataFrame:
     )
 
 
-def scatter(assigned: DataFrame, n: int = SCATTER_CAP, seed: int = SEED) -> DataFrame:
-    """At most ``n`` customers for a chart, cluster id as text for colouring."""
-    return limit_sample(assigned, n, "customer_id", seed).select(
+def scatter(assigned: DataFrame) -> DataFrame:
+    """Every customer's metrics for a chart, cluster id as text for colouring.
+
+    A chart that cannot show them all takes ``hash_sample`` or a grid of counts.
+    """
+    return assigned.select(
         *RFM_METRICS, F.col("prediction").cast("string").alias("prediction")
     )

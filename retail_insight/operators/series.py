@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from retail_insight.functions.clean import month_start
+from retail_insight.functions.measures import total
 from retail_insight.schema import require
 
 
@@ -26,28 +27,33 @@ def moving_average(
     )
 
 
-def monthly_revenue(df: DataFrame) -> DataFrame:
-    """Revenue per month on record."""
-    require(df, "purchase_ts", "total_amount")
+def monthly_revenue(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Revenue per month on record, within each ``by``."""
+    require(df, "purchase_ts", "total_amount", *by)
     return (
         df.where(F.col("purchase_ts").isNotNull())
-        .groupBy(month_start(F.col("purchase_ts")).alias("month"))
-        .agg(F.sum("total_amount").cast("double").alias("revenue"))
-        .orderBy("month")
+        .groupBy(*by, month_start(F.col("purchase_ts")).alias("month"))
+        .agg(total("total_amount").cast("double").alias("revenue"))
+        .orderBy(*by, "month")
     )
 
 
-def fill_month_gaps(monthly: DataFrame, month: str = "month", value: str = "revenue") -> DataFrame:
-    """Add the absent months between first and last with value 0.
+def fill_month_gaps(
+    monthly: DataFrame, month: str = "month", value: str = "revenue", by: Sequence[str] = ()
+) -> DataFrame:
+    """Add the absent months between first and last, within each ``by``, with value 0.
 
-    A month that is present with a null value keeps the null.
+    A month that is present with a null value keeps the null. Each month on
+    record brings the absent ones up to the next, so the months are read once.
+    Without ``by`` the window sorts one row per month in one task.
     """
-    calendar = monthly.agg(F.min(month).alias("lo"), F.max(month).alias("hi")).select(
-        F.explode(F.sequence("lo", "hi", F.make_ym_interval(F.lit(0), F.lit(1)))).alias(month)
-    )
-    recorded = monthly.select(month, value, F.lit(True).alias("_recorded"))
+    following = F.lead(month).over(Window.partitionBy(*by).orderBy(month))
+    last = F.coalesce(F.add_months(following, -1), F.col(month))
+    months = F.sequence(month, last, F.make_ym_interval(F.lit(0), F.lit(1)))
     return (
-        calendar.join(recorded, month, "left")
-        .select(month, F.when(F.col("_recorded"), F.col(value)).otherwise(0.0).alias(value))
-        .orderBy(month)
+        monthly.select(*by, F.col(month).alias("_on_record"), value, months.alias("_months"))
+        .select(*by, F.explode("_months").alias(month), "_on_record", value)
+        .withColumn(value, F.when(F.col(month) == F.col("_on_record"), F.col(value)).otherwise(0.0))
+        .select(*by, month, value)
+        .orderBy(*by, month)
     )

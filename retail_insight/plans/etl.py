@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from retail_insight.functions import clean
 from retail_insight.functions.measures import null_ratio
-from retail_insight.operators.churn import customer_activity, derive_churn
+from retail_insight.operators.churn import derive_churn
 from retail_insight.schema import CATEGORICAL, has, require
 from retail_insight.sources.tables import read_raw, write_purchases
-from retail_insight.sources.workspace import cut_lineage
+from retail_insight.sources.workspace import stage
 
 # Share of unknown churn above which it is derived, and share of
 # unreadable dates from which the export is reported as unparseable.
@@ -40,7 +40,7 @@ def typed_purchases(
         "quantity": clean.clean_int,
         "returns": clean.clean_flag,
         "churn": clean.clean_flag,
-        "customer_id": lambda c: c.cast("string"),
+        "customer_id": lambda c: F.trim(c.cast("string")),
         "purchase_date_raw": clean.normalize_ts_text,
     }
     df = df.withColumns({c: rule(F.col(c)) for c, rule in typed.items() if has(df, c)})
@@ -61,16 +61,16 @@ def parse_quality(df: DataFrame) -> DataFrame:
     )
 
 
-def whole_table_facts(activity: DataFrame) -> Row:
+def whole_table_facts(typed: DataFrame) -> Row:
     """What only the whole table can tell: null shares of date and churn, id type."""
     whole = F.lit(False)
-    if has(activity, "customer_id"):
+    if has(typed, "customer_id"):
         ids = F.col("customer_id")
         whole = F.count(ids) == F.count(ids.try_cast("long"))
-    total = F.sum("n_rows")
-    return activity.agg(
-        (F.sum("n_undated") / total).alias("ts_nulls"),
-        (F.sum("n_unflagged") / total).alias("churn_nulls"),
+    churn_nulls = null_ratio("churn") if has(typed, "churn") else F.lit(None).cast("double")
+    return typed.agg(
+        null_ratio("purchase_ts").alias("ts_nulls"),
+        churn_nulls.alias("churn_nulls"),
         whole.alias("whole_ids"),
     ).first()
 
@@ -83,19 +83,19 @@ def etl(
 ) -> DataFrame:
     """Raw export to purchases, as a DataFrame.
 
-    One pass over the raw rows runs now. It leaves one row per customer in the
-    checkpoint folder, from which both the whole-table decisions and the derived
-    churn are made; the returned DataFrame is the second and last pass.
+    The one pass over the raw rows runs now and leaves the typed table in the
+    shared folder. Whole-table decisions come from its counters: whether ids are
+    numbers, so that ``7``, ``07`` and `` 7`` are one customer before anything is
+    grouped, and whether churn has to be derived.
     """
-    typed = typed_purchases(raw, ts_format, mode, parens_negative)
-    activity = cut_lineage(customer_activity(typed))
-    known = whole_table_facts(activity)
+    typed = stage(typed_purchases(raw, ts_format, mode, parens_negative), "typed-purchases")
+    known = whole_table_facts(typed)
     if known["ts_nulls"] is not None and known["ts_nulls"] >= DATES_UNREADABLE_FROM:
         warnings.warn("no purchase date could be read; check the date format", stacklevel=2)
-    if known["churn_nulls"] is None or known["churn_nulls"] > CHURN_FILL_ABOVE:
-        typed = derive_churn(typed, CHURN_CUTOFF_DAYS, activity)
     if known["whole_ids"]:
         typed = typed.withColumn("customer_id", F.col("customer_id").try_cast("long"))
+    if known["churn_nulls"] is None or known["churn_nulls"] > CHURN_FILL_ABOVE:
+        typed = derive_churn(typed, CHURN_CUTOFF_DAYS)
     return clean.fill_unknown(typed, CATEGORICAL)
 
 

@@ -6,7 +6,7 @@ anything of the Spark side, apart from the texts that define the inputs.
 
 from __future__ import annotations
 
-from retail_insight.plans.queries import MISSING_MONTHS, TABLES
+from retail_insight.plans.queries import LABEL_GROUPS
 from retail_insight.sources.facts import EXPORT_COLUMNS
 
 FACTS = """facts AS (
@@ -26,12 +26,6 @@ FACTS = """facts AS (
   JOIN customer c ON o.o_custkey = c.c_custkey
   JOIN part p ON l.l_partkey = p.p_partkey)"""
 
-UNDATED = """undated AS (
-  SELECT * EXCLUDE (purchase_ts, purchase_date),
-         CASE WHEN product_category <> 'PROMO' THEN purchase_ts END AS purchase_ts,
-         CASE WHEN product_category <> 'PROMO' THEN purchase_date END AS purchase_date
-  FROM facts)"""
-
 DATE_TEXT = """CASE o_orderkey % 7
          WHEN 0 THEN strftime(t, '%-m/%-d/%Y %-H:%M')
          WHEN 1 THEN strftime(t, '%-m/%-d/%Y %-I:%M %p')
@@ -115,7 +109,7 @@ SELECT o_orderkey, purchase_ts, CAST(purchase_ts AS DATE) AS purchase_date,
 
 def _etl(parse: str, amount: str, price: str) -> str:
     return f"""WITH {RAW_PURCHASES}, typed AS (
-  SELECT CAST(customer_id AS BIGINT) AS customer_id, customer_name,
+  SELECT CAST(trim(customer_id) AS BIGINT) AS customer_id, customer_name,
          TRY_CAST(customer_age AS DOUBLE) AS customer_age, gender,
          {_ts_text('purchase_date')} AS purchase_date_raw, {parse} AS purchase_ts,
          product_category, {price} AS product_price, {_int('quantity')} AS quantity,
@@ -133,6 +127,11 @@ SELECT customer_id, customer_name, customer_age, coalesce(gender, 'unknown') AS
 FROM typed LEFT JOIN last USING (customer_id) CROSS JOIN newest"""
 
 
+CLEANED = f"""cleaned AS ({_etl(
+    _strict("purchase_date"), _money("total_purchase_amount"), _money("product_price")
+)})"""
+EXACT = "sum(CAST(total_amount AS DECIMAL(28,6)))"
+
 RFM = """rfm AS (
   SELECT customer_id,
          CAST(date_diff('day', CAST(max(purchase_ts) AS DATE),
@@ -200,19 +199,14 @@ SUMMARY_COLUMNS = (
 SAMPLE = UNIT_HASH.format(key="customer_id")
 
 
-def _limit_sample(n: int) -> str:
+def _hash_sample(fraction: float) -> str:
     return f"""WITH {FACTS}, {RFM}
-SELECT * FROM rfm
-WHERE (SELECT count(*) FROM rfm) <= {n} OR {SAMPLE} < {float(n)} / (SELECT count(*) FROM rfm)
-ORDER BY {SAMPLE}, customer_id LIMIT {n}"""
+SELECT * FROM rfm WHERE {SAMPLE} < {fraction}"""
 
 
 ORACLE: dict[str, str] = {
     "table_summary": f"""WITH {FACTS}
 SELECT count(*) AS row_count, 15 AS column_count, '{SUMMARY_COLUMNS}' AS columns FROM facts""",
-    "datasets_ready": "\nUNION ALL ".join(
-        f"SELECT '{t}' AS name, count(*) > 0 AS ready FROM {t}" for t in TABLES
-    ),
     "daily_sales_ma7": f"""WITH {FACTS}, daily AS (
   SELECT purchase_date, sum(total_amount) AS revenue, count(*) AS orders
   FROM facts WHERE purchase_date IS NOT NULL GROUP BY purchase_date)
@@ -235,9 +229,9 @@ SELECT payment_method, count(*) AS cnt, CAST(sum(total_amount) AS DOUBLE) AS rev
 FROM facts GROUP BY payment_method""",
     "payment_counts": f"""WITH {FACTS}
 SELECT payment_method, count(*) AS cnt FROM facts GROUP BY payment_method""",
-    "daily_return_rate": f"""WITH {FACTS}, {UNDATED}
+    "daily_return_rate": f"""WITH {CLEANED}
 SELECT purchase_date, CAST(sum(returns) AS DOUBLE) / count(returns) AS return_rate
-FROM undated WHERE purchase_date IS NOT NULL GROUP BY purchase_date""",
+FROM cleaned WHERE purchase_date IS NOT NULL GROUP BY purchase_date""",
     "churn_by_gender": f"""WITH {FACTS}
 SELECT gender, CAST(sum(churn) AS DOUBLE) / count(churn) AS churn_rate
 FROM facts GROUP BY gender""",
@@ -249,20 +243,31 @@ FROM facts GROUP BY gender""",
     "quantity_histogram": _histogram(
         "q AS (SELECT l_quantity FROM lineitem)", "SELECT l_quantity AS x FROM q", "40"
     ),
-    "monthly_revenue": f"""WITH {FACTS}, {UNDATED}
+    "monthly_revenue": f"""WITH {CLEANED}
 SELECT CAST(date_trunc('month', purchase_ts) AS DATE) AS month,
-       CAST(sum(total_amount) AS DOUBLE) AS revenue
-FROM undated WHERE purchase_ts IS NOT NULL GROUP BY 1""",
+       CAST({EXACT} AS DOUBLE) AS revenue
+FROM cleaned WHERE purchase_ts IS NOT NULL GROUP BY 1""",
     "monthly_revenue_filled": f"""WITH {FACTS}, monthly AS (
-  SELECT CAST(date_trunc('month', purchase_ts) AS DATE) AS month,
+  SELECT customer_id, CAST(date_trunc('month', purchase_ts) AS DATE) AS month,
          CAST(sum(total_amount) AS DOUBLE) AS revenue
-  FROM facts WHERE month(purchase_ts) NOT IN {MISSING_MONTHS} GROUP BY 1),
+  FROM facts GROUP BY 1, 2),
 calendar AS (
-  SELECT CAST(unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS DATE) AS month
-  FROM monthly)
-SELECT calendar.month AS month,
-       CASE WHEN monthly.month IS NULL THEN 0.0 ELSE revenue END AS revenue
-FROM calendar LEFT JOIN monthly ON calendar.month = monthly.month""",
+  SELECT customer_id, CAST(unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS DATE) AS month
+  FROM monthly GROUP BY customer_id)
+SELECT c.customer_id, c.month AS month,
+       CASE WHEN m.month IS NULL THEN 0.0 ELSE revenue END AS revenue
+FROM calendar c LEFT JOIN monthly m ON c.customer_id = m.customer_id AND c.month = m.month""",
+    "kpis_cleaned": f"""WITH {CLEANED}
+SELECT count(DISTINCT customer_id) AS customers, count(DISTINCT product_category) AS categories,
+       CAST({EXACT} AS DOUBLE) AS revenue,
+       round(coalesce(avg(returns), 0) * 100, 2) AS return_rate_pct,
+       round(coalesce(avg(churn), 0) * 100, 2) AS churn_rate_pct FROM cleaned""",
+    "daily_sales_cleaned": f"""WITH {CLEANED}, daily AS (
+  SELECT purchase_date, {EXACT} AS revenue, count(*) AS orders
+  FROM cleaned WHERE purchase_date IS NOT NULL GROUP BY purchase_date)
+SELECT purchase_date, CAST(revenue AS DOUBLE) AS revenue, orders,
+       CAST(sum(revenue) OVER w AS DOUBLE) / count(revenue) OVER w AS rev_ma7
+FROM daily WINDOW w AS (ORDER BY purchase_date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""",
     "clean_money": f"""WITH {RAW_ORDERS}
 SELECT o_orderkey, {_money('total_amount_raw')} AS total_amount FROM raw_orders""",
     "clean_money_parentheses": f"""WITH {RAW_PURCHASES}
@@ -305,16 +310,16 @@ SELECT customer_id, purchase_date, product_category,
        CAST(coalesce(churn_sparse, CASE WHEN date_diff('day', last_date,
             (SELECT max(purchase_date) FROM facts)) > 180 THEN 1 ELSE 0 END) AS INT) AS churn
 FROM facts JOIN last USING (customer_id)""",
-    "rfm_all": f"""WITH {FACTS}, {UNDATED}
+    "rfm_all": f"""WITH {CLEANED}
 SELECT customer_id,
-       CAST(date_diff('day', max(purchase_date), (SELECT max(purchase_date) FROM undated)) AS INT) AS recency_days,
-       count(*) AS frequency, CAST(sum(total_amount) AS DOUBLE) AS monetary
-FROM undated GROUP BY customer_id""",
-    "rfm_dated": f"""WITH {FACTS}, {UNDATED}
+       CAST(date_diff('day', max(purchase_date), (SELECT max(purchase_date) FROM cleaned)) AS INT) AS recency_days,
+       count(*) AS frequency, CAST({EXACT} AS DOUBLE) AS monetary
+FROM cleaned GROUP BY customer_id""",
+    "rfm_dated": f"""WITH {CLEANED}
 SELECT customer_id,
-       CAST(date_diff('day', max(purchase_date), (SELECT max(purchase_date) FROM undated)) AS INT) AS recency_days,
-       count(*) AS frequency, CAST(sum(total_amount) AS DOUBLE) AS monetary
-FROM undated WHERE purchase_ts IS NOT NULL GROUP BY customer_id""",
+       CAST(date_diff('day', max(purchase_date), (SELECT max(purchase_date) FROM cleaned)) AS INT) AS recency_days,
+       count(*) AS frequency, CAST({EXACT} AS DOUBLE) AS monetary
+FROM cleaned WHERE purchase_ts IS NOT NULL GROUP BY customer_id HAVING {EXACT} IS NOT NULL""",
     "rfm_describe": f"WITH {FACTS}, {RFM}\n" + "\nUNION ALL ".join(_describe(m) for m in METRICS),
     "amount_quantiles": """SELECT round(quantile_cont(l_extendedprice, 0.01), 4) AS p1,
        round(quantile_cont(l_extendedprice, 0.5), 4) AS p50,
@@ -322,11 +327,9 @@ FROM undated WHERE purchase_ts IS NOT NULL GROUP BY customer_id""",
     "rfm_histogram_recency": _rfm_histogram("recency_days"),
     "rfm_histogram_frequency": _rfm_histogram("frequency"),
     "rfm_histogram_monetary": _rfm_histogram("monetary"),
-    "rfm_scatter_sample": _limit_sample(5000),
-    "rfm_scatter_sample_small": _limit_sample(500),
-    "rfm_training_sample": f"""WITH {FACTS}, {RFM}
-SELECT * FROM rfm
-WHERE (SELECT count(*) FROM rfm) <= 1000 OR {SAMPLE} < 1000.0 / (SELECT count(*) FROM rfm)""",
+    "rfm_scatter_sample": _hash_sample(0.5),
+    "rfm_scatter_sample_small": _hash_sample(0.1),
+    "rfm_training_sample": _hash_sample(0.25),
     "product_profile": f"""WITH {FACTS}, {PROFILE}
 SELECT product_category, {ROUNDED_PRODUCT} FROM profile""",
     "scaled_features": f"""WITH {FACTS}, {RFM}
@@ -367,9 +370,9 @@ SELECT prediction, round(avg(recency_days), 4) AS avg_recency, round(avg(frequen
 FROM fixed CROSS JOIN overall GROUP BY prediction""",
     "cluster_labels_fixed": f"""WITH {FACTS}, {RFM},
 overall AS (SELECT avg(recency_days) AS gr, avg(frequency) AS gf, avg(monetary) AS gm FROM rfm),
-p AS (SELECT c_nationkey AS prediction, avg(recency_days) AS r, avg(frequency) AS f,
+p AS (SELECT {LABEL_GROUPS} AS prediction, avg(recency_days) AS r, avg(frequency) AS f,
              avg(monetary) AS m, count(*) AS n_customers
-      FROM rfm JOIN customer ON customer_id = c_custkey GROUP BY c_nationkey),
+      FROM rfm GROUP BY 1),
 scored AS (
   SELECT prediction, n_customers,
          CASE WHEN r < gr * 0.9 THEN 'low' WHEN r > gr * 1.1 THEN 'high' ELSE 'mid' END AS r,
@@ -390,8 +393,8 @@ FROM fixed ORDER BY prediction, customer_id LIMIT 200""",
     "segment_export_fixed": f"""WITH {FACTS}, {RFM}, {FIXED}
 SELECT customer_id, recency_days, frequency, monetary, prediction FROM fixed""",
     "cluster_contents_fixed": f"""WITH {FACTS}, {PROFILE}, {BRANDS}
-SELECT prediction, 0 AS part, string_agg(product_category, ',' ORDER BY product_category) AS products,
-       count(*) AS num_products FROM brands GROUP BY prediction""",
+SELECT prediction, product_category, count(*) OVER (PARTITION BY prediction) AS num_products
+FROM brands""",
     "cluster_examples_fixed": f"""WITH {FACTS}, {PROFILE}, {BRANDS}, ranked AS (
   SELECT prediction, product_category, row_number() OVER (PARTITION BY prediction
          ORDER BY {UNIT_HASH.format(key='product_category')}, product_category) AS place
@@ -419,6 +422,14 @@ FROM brands WHERE prediction = 1 ORDER BY brands.total_revenue DESC, product_cat
     "customer_segments_totals": f"""WITH {FACTS}, {RFM}
 SELECT count(*) AS n_assigned, count(DISTINCT customer_id) AS n_customers,
        CAST(sum(frequency) AS BIGINT) AS n_purchases, round(sum(monetary), 2) AS revenue FROM rfm""",
+    "customer_nearest_centre": f"""WITH {FACTS}, {RFM} SELECT customer_id, 0.0 AS gap FROM rfm""",
+    "product_nearest_centre": f"""WITH {FACTS}, {PROFILE} SELECT product_category, 0.0 AS gap FROM profile""",
+    "product_nearest_centre_given_k": f"""WITH {FACTS}, {PROFILE}
+SELECT product_category, 0.0 AS gap FROM profile""",
+    "customer_k_choice": """SELECT CAST(k AS INT) AS k, true AS chosen_is_first_best
+FROM range(2, 9) r(k) WHERE (SELECT count(*) FROM customer) > 8""",
+    "product_k_choice": """SELECT CAST(k AS INT) AS k, true AS chosen_is_first_best
+FROM range(2, 11) r(k) WHERE (SELECT count(DISTINCT p_brand) FROM part) > 10""",
     "product_clusters_totals": f"""WITH {FACTS}, {PROFILE}
 SELECT count(*) AS n_listed, count(DISTINCT product_category) AS n_categories,
        min(product_category) AS first_category, max(product_category) AS last_category

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from retail_insight.functions import clean
@@ -18,13 +18,12 @@ from retail_insight.operators.clustering import scale_features, silhouette
 from retail_insight.operators.histogram import age_histogram, histogram, rfm_distribution
 from retail_insight.operators.quantiles import describe_metrics, exact_quantiles
 from retail_insight.operators.rfm import rfm
-from retail_insight.operators.sampling import cap_sample, cluster_examples, limit_sample
+from retail_insight.operators.sampling import cluster_examples, hash_sample
 from retail_insight.operators.series import fill_month_gaps, monthly_revenue
 from retail_insight.plans.etl import etl, parse_quality, run_etl, typed_purchases
 from retail_insight.schema import CATEGORICAL, RFM_METRICS
 from retail_insight.sources.facts import facts, raw_orders, raw_purchases, table
 from retail_insight.sources.tables import (
-    dataset_ready,
     export_segments,
     read_purchases,
     read_raw,
@@ -34,13 +33,12 @@ from retail_insight.sources.workspace import cut_lineage, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-TABLES = (
-    "region nation customer supplier part orders lineitem events "
-    "documents embeddings pages benchmark labels conversations"
-).split()
 
-# The purchases of these months are left out where gaps are to be filled.
-MISSING_MONTHS = (3, 7, 8)
+# Customers by steps of recency, frequency and monetary value, as SQL that both engines read alike.
+LABEL_GROUPS = (
+    "CAST(least(floor(recency_days / 40.0), 9) * 100 + least(floor(frequency / 8.0), 9) * 10"
+    " + least(floor(monetary / 400000.0), 9) AS INT)"
+)
 
 
 def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
@@ -54,11 +52,9 @@ def _ntz(df: DataFrame, *columns: str) -> DataFrame:
 # --- inputs -----------------------------------------------------------------
 
 
-def _partly_undated(spark: SparkSession, d: str) -> DataFrame:
-    """Facts in which one category has lost its dates."""
-    undated = F.col("product_category") == "PROMO"
-    ts = F.when(~undated, F.col("purchase_ts"))
-    return facts(spark, d).withColumns({"purchase_ts": ts, "purchase_date": F.to_date(ts)})
+def _cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """What the ETL makes of the export: some dates unreadable, some amounts unknown."""
+    return etl(raw_purchases(spark, d))
 
 
 def _dated_rfm(spark: SparkSession, d: str) -> DataFrame:
@@ -96,12 +92,6 @@ def table_summary(spark, d):
     return summary.withColumn("columns", F.array_join("columns", ","))
 
 
-def datasets_ready(spark, d):
-    """Readiness of every given table."""
-    found = [(name, dataset_ready(spark, f"{d}/{name}.parquet")) for name in TABLES]
-    return spark.createDataFrame(found, "name string, ready boolean")
-
-
 def _write_export(spark, d, path):
     """The messy export as CSV, blanks at either end of a field kept."""
     writer = raw_purchases(spark, d).write.option("header", True)
@@ -271,7 +261,7 @@ def payment_counts(spark, d):
 
 
 def daily_return_rate(spark, d):
-    return ov.daily_return_rate(_partly_undated(spark, d))
+    return ov.daily_return_rate(_cleaned(spark, d))
 
 
 def churn_by_gender(spark, d):
@@ -283,12 +273,21 @@ def ages(spark, d):
 
 
 def monthly(spark, d):
-    return monthly_revenue(_partly_undated(spark, d))
+    return monthly_revenue(_cleaned(spark, d))
 
 
 def monthly_revenue_filled(spark, d):
-    kept = ~F.month("purchase_ts").isin(*MISSING_MONTHS)
-    return fill_month_gaps(monthly_revenue(facts(spark, d).where(kept)))
+    """Months without a purchase, between each customer's first and last one."""
+    by = ["customer_id"]
+    return fill_month_gaps(monthly_revenue(facts(spark, d), by), by=by)
+
+
+def kpis_cleaned(spark, d):
+    return ov.kpis(_cleaned(spark, d))
+
+
+def daily_sales_cleaned(spark, d):
+    return ov.daily_sales(_cleaned(spark, d))
 
 
 def quantity_histogram(spark, d):
@@ -299,11 +298,11 @@ def quantity_histogram(spark, d):
 
 
 def rfm_all(spark, d):
-    return rfm(_partly_undated(spark, d), drop_null_ts=False)
+    return rfm(_cleaned(spark, d), drop_null_ts=False)
 
 
 def rfm_dated(spark, d):
-    return rfm(_partly_undated(spark, d), drop_null_ts=True)
+    return rfm(_cleaned(spark, d), drop_null_ts=True)
 
 
 def rfm_describe(spark, d):
@@ -325,15 +324,15 @@ def _rfm_histogram(metric: str) -> Query:
 
 
 def rfm_scatter_sample(spark, d):
-    return limit_sample(_dated_rfm(spark, d), seg.SCATTER_CAP, "customer_id")
+    return hash_sample(_dated_rfm(spark, d), 0.5, "customer_id")
 
 
 def rfm_scatter_sample_small(spark, d):
-    return limit_sample(_dated_rfm(spark, d), 500, "customer_id")
+    return hash_sample(_dated_rfm(spark, d), 0.1, "customer_id")
 
 
 def rfm_training_sample(spark, d):
-    return cap_sample(_dated_rfm(spark, d), 1000, "customer_id")
+    return hash_sample(_dated_rfm(spark, d), 0.25, "customer_id")
 
 
 # --- clusters given ---------------------------------------------------------------------
@@ -373,11 +372,8 @@ def cluster_profile_fixed(spark, d):
 
 
 def cluster_labels_fixed(spark, d):
-    """Customers of each nation, named by the label rules."""
-    nations = table(spark, d, "customer").select(
-        F.col("c_custkey").alias("customer_id"), F.col("c_nationkey").alias("prediction")
-    )
-    assigned = _dated_rfm(spark, d).join(nations, "customer_id")
+    """Customers grouped by their own metrics, named by the label rules: all seven names occur."""
+    assigned = _dated_rfm(spark, d).withColumn("prediction", F.expr(LABEL_GROUPS).cast("int"))
     return seg.label_clusters(seg.cluster_profile(assigned)).select("prediction", "n_customers", "label")
 
 
@@ -398,8 +394,7 @@ def product_profile(spark, d):
 
 
 def cluster_contents_fixed(spark, d):
-    contents = pr.cluster_contents(_fixed_brands(spark, d))
-    return contents.withColumn("products", F.array_join("products", ","))
+    return pr.cluster_contents(_fixed_brands(spark, d))
 
 
 def cluster_examples_fixed(spark, d):
@@ -446,6 +441,60 @@ def customer_segments(spark, d):
     return assigned.select("customer_id", *RFM_METRICS, "prediction")
 
 
+def _gap_to_nearest(assigned: DataFrame, model, key: str) -> DataFrame:
+    """How much farther each row's own centre is than the nearest one: 0 for every key."""
+    distances = F.array(
+        *[
+            F.aggregate(
+                F.zip_with(
+                    vector_to_array("features"), F.array(*[F.lit(float(x)) for x in centre]), lambda a, b: (a - b) * (a - b)
+                ),
+                F.lit(0.0),
+                lambda s, x: s + x,
+            )
+            for centre in model.clusterCenters()
+        ]
+    )
+    own = F.element_at("_distances", F.col("prediction") + 1)
+    return assigned.withColumn("_distances", distances).select(
+        key, F.round(own - F.array_min("_distances"), 6).alias("gap")
+    )
+
+
+def customer_nearest_centre(spark, d):
+    """Trained customer clusters against their centres."""
+    found = seg.segment_customers(_dated_rfm(spark, d))
+    return _gap_to_nearest(found.assigned, found.choice.model, "customer_id")
+
+
+def product_nearest_centre(spark, d):
+    """Trained product clusters against their centres."""
+    found = pr.product_clusters(_brand_profile(spark, d))
+    return _gap_to_nearest(found.assigned, found.choice.model, "product_category")
+
+
+def product_nearest_centre_given_k(spark, d):
+    found = pr.product_clusters(_brand_profile(spark, d), k=4)
+    return _gap_to_nearest(found.assigned, found.choice.model, "product_category")
+
+
+def _chosen(found, largest: int) -> DataFrame:
+    """Per k tried, whether the chosen k scores at least as much; k itself is read from the table."""
+    best = F.max("silhouette").over(Window.partitionBy())
+    first = F.min(F.when(F.col("silhouette") == best, F.col("k"))).over(Window.partitionBy())
+    scored = found.scores.withColumns({"best": best}).withColumn("first", first)
+    return scored.select("k", (F.col("first") == found.choice.k).alias("chosen_is_first_best")).where(F.col("k") <= largest)
+
+
+def customer_k_choice(spark, d):
+    """Every k was tried, and the first of the best scores was chosen."""
+    return _chosen(seg.segment_customers(_dated_rfm(spark, d)), 8)
+
+
+def product_k_choice(spark, d):
+    return _chosen(pr.product_clusters(_brand_profile(spark, d)), 10)
+
+
 def customer_segments_totals(spark, d):
     """Every customer is in exactly one trained cluster, whichever that is."""
     assigned = seg.segment_customers(_dated_rfm(spark, d)).assigned
@@ -488,7 +537,7 @@ def product_clusters(spark, d):
 def product_clusters_totals(spark, d):
     """Every category is in exactly one trained cluster and keeps its profile."""
     contents = pr.cluster_contents(pr.product_clusters(_brand_profile(spark, d)).assigned)
-    return contents.select(F.explode("products").alias("product_category")).agg(
+    return contents.agg(
         F.count(F.lit(1)).alias("n_listed"),
         F.count_distinct("product_category").alias("n_categories"),
         F.min("product_category").alias("first_category"),
@@ -508,7 +557,6 @@ def product_pca(spark, d):
 
 QUERIES: dict[str, Query] = {
     "table_summary": table_summary,
-    "datasets_ready": datasets_ready,
     "daily_sales_ma7": daily_sales_ma7,
     "kpis": kpis,
     "top_categories_by_count": top_categories_by_count,
@@ -565,6 +613,13 @@ QUERIES: dict[str, Query] = {
     "customer_k_scores": customer_k_scores,
     "customer_segments": customer_segments,
     "customer_segments_totals": customer_segments_totals,
+    "customer_nearest_centre": customer_nearest_centre,
+    "customer_k_choice": customer_k_choice,
+    "product_nearest_centre": product_nearest_centre,
+    "product_nearest_centre_given_k": product_nearest_centre_given_k,
+    "product_k_choice": product_k_choice,
+    "kpis_cleaned": kpis_cleaned,
+    "daily_sales_cleaned": daily_sales_cleaned,
     "customer_profiles": customer_profiles,
     "segment_detail": segment_detail,
     "segment_scatter": segment_scatter,

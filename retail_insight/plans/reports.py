@@ -26,9 +26,9 @@ from retail_insight.operators.products import (
 )
 from retail_insight.operators.quantiles import describe_metrics
 from retail_insight.operators.rfm import rfm
-from retail_insight.operators.sampling import cluster_examples, limit_sample
+from retail_insight.operators.sampling import cluster_examples
 from retail_insight.operators.segments import (
-    SCATTER_CAP,
+    DETAIL_ROWS,
     Segments,
     cluster_profile,
     label_clusters,
@@ -81,10 +81,10 @@ def trends(df: DataFrame) -> dict[str, DataFrame]:
 
 
 def behaviour(df: DataFrame) -> dict[str, DataFrame]:
-    """RFM table, its chart sample, three distributions and summary statistics."""
+    """RFM table, three distributions and summary statistics; charts draw on the whole table."""
     table = cut_lineage(rfm(df, drop_null_ts=False))
     require_rows(table.where(F.col("recency_days").isNotNull()), "customers with a dated purchase")
-    parts = {"rfm": table, "scatter": limit_sample(table, SCATTER_CAP, "customer_id")}
+    parts = {"rfm": table, "scatter": table}
     for metric in RFM_METRICS:
         parts[f"distribution_{metric}"] = rfm_distribution(table, metric)
     parts["statistics"] = describe_metrics(table, RFM_METRICS)
@@ -99,14 +99,14 @@ class SegmentReport:
     detail: DataFrame
 
 
-def segmentation(df: DataFrame) -> SegmentReport:
-    """Customer segments with labelled profiles, chart sample and detail rows."""
+def segmentation(df: DataFrame, detail_rows: int = DETAIL_ROWS) -> SegmentReport:
+    """Customer segments with labelled profiles, chart points and detail rows."""
     segments = segment_customers(rfm(df, drop_null_ts=True))
     return SegmentReport(
         segments,
         label_clusters(cluster_profile(segments.assigned)),
         scatter(segments.assigned),
-        segment_detail(segments.assigned),
+        segment_detail(segments.assigned, detail_rows),
     )
 
 

@@ -97,7 +97,10 @@ def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 # read alike.
 EXPORT_COLUMNS = {
     "orders": {
-        "Customer ID": "CAST(o_custkey AS STRING)",
+        "Customer ID": """CASE o_custkey % 5 WHEN 0 THEN concat('0', CAST(o_custkey AS STRING))
+            WHEN 1 THEN concat(' ', CAST(o_custkey AS STRING)) WHEN 2 THEN CASE o_orderkey % 2
+            WHEN 0 THEN concat('00', CAST(o_custkey AS STRING)) ELSE CAST(o_custkey AS STRING) END
+            ELSE CAST(o_custkey AS STRING) END""",
         "Payment Method": "CASE WHEN o_custkey % 17 = 0 THEN NULL ELSE o_orderpriority END",
     },
     "customer": {

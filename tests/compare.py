@@ -62,7 +62,7 @@ def compare(spark, con, name: str, sf_dir: str) -> str | None:
 
 
 if __name__ == "__main__":
-    from conftest import new_session
+    from conftest import new_session, release
 
     args = sys.argv[1:]
     sf = "/root/testdata/sf0.01"
@@ -78,4 +78,5 @@ if __name__ == "__main__":
             problem = f"{type(error).__name__}: {str(error)[:600]}"
         bad += problem is not None
         print(f"{time.time() - start:6.2f}s {query}: {problem or 'ok'}", flush=True)
+    release(session)
     print(f"{bad} problems")

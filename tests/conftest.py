@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -6,6 +7,11 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+from retail_insight.sources.workspace import release  # noqa: E402
+
+
+SHARED = f"/tmp/retail-insight-tests-{os.getpid()}"
+
 
 def new_session() -> SparkSession:
     spark = (
@@ -15,6 +21,7 @@ def new_session() -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", SHARED)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -23,4 +30,8 @@ def new_session() -> SparkSession:
 
 @pytest.fixture(scope="session")
 def spark():
-    return new_session()
+    session = new_session()
+    yield session
+    release(session)
+    left = [p for p in Path(SHARED).rglob("*") if p.is_file()]
+    assert not left, f"stages left behind: {left[:3]}"

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from retail_insight.operators import churn
 from retail_insight.operators.churn import derive_churn
 from retail_insight.plans.etl import etl, run_etl, typed_purchases
 from retail_insight.sources.tables import (
@@ -57,8 +58,9 @@ def test_churn_without_any_date_is_zero(spark):
     }
 
 
-def test_churn_with_hot_and_missing_customers(spark):
+def test_churn_with_hot_and_missing_customers(spark, monkeypatch):
     """Customer 0 holds a third of the rows, missing ids another third."""
+    monkeypatch.setattr(churn, "HOT_ROWS", 1000)
     df = spark.range(0, 60_000, 1, 16).select(
         "id",
         F.when(F.col("id") % 3 == 0, 0)
@@ -167,6 +169,19 @@ def test_customers_are_needed_only_to_derive_churn(export):
         etl(nameless.drop("Churn"))
 
 
+def test_ids_are_typed_before_they_are_grouped(spark):
+    rows = [("7", "1/1/2020"), ("07", "12/31/2020"), (" 7", "6/1/2019"), ("8", "1/1/2020")]
+    raw = spark.createDataFrame(rows, "`Customer ID` string, `Purchase Date` string")
+    found = {(r.customer_id, r.churn) for r in etl(raw).collect()}
+    assert found == {(7, 0), (8, 1)}
+
+
+def test_export_is_read_once(spark, export, folder):
+    export.write.option("header", True).csv(f"{folder}/csv")
+    df = etl(read_raw(spark, f"{folder}/csv"))
+    assert "FileScan csv" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_etl_of_nothing(export):
     df = etl(export.limit(0))
     assert df.count() == 0 and "churn" in df.columns

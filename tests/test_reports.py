@@ -63,13 +63,14 @@ def test_segmentation(purchases):
     profile = report.profile.collect()
     assert len(profile) == report.segments.choice.k
     assert sum(r.n_customers for r in profile) == report.segments.assigned.count()
-    assert report.detail.count() <= 200 and report.scatter.columns[-1] == "prediction"
+    assert report.detail.count() <= 200 and reports.segmentation(purchases, 3).detail.count() == 3
+    assert report.scatter.columns[-1] == "prediction"
 
 
 def test_product_model(purchases):
     report = reports.product_model(purchases)
     assert report.projection.points.count() == report.categories.count() == 25
-    assert sum(r.num_products for r in report.contents.collect()) == 25
+    assert report.contents.count() == 25
     assert report.chart_labels.count() <= 3 * report.cluster_ids.count()
     two = purchases.where("product_category IN ('Brand#1', 'Brand#2')")
     assert reports.product_model(two, k=2).categories.count() == 2
@@ -78,6 +79,6 @@ def test_product_model(purchases):
 def test_lineage_is_cut_in_the_shared_folder(spark):
     df = cut_lineage(spark.range(10).withColumn("x", F.col("id") * 2))
     assert "Range" not in df._jdf.queryExecution().toString()
-    assert spark.sparkContext.getCheckpointDir() is not None
+    assert "parquet" in df._jdf.queryExecution().toString().lower()
     assert new_path(spark, "a") != new_path(spark, "a")
     assert shared_dir(spark)
