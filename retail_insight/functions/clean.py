@@ -78,12 +78,20 @@ STRICT_FORMATS = (
     (rf"^{MONTH_FIRST} \d{{1,2}}:\d\d:\d\d$", "M/d/yyyy H:mm:ss"),
     (rf"^{DAY_FIRST} \d{{1,2}}:\d\d$", "d/M/yyyy H:mm"),
     (rf"^{DAY_FIRST} \d{{1,2}}:\d\d:\d\d$", "d/M/yyyy H:mm:ss"),
-    (r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d$", "yyyy-MM-dd HH:mm:ss"),
-    (r"^\d{4}-\d\d-\d\d \d\d:\d\d$", "yyyy-MM-dd HH:mm"),
-    (r"^\d{4}-\d\d-\d\d$", "yyyy-MM-dd"),
+    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d\d:\d\d$", "yyyy-M-d H:mm:ss"),
+    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d\d:\d\d\.\d{1,9}$", "yyyy-M-d H:mm:ss.SSSSSSSSS"),
+    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d\d$", "yyyy-M-d H:mm"),
+    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
+    (r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d\d:\d\d$", "yyyy/M/d H:mm:ss"),
+    (r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d\d$", "yyyy/M/d H:mm"),
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
     (rf"^{MONTH_FIRST}$", "M/d/yyyy"),
     (rf"^{DAY_FIRST}$", "d/M/yyyy"),
+    (rf"^{MONTH}/{DAY}/\d\d \d{{1,2}}:\d\d$", "M/d/yy H:mm"),
+    (rf"^{MONTH}/{DAY}/\d\d$", "M/d/yy"),
 )
+# Fixed value: a distance from UTC after a time; the time on the clock is kept.
+OFFSET = r"(?<=\d:\d\d|\d\.\d{1,9}) ?(?:[+-]\d\d:?\d\d|UTC|GMT)$"
 
 # The leading part that is read and its format, when text after a
 # readable start is to be ignored.
@@ -130,25 +138,26 @@ def _read_shape(text: Column, shape: str, fmt: str, group: int) -> Column:
 def parse_event_time(text: Column, user_fmt: str | None = None, mode: str = "strict") -> Column:
     """Timestamp text in any of the known layouts to a timestamp, else null.
 
-    ``strict`` matches whole texts and keeps AM/PM, seconds and ISO times.
-    ``prefix`` reads the longest known leading part and ignores what follows,
-    which is what lenient date parsers do. A user format is tried first.
+    ``strict`` matches whole texts and keeps AM/PM, seconds, fractions and ISO
+    times; a distance from UTC is dropped and the time on the clock kept; years
+    of two digits are of this century. ``prefix`` does the same, and where no
+    layout fits the whole text reads the longest known leading part, which is
+    what lenient date parsers do. A user format is tried first.
 
     ``text`` appears in every try, so it should be a column that already holds
     ``trim(normalize_ts_text(...))`` and not that expression.
     """
+    if mode not in ("strict", "prefix"):
+        raise ValueError(f"mode must be 'strict' or 'prefix', not {mode!r}")
     shape = _shape_of(user_fmt) if user_fmt else None
-    if mode == "strict":
-        rules = [(s, fmt, 0) for s, fmt in STRICT_FORMATS]
-        if shape:
-            rules.insert(0, (f"^{shape}$", user_fmt, 0))
-    elif mode == "prefix":
-        rules = [(s, fmt, 1) for s, fmt in PREFIX_FORMATS]
+    clock = F.regexp_replace(text, OFFSET, "")
+    tries = [_read_shape(clock, s, fmt, 0) for s, fmt in STRICT_FORMATS]
+    if shape:
+        tries.insert(0, _read_shape(text, f"^{shape}$", user_fmt, 0))
+    if mode == "prefix":
         if shape:
-            rules.insert(0, (f"^({shape})", _loosened(user_fmt), 1))
-    else:
-        raise ValueError(f"mode must be 'strict' or 'prefix', not {mode!r}")
-    tries = [_read_shape(text, *rule) for rule in rules]
+            tries.append(_read_shape(text, f"^({shape})", _loosened(user_fmt), 1))
+        tries += [_read_shape(text, s, fmt, 1) for s, fmt in PREFIX_FORMATS]
     if user_fmt and not shape:
         tries.insert(0, F.try_to_timestamp(text, F.lit(user_fmt)))
     return F.coalesce(*tries)

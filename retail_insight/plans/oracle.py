@@ -33,7 +33,16 @@ DATE_TEXT = """CASE o_orderkey % 7
          WHEN 3 THEN strftime(t, '%Y-%m-%dT%H:%M:%SZ')
          WHEN 4 THEN '  ' || strftime(t, '%m/%d/%Y   %H:%M:%S')
          WHEN 5 THEN strftime(t, '%d/%m/%Y')
-         ELSE 'not a date' END"""
+         ELSE CASE (o_orderkey // 7) % 9
+           WHEN 0 THEN strftime(t, '%Y-%m-%dT%H:%M:%S.125Z')
+           WHEN 1 THEN strftime(t, '%Y-%m-%dT%H:%M:%S+07:00')
+           WHEN 2 THEN strftime(t, '%Y-%-m-%-d')
+           WHEN 3 THEN strftime(t, '%Y-%m-%d %-H:%M')
+           WHEN 4 THEN strftime(t, '%Y/%m/%d %H:%M:%S')
+           WHEN 5 THEN strftime(t, '%-m/%-d/20 %-H:%M')
+           WHEN 6 THEN strftime(t, '%-m/%-d/%Y %-H:%M or so')
+           WHEN 7 THEN strftime(t, '%Y/%-m/%-d')
+           ELSE 'not a date' END END"""
 
 RAW_ORDERS = f"""raw_orders AS (
   SELECT o_orderkey, o_custkey, {DATE_TEXT} AS purchase_date_raw,
@@ -85,9 +94,12 @@ def _strict(c: str) -> str:
     formats = (
         "%m/%d/%Y %I:%M %p", "%m/%d/%Y %I:%M:%S %p", "%m/%d/%Y %H:%M", "%m/%d/%Y %H:%M:%S",
         "%d/%m/%Y %H:%M", "%d/%m/%Y %H:%M:%S", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M",
-        "%Y-%m-%d", "%m/%d/%Y", "%d/%m/%Y",
+        "%Y-%m-%d %H:%M:%S.%g", "%Y-%m-%d", "%Y/%m/%d %H:%M:%S", "%Y/%m/%d", "%m/%d/%Y", "%d/%m/%Y",
     )
-    return f"coalesce({', '.join(f'try_strptime(trim({_ts_text(c)}), {f!r})' for f in formats)})"
+    clock = rf"regexp_replace(trim({_ts_text(c)}), '(:\d\d) ?[+-]\d\d:?\d\d$', '\1')"
+    short = ", ".join(f"try_strptime({clock}, {f!r})" for f in ("%m/%d/%y %H:%M", "%m/%d/%y"))
+    known = ", ".join(f"try_strptime({clock}, {f!r})" for f in formats)
+    return rf"CASE WHEN regexp_matches({clock}, '^\d\d?/\d\d?/\d\d( |$)') THEN coalesce({short}) ELSE coalesce({known}) END"
 
 
 def _prefix(c: str) -> str:
@@ -97,7 +109,8 @@ def _prefix(c: str) -> str:
         (slashed, "%m/%d/%Y"), (slashed, "%d/%m/%Y"),
     )
     text = f"trim({_ts_text(c)})"
-    return f"coalesce({', '.join(f'try_strptime(regexp_extract({text}, {s}), {f!r})' for s, f in tries)})"
+    parts = ", ".join(f"try_strptime(regexp_extract({text}, {s}), {f!r})" for s, f in tries)
+    return f"coalesce({_strict(c)}, {parts})"
 
 
 def _parse(expr: str) -> str:

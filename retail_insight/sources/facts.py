@@ -57,7 +57,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# The order time and its text in seven layouts, as SQL expressions.
+# The order time and its text in many layouts, as SQL expressions.
 ORDER_TIME = "o_orderdate + make_dt_interval(0, 0, CAST(o_orderkey % 1440 AS INT), 0)"
 DATE_TEXT = """
     CASE o_orderkey % 7
@@ -67,7 +67,16 @@ DATE_TEXT = """
       WHEN 3 THEN date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'")
       WHEN 4 THEN concat('  ', date_format(t, 'MM/dd/yyyy   HH:mm:ss'))
       WHEN 5 THEN date_format(t, 'dd/MM/yyyy')
-      ELSE 'not a date' END
+      ELSE CASE (o_orderkey DIV 7) % 9
+        WHEN 0 THEN date_format(t, "yyyy-MM-dd'T'HH:mm:ss'.125Z'")
+        WHEN 1 THEN date_format(t, "yyyy-MM-dd'T'HH:mm:ss'+07:00'")
+        WHEN 2 THEN date_format(t, 'yyyy-M-d')
+        WHEN 3 THEN date_format(t, 'yyyy-MM-dd H:mm')
+        WHEN 4 THEN date_format(t, 'yyyy/MM/dd HH:mm:ss')
+        WHEN 5 THEN date_format(t, "M/d/'20' H:mm")
+        WHEN 6 THEN date_format(t, "M/d/yyyy H:mm 'or so'")
+        WHEN 7 THEN date_format(t, 'yyyy/M/d')
+        ELSE 'not a date' END END
 """
 
 
