@@ -90,8 +90,8 @@ STRICT_FORMATS = (
     (rf"^{MONTH}/{DAY}/\d\d \d{{1,2}}:\d\d$", "M/d/yy H:mm"),
     (rf"^{MONTH}/{DAY}/\d\d$", "M/d/yy"),
 )
-# Fixed value: a distance from UTC after a time; the time on the clock is kept.
-OFFSET = r"(?<=\d:\d\d|\d\.\d{1,9}) ?(?:[+-]\d\d:?\d\d|UTC|GMT)$"
+# Fixed value: a distance from UTC after an ISO time; the time on the clock is kept.
+OFFSET = r" ?(?:[+-]\d\d:?\d\d|UTC|GMT)$"
 
 # The leading part that is read and its format, when text after a
 # readable start is to be ignored.
@@ -150,8 +150,12 @@ def parse_event_time(text: Column, user_fmt: str | None = None, mode: str = "str
     if mode not in ("strict", "prefix"):
         raise ValueError(f"mode must be 'strict' or 'prefix', not {mode!r}")
     shape = _shape_of(user_fmt) if user_fmt else None
-    clock = F.regexp_replace(text, OFFSET, "")
-    tries = [_read_shape(clock, s, fmt, 0) for s, fmt in STRICT_FORMATS]
+    tries = [_read_shape(text, s, fmt, 0) for s, fmt in STRICT_FORMATS]
+    tries += [
+        _read_shape(text, f"^({s[1:-1]}){OFFSET}", fmt, 1)
+        for s, fmt in STRICT_FORMATS
+        if fmt.startswith("yyyy-") and "H" in fmt
+    ]
     if shape:
         tries.insert(0, _read_shape(text, f"^{shape}$", user_fmt, 0))
     if mode == "prefix":

@@ -135,6 +135,12 @@ EXPORT_COLUMNS = {
 }
 
 
+def _spread(df: DataFrame, scan: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores where its scan is small: Spark joins small tables in one task."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if scan.rdd.getNumPartitions() <= cores else df
+
+
 def raw_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as an export: source headers, every value as text."""
 
@@ -145,4 +151,5 @@ def raw_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
         return source.withColumns({c: F.expr(sql) for c, sql in EXPORT_COLUMNS[name].items()})
 
     columns = [c for made in EXPORT_COLUMNS.values() for c in made]
-    return _purchases(*[made_on(name) for name in SOURCES]).select(*columns, "Purchase Date")
+    export = _purchases(*[made_on(name) for name in SOURCES]).select(*columns, "Purchase Date")
+    return _spread(export, table(spark, sf_dir, "lineitem"))
