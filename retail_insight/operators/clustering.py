@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from py4j.protocol import Py4JJavaError
 from pyspark import StorageLevel, inheritable_thread_target
@@ -67,12 +67,13 @@ def training_rows(df: DataFrame, key: str, rows: int, rows_per_task: int = ROWS_
 
 @dataclass
 class Choice:
-    """The chosen k with its score and model, and the score of every k tried."""
+    """The chosen k with its score and model, and the score and model of every k tried."""
 
     k: int
     score: float | None
     model: KMeansModel
     tried: list[tuple[int, float | None]]
+    models: dict[int, KMeansModel] = field(default_factory=dict)
 
     def scores(self, like: DataFrame) -> DataFrame:
         """Score table ``k``, ``silhouette``."""
@@ -117,4 +118,5 @@ def select_k(
         done = list(pool.map(target, ks))
     tried = [(k, score) for k, score, _ in done]
     k = best_k(tried)
-    return Choice(k, dict(tried)[k], next(m for j, _, m in done if j == k), tried)
+    models = {j: m for j, _, m in done}
+    return Choice(k, dict(tried)[k], models[k], tried, models)

@@ -108,6 +108,12 @@ class Projection:
     points: DataFrame
     variance: list[float]
 
+    @property
+    def shares(self) -> DataFrame:
+        """``axis`` and the ``share`` of the variance that it explains."""
+        rows = list(zip("xy", self.variance, strict=True))
+        return self.points.sparkSession.createDataFrame(rows, "axis string, share double")
+
 
 def _signs(model: PCAModel) -> list[float]:
     """Sign per component that makes its largest loading positive."""

@@ -217,6 +217,54 @@ def _hash_sample(fraction: float) -> str:
 SELECT * FROM rfm WHERE {SAMPLE} < {fraction}"""
 
 
+PRODUCT = ("avg_price", "avg_quantity", "total_revenue", "avg_returns_rate")
+AXES = range(len(PRODUCT))
+
+
+def _largest_axis(name: str, matrix: str, steps: int = 400) -> str:
+    """The eigenvector with the largest eigenvalue by power iteration; its largest loading is positive."""
+    turned = ", ".join(" + ".join(f"m.c{i}{j} * v{j}" for j in AXES) + f" AS w{i}" for i in AXES)
+    norm = "sqrt(" + " + ".join(f"w{i} * w{i}" for i in AXES) + ")"
+    sizes = ", ".join(f"abs(v{i})" for i in AXES)
+    cases = " ".join(f"WHEN abs(v{i}) = greatest({sizes}) THEN sign(v{i})" for i in AXES)
+    value = " + ".join(f"v{i} * ({' + '.join(f'm.c{i}{j} * v{j}' for j in AXES)})" for i in AXES)
+    return f"""{name}_steps AS (
+  SELECT 0 AS step, {", ".join(f"CAST({0.5 + 0.1 * i} AS DOUBLE) AS v{i}" for i in AXES)}
+  UNION ALL
+  SELECT step + 1, {", ".join(f"w{i} / {norm}" for i in AXES)}
+  FROM (SELECT step, {turned} FROM {name}_steps, {matrix} m WHERE step < {steps})),
+{name} AS (
+  SELECT {", ".join(f"v{i} * CASE {cases} END AS v{i}" for i in AXES)}, {value} AS size
+  FROM {name}_steps, {matrix} m WHERE step = {steps})"""
+
+
+PCA = f"""scaled AS (
+  SELECT product_category, {", ".join(
+    f"({m} - avg({m}) OVER ()) / stddev_samp({m}) OVER () AS x{i}" for i, m in enumerate(PRODUCT))}
+  FROM profile),
+spread AS (SELECT {", ".join(f"covar_samp(x{i}, x{j}) AS c{i}{j}" for i in AXES for j in AXES)} FROM scaled),
+{_largest_axis("first", "spread")},
+rest AS (
+  SELECT {", ".join(f"c{i}{j} - f.size * f.v{i} * f.v{j} AS c{i}{j}" for i in AXES for j in AXES)}
+  FROM spread, first f),
+{_largest_axis("second", "rest")}"""
+
+
+def _score_gap_sql(rows: str, largest: int) -> str:
+    return f"""SELECT CAST(k AS INT) AS k, 0.0 AS gap
+FROM range(2, {largest} + 1) r(k) WHERE (SELECT {rows}) > {largest}"""
+
+
+def _etl_columns(changed: str, columns: str) -> str:
+    """Some columns of the typed export, with a rule for what was changed in it."""
+    return f"""WITH {RAW_PURCHASES}, typed AS (
+  SELECT CAST(trim(customer_id) AS BIGINT) AS customer_id, TRY_CAST(customer_age AS DOUBLE) AS customer_age,
+         coalesce(product_category, 'unknown') AS product_category,
+         {_money('total_purchase_amount')} AS total_amount, {changed} AS churn
+  FROM raw_purchases)
+SELECT {columns} FROM typed"""
+
+
 ORACLE: dict[str, str] = {
     "table_summary": f"""WITH {FACTS}
 SELECT count(*) AS row_count, 15 AS column_count, '{SUMMARY_COLUMNS}' AS columns FROM facts""",
@@ -447,4 +495,28 @@ FROM range(2, 11) r(k) WHERE (SELECT count(DISTINCT p_brand) FROM part) > 10""",
 SELECT count(*) AS n_listed, count(DISTINCT product_category) AS n_categories,
        min(product_category) AS first_category, max(product_category) AS last_category
 FROM profile""",
+    "product_projection": f"""WITH RECURSIVE {FACTS}, {PROFILE}, {PCA}
+SELECT product_category, round({" + ".join(f"x{i} * a.v{i}" for i in AXES)}, 5) AS x,
+       round({" + ".join(f"x{i} * b.v{i}" for i in AXES)}, 5) AS y FROM scaled, first a, second b""",
+    "product_explained_variance": f"""WITH RECURSIVE {FACTS}, {PROFILE}, {PCA}
+SELECT 'x' AS axis, round(size / {len(PRODUCT)}, 6) AS share FROM first
+UNION ALL SELECT 'y', round(size / {len(PRODUCT)}, 6) FROM second""",
+    "customer_score_gaps": _score_gap_sql("count(*) FROM customer", 8),
+    "product_score_gaps": _score_gap_sql("count(DISTINCT p_brand) FROM part", 10),
+    "etl_without_dates": _etl_columns(
+        f"coalesce({_flag('churn')}, 0)",
+        "customer_id, product_category, total_amount, churn, true AS undated",
+    ),
+    "etl_churn_known": _etl_columns(
+        "CASE CAST(customer_age AS INT) % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 END",
+        "customer_id, customer_age, product_category, churn",
+    ),
+    "cached_purchases": f"""WITH {FACTS}
+SELECT product_category, count(*) AS orders,
+       count(*) FILTER (WHERE purchase_date = (SELECT max(purchase_date) FROM facts)) AS on_last_day
+FROM facts GROUP BY product_category""",
+    "top_categories_resorted": f"""WITH {FACTS}, top AS (
+  SELECT brand AS product_category, count(*) AS cnt, CAST(sum(total_amount) AS DOUBLE) AS revenue
+  FROM facts GROUP BY brand ORDER BY cnt DESC, brand LIMIT 10)
+SELECT *, CAST(row_number() OVER (ORDER BY revenue DESC, product_category) AS INT) AS place FROM top""",
 }

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from retail_insight.functions import clean
@@ -20,6 +21,7 @@ from retail_insight.operators.quantiles import describe_metrics, exact_quantiles
 from retail_insight.operators.rfm import rfm
 from retail_insight.operators.sampling import cluster_examples, hash_sample
 from retail_insight.operators.series import fill_month_gaps, monthly_revenue
+from retail_insight.plans import reports
 from retail_insight.plans.etl import etl, parse_quality, run_etl, typed_purchases
 from retail_insight.schema import CATEGORICAL, RFM_METRICS
 from retail_insight.sources.facts import facts, raw_orders, raw_purchases, table
@@ -125,6 +127,17 @@ def purchases_date_range(spark, d):
     )
 
 
+def cached_purchases(spark, d):
+    """A table of few files read through the cache, used for two figures."""
+    dst = new_path(spark, "purchases")
+    facts(spark, d).write.parquet(dst)
+    kept = read_purchases(spark, dst, cache=True)
+    newest = kept.agg(F.max("purchase_date")).scalar()
+    return kept.groupBy("product_category").agg(
+        F.count(F.lit(1)).alias("orders"), F.count_if(F.col("purchase_date") == newest).alias("on_last_day")
+    )
+
+
 # --- cleaning -------------------------------------------------------------------
 
 
@@ -228,6 +241,22 @@ def etl_purchases_prefix(spark, d):
     return _etl_output(etl(raw, ts_format="M/d/yyyy H:mm", mode="prefix", parens_negative=True))
 
 
+def etl_without_dates(spark, d):
+    """An export without a date column: every date is null, and unknown churn becomes 0."""
+    df = etl(raw_purchases(spark, d).drop("Purchase Date"))
+    return df.select(
+        "customer_id", "product_category", "total_amount", "churn", F.col("purchase_date").isNull().alias("undated")
+    )
+
+
+def etl_churn_known(spark, d):
+    """An export whose churn is known for most rows: the unknown flags stay unknown."""
+    known = F.col("Customer Age").cast("int") % 3
+    flag = F.when(known == 0, "0").when(known == 1, "1")
+    df = etl(raw_purchases(spark, d).withColumn("Churn", flag))
+    return df.select("customer_id", "customer_age", "product_category", "churn")
+
+
 def churn_from_recency(spark, d):
     sparse = facts(spark, d).withColumn("churn", F.col("churn_sparse"))
     return derive_churn(sparse).select("customer_id", "purchase_date", "product_category", "churn")
@@ -252,6 +281,13 @@ def top_categories_by_revenue(spark, d):
     return ov.top_categories(_brands(spark, d), by="revenue", n=5)
 
 
+def top_categories_resorted(spark, d):
+    """The ten largest categories by count, put in order of revenue."""
+    top = reports.overview(_brands(spark, d))["top_categories_by_revenue"]
+    place = F.row_number().over(Window.orderBy(F.desc("revenue"), "product_category"))
+    return top.withColumn("place", place)
+
+
 def payment_mix(spark, d):
     return ov.payment_mix(facts(spark, d))
 
@@ -495,6 +531,55 @@ def product_k_choice(spark, d):
     return _chosen(pr.product_clusters(_brand_profile(spark, d)), 10)
 
 
+def _mean_silhouette(assigned: DataFrame) -> Column:
+    """The mean silhouette from the size, sum and squared norm of each cluster: one row for each."""
+    x = vector_to_array("features")
+    dims = range(assigned.select(F.size(x)).first()[0])
+    points = assigned.select("prediction", x.alias("x")).withColumn(
+        "sq", F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)
+    )
+    clusters = points.groupBy("prediction").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.array(*[F.sum(F.col("x")[i]) for i in dims]).alias("sums"),
+        F.sum("sq").alias("sq"),
+    )
+    listed = clusters.agg(F.collect_list(F.struct("prediction", "n", "sums", "sq"))).scalar()
+
+    def reach(c: Column) -> Column:  # the sum of the squared distances from a point to the cluster
+        dot = F.aggregate(F.zip_with("x", c["sums"], lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+        return c["n"] * F.col("sq") - 2 * dot + c["sq"]
+
+    own = F.filter("clusters", lambda c: c["prediction"] == F.col("prediction"))[0]
+    others = F.filter("clusters", lambda c: c["prediction"] != F.col("prediction"))
+    within, beyond = reach(own) / (own["n"] - 1), F.array_min(F.transform(others, lambda c: reach(c) / c["n"]))
+    value = F.when(own["n"] == 1, 0.0).otherwise((beyond - within) / F.greatest(within, beyond))
+    return points.withColumn("clusters", listed).agg(F.avg(value)).scalar()
+
+
+def _score_gaps(spark: SparkSession, found, largest: int) -> DataFrame:
+    """How far the score of every k is from a silhouette computed anew: 0 for each."""
+    bare = found.assigned.select("features")
+    rows = [
+        spark.range(1).select(
+            F.lit(k).alias("k"),
+            F.round(F.abs(_mean_silhouette(found.choice.models[k].transform(bare)) - F.lit(score)), 6).alias("gap"),
+        )
+        for k, score in found.choice.tried
+        if k <= largest
+    ]
+    return reduce(DataFrame.unionAll, rows)
+
+
+def customer_score_gaps(spark, d):
+    """The scores of all k tried for customers against silhouettes computed anew."""
+    return _score_gaps(spark, seg.segment_customers(_dated_rfm(spark, d)), 8)
+
+
+def product_score_gaps(spark, d):
+    """The scores of all k tried for products against silhouettes computed anew."""
+    return _score_gaps(spark, pr.product_clusters(_brand_profile(spark, d)), 10)
+
+
 def customer_segments_totals(spark, d):
     """Every customer is in exactly one trained cluster, whichever that is."""
     assigned = seg.segment_customers(_dated_rfm(spark, d)).assigned
@@ -555,6 +640,18 @@ def product_pca(spark, d):
     return projection.points.select("product_category", "prediction", "x", "y")
 
 
+def product_projection(spark, d):
+    """Where the projection puts every category."""
+    projection = pr.product_pca(scale_features(_brand_profile(spark, d), pr.PRODUCT_METRICS, with_mean=True))
+    return _rounded(projection.points.select("product_category", "x", "y"), 5, "x", "y")
+
+
+def product_explained_variance(spark, d):
+    """The share of the variance that each axis of the projection explains."""
+    projection = pr.product_pca(scale_features(_brand_profile(spark, d), pr.PRODUCT_METRICS, with_mean=True))
+    return _rounded(projection.shares, 6, "share")
+
+
 QUERIES: dict[str, Query] = {
     "table_summary": table_summary,
     "daily_sales_ma7": daily_sales_ma7,
@@ -629,4 +726,12 @@ QUERIES: dict[str, Query] = {
     "product_clusters_totals": product_clusters_totals,
     "product_clusters_given_k": product_clusters_given_k,
     "product_pca": product_pca,
+    "product_projection": product_projection,
+    "product_explained_variance": product_explained_variance,
+    "customer_score_gaps": customer_score_gaps,
+    "product_score_gaps": product_score_gaps,
+    "etl_without_dates": etl_without_dates,
+    "etl_churn_known": etl_churn_known,
+    "cached_purchases": cached_purchases,
+    "top_categories_resorted": top_categories_resorted,
 }
