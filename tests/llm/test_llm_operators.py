@@ -211,6 +211,28 @@ def test_blocks(page, want):
     assert "\n".join(blocks_of(page)[0]) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<div class="layout no-sidebar"><article><p>a</p></article></div>', "a"),
+        ('<div class="sidebar"><article><p>a</p></article></div>', "a"),
+        ('<form class="widget"><main><p>a</p></main></form><article>t</article>', "a\nt"),
+        ("<div class=widget><div role=main>a</div></div><p>b</p>", "a"),
+        ('<article><h2 id="related-work">A</h2><p>a</p><h3 id="market-share">B</h3><h2 id="related">C</h2></article>', "A\na\nB\nC"),
+        ('<article><p data-id="ad" data-role="navigation">a</p><p aria-label="class=ad">b</p></article>', "a\nb"),
+        ('<article><p>a</p><div class="x ad">n</div><p id=\'share\'>n</p><p ROLE=navigation>n</p></article>', "a"),
+        ("<html><head><title>t</title><meta charset=utf-8><body><p>a</p></body></html>", "a"),
+        ("<head><title>t</title><article><p>a</p></article>", "a"),
+        ("<head><title>t</title>\nplain <b>text</b>", "plain text"),
+        ("<head><title>t</title></head><body><p>a</p>", "a"),
+        ('<div>text</div><section class="comments"><article>c</article></section>', "text"),
+        ('<div>a long text of the page</div><div class="widget"><article>t</article></div>', "a long text of the page\nt"),
+    ],
+)
+def test_names_are_whole_and_the_article_stays(page, want):
+    assert "\n".join(blocks_of(page)[0]) == want
+
+
 def test_extract_text_removes_repeats_of_the_host(spark):
     menu = "<div>home news sport weather travel money more search now</div>"
     body = lambda n: f"<p>{' '.join(f'w{n}x{k}' for k in range(12))}</p>"
