@@ -246,6 +246,21 @@ def test_extract_text_removes_repeats_of_the_host(spark):
     assert all(r.n_chars == len(r.text) for r in extract_text(frame).collect())
 
 
+def test_extract_text_keeps_copies_and_repeated_rows(spark):
+    menu = "<div>home news sport weather travel money more search now</div>"
+    body = lambda n: f"{menu}<p>{' '.join(f'w{n}x{k}' for k in range(12))}</p>"
+    text = lambda n: " ".join(f"w{n}x{k}" for k in range(12))
+    pages = [(1, "http://a.example/1", body(1))] * 3  # repeated rows
+    pages += [(i, f"http://a.example/{i}", f"<body>{body(2)}</body>") for i in (2, 3)]  # a page that was read twice
+    pages += [(i, f"http://b.example/{i}", body(4)) for i in (4, 5)]  # the only content of its host
+    pages += [(6, "http://c.example/6", body(1)), (7, None, body(7)), (7, None, body(7)), (8, "http://a.example/8", "")]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    found = Counter((r.page_id, r.text) for r in extract_text(frame).collect())
+    whole = lambda n: "home news sport weather travel money more search now\n" + text(n)
+    want = Counter({(1, text(1)): 3, (2, text(2)): 1, (3, text(2)): 1, (4, whole(4)): 1, (5, whole(4)): 1})
+    assert found == want + Counter({(6, whole(1)): 1, (7, whole(7)): 2, (8, ""): 1})
+
+
 # --- repeated bytes ----------------------------------------------------------------------
 
 
