@@ -32,16 +32,23 @@ def keep_representatives(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number of each row, and its name; staged, so that the numbers hold."""
+    key = fresh(docs, "row_number")
+    return stage(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents, once for every epoch that takes at least half of their words.
 
-    Documents without words take no part in a mix and go.
+    Documents without words take no part in a mix and go. Rows are told apart
+    by number: those without an id, or with the same one, have their own share.
     """
-    taken, at = fresh(docs, "taken"), fresh(docs, "epoch")
-    plan = mix_sources(docs).where("taken * 2 >= size AND size > 0")
+    taken, at = fresh(docs, "copies"), fresh(docs, "epoch")
+    keyed, key = _keyed(docs)
+    plan = mix_sources(keyed, carried=[key]).where("taken * 2 >= size AND size > 0")
     epochs = F.floor((F.col("taken") * 2 + F.col("size")) / (F.col("size") * 2)).cast("int")
-    copies = plan.groupBy("doc_id").agg(F.max(epochs).alias(taken))
-    joined = docs.join(copies, "doc_id")
+    joined = keyed.join(plan.select(key, epochs.alias(taken)), key)
     return joined.withColumn(at, F.explode(F.sequence(F.lit(1), F.col(taken)))).select(*docs.columns)
 
 

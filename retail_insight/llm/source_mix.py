@@ -57,6 +57,7 @@ def mix_sources(
     share: float = 1.5,
     epochs: int = 2,
     seed: int = 7,
+    carried: Sequence[str] = (),
 ) -> DataFrame:
     """One row per document: ``size`` in words, ``source_size``, ``target`` and ``taken``.
 
@@ -66,7 +67,8 @@ def mix_sources(
     source; every epoch takes from the start, and the last one stops at the
     word where the target is met, so a source's ``taken`` add up to its target
     rounded down. A null or empty text has size 0 and takes nothing. Equal rows
-    are told apart by their place in the order only. No rows give no rows.
+    are told apart by the ``carried`` columns, which come out too, and by their
+    place in the order. No rows give no rows.
 
     The hash order is cut into ranges of equal width, as many as the table has
     ``ROWS_PER_RANGE`` rows, so that a source with a third of all documents is
@@ -78,6 +80,7 @@ def mix_sources(
         F.col(source).alias("source"),
         F.regexp_count(whole(text), F.lit(WORD)).cast("long").alias("size"),
         F.xxhash64(F.lit(seed), F.col(doc_id), whole(text)).alias("place"),
+        *carried,
     )
     ranges = docs.count() // ROWS_PER_RANGE + 1
     high = F.shiftrightunsigned("place", 33)  # 31 bits, evenly spread
@@ -108,7 +111,7 @@ def mix_sources(
     )
     within = (
         Window.partitionBy("source", "cut")
-        .orderBy(high, "place", "doc_id")
+        .orderBy(high, "place", "doc_id", *carried)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     running = sized.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
@@ -119,4 +122,4 @@ def mix_sources(
     rounds = F.expr("CASE WHEN source_size > 0 THEN floor(target) DIV source_size ELSE 0 END")
     left = budget - rounds * F.col("source_size") - F.col("offset") - F.col("inner")
     taken = rounds * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left))
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *carried)

@@ -1,10 +1,12 @@
 """The registered queries of the training-text operators, and the pipeline."""
 
 import hashlib
+from collections import Counter
 
 import corpus_pipeline
 import pytest
 from compare import compare, connect
+from pyspark.sql import functions as F
 from test_llm_operators import components, fingerprint, library, lowered
 
 from retail_insight.llm.queries import ORACLE, QUERIES
@@ -68,3 +70,17 @@ def test_pipeline_against_brute_force(spark):
     assert kept["quality classifier"].join(labels.where("quality = 1"), "doc_id").count() >= 0.98 * good
     again = corpus_pipeline.run(spark, SF)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, before.collect()))
+
+
+def test_pipeline_mix_of_null_and_repeated_ids(spark):
+    text = lambda n, k: " ".join(f"w{n}x{j}" for j in range(k))
+    rows = [(None, text(i, 10 + i), "a") for i in range(20)] + [(7, text(i, 10 + i), "b") for i in range(20, 40)]
+    rows += [(8, text(99, 12), "a")] * 3 + [(None, "", "a"), (None, None, None), (9, text(50, 4), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    share = Counter()
+    for r in mix_sources(docs.withColumn("t", F.col("text")), carried=["t"]).collect():
+        share[(r.doc_id, r.t)] += (r.taken * 2 + r["size"]) // (r["size"] * 2) if r["size"] else 0
+    found = corpus_pipeline.mix(spark, docs, SF)
+    assert found.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in found.collect())
+    assert got == +share and any(i is None for i, _ in got) and len({n for (i, _), n in got.items() if i == 7}) > 1
