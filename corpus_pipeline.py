@@ -14,6 +14,12 @@ from retail_insight.llm.source_mix import mix_sources
 from retail_insight.sources.workspace import stage
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number of each row, and its name; staged, so that the numbers hold."""
+    key = fresh(docs, "row_number")
+    return stage(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     scored = classify_quality(docs, table(spark, sf_dir, "labels"))
@@ -21,21 +27,15 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text."""
-    return exact_dedup(docs).where("kept").select(*docs.columns)
+    """One row of each text, whatever its ids."""
+    return exact_dedup(docs, one_row=True).where("kept").select(*docs.columns)
 
 
 def keep_representatives(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies; documents without an id stay."""
-    groups = simhash.near_duplicates(docs)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-
-
-def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` with a number of each row, and its name; staged, so that the numbers hold."""
-    key = fresh(docs, "row_number")
-    return stage(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
+    """One row of each group of near copies: that of the first id, or any if none has an id."""
+    keyed, key = _keyed(docs)
+    gone = simhash.near_duplicates(keyed, row=key).where("NOT first").select(key)
+    return keyed.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

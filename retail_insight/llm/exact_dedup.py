@@ -25,6 +25,7 @@ def exact_dedup(
     text: str = "text",
     bits_per_row: int = 16,
     max_filter_bits: int = 1 << 30,
+    one_row: bool = False,
 ) -> DataFrame:
     """Every row of ``docs`` with the document that stays for its text.
 
@@ -32,8 +33,10 @@ def exact_dedup(
     largest id of an equal text), ``group_size`` and ``kept``. A null text
     counts as empty; empty texts equal each other. Rows that repeat an id
     share its fate, and count towards the size. A null id never wins over
-    another; where all ids of a text are null, all its rows are kept. An input
-    column named like an added one is replaced. An empty table gives no rows.
+    another; where all ids of a text are null, all its rows are kept. With
+    ``one_row`` just one row of each text is kept, also of those that repeat
+    ``keep_id`` or have no id. An input column named like an added one is
+    replaced. An empty table gives no rows.
 
     Pass one counts, for two bit positions of each hash, how many rows hit
     them; positions hit twice make the filter. Pass two probes every row: a
@@ -74,11 +77,21 @@ def exact_dedup(
         F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"),
     )
-    others = stage(probed.where(maybe).select(*columns), "possibly-repeated")
-    groups = others.groupBy("text_sha256").agg(
-        F.max(doc_id).alias("keep_id"), F.count("*").alias("group_size")
+    row, keep_row = fresh(docs, "row_number"), fresh(docs, "keep_row")
+    others = stage(
+        probed.where(maybe).select(*columns, *[F.monotonically_increasing_id().alias(row)] * one_row),
+        "possibly-repeated",
     )
-    matched = spread_join(others, groups, ["text_sha256"], by=doc_id).select(
-        *columns, "keep_id", "group_size", F.col(doc_id).eqNullSafe(F.col("keep_id")).alias("kept")
+    best, is_best = F.max(doc_id), F.col(doc_id).eqNullSafe(F.col("keep_id"))
+    if one_row:
+        best = F.max(F.struct(F.col(doc_id).alias("id"), (-F.col(row)).alias("row")))
+        is_best = F.col(row) == F.col(keep_row)
+    groups = others.groupBy("text_sha256").agg(best.alias("keep_id"), F.count("*").alias("group_size"))
+    if one_row:
+        groups = groups.select(
+            "text_sha256", F.col("keep_id.id").alias("keep_id"), (-F.col("keep_id.row")).alias(keep_row), "group_size"
+        )
+    matched = spread_join(others, groups, ["text_sha256"], by=row if one_row else doc_id).select(
+        *columns, "keep_id", "group_size", is_best.alias("kept")
     )
     return once.unionByName(matched)

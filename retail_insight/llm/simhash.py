@@ -39,18 +39,25 @@ def fingerprint_of(text: str | bytes | None, words: int = 4) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
-    """``doc_id`` and ``fp``, a long, for every row; a null text counts as empty."""
+def fingerprints(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, row: str | None = None
+) -> DataFrame:
+    """``id``, ``fp``, a long, and ``row`` (a long, if it is named) for every row; a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary())
             found = [fingerprint_of(t.as_py(), words) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["id", "fp"])
+            columns = [batch.column(0), pa.array(found, pa.int64()), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "row"][: len(columns)])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    slim = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
-    return slim.mapInArrow(run, f"id {kind}, fp long")
+    slim = docs.select(
+        F.col(doc_id).alias("id"),
+        F.col(text).cast("string").alias("text"),
+        *([F.col(row).cast("long").alias("row")] if row else []),
+    )
+    return slim.mapInArrow(run, f"id {kind}, fp long" + ", row long" * bool(row))
 
 
 def posting_positions(distance: int = 4) -> list[tuple[int, ...]]:
@@ -171,7 +178,12 @@ def connected(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, distance: int = 4
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    words: int = 4,
+    distance: int = 4,
+    row: str | None = None,
 ) -> DataFrame:
     """One row per document: its id, ``fp`` and ``component_id``.
 
@@ -180,9 +192,14 @@ def near_duplicates(
     have fingerprint zero and link like any other. A null id is passed over
     for the component unless a group has no other; rows that repeat an id each
     come out. An empty table gives no rows; other columns are not used.
+
+    ``row`` names a column of distinct longs. It then comes out too, with
+    ``first``: true for one row of each group, that of the smallest id, null
+    last, and of these the smallest ``row``.
     """
-    marked = stage(fingerprints(docs, doc_id, text, words), "fingerprints")
-    first = stage(marked.groupBy("fp").agg(F.min("id").alias("first_id")), "distinct-fingerprints")
+    marked = stage(fingerprints(docs, doc_id, text, words, row), "fingerprints")
+    least_id = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")) if row else F.min("id")
+    first = stage(marked.groupBy("fp").agg(least_id.alias("first_id")), "distinct-fingerprints")
     links = stage(links_between(first.select("fp"), distance), "links")
     groups = connected(links)
     rooted = first.join(groups, F.col("fp") == F.col("member"), "left").select(
@@ -190,8 +207,15 @@ def near_duplicates(
     )
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     chosen = spread_join(rooted, least, ["root"], by="fp").select("fp", "component_id")
-    return spread_join(marked, chosen, ["fp"], by="id").select(
-        F.col("id").alias(doc_id), "fp", "component_id"
+    found = spread_join(marked, chosen, ["fp"], by="row" if row else "id")
+    if row is None:
+        return found.select(F.col("id").alias(doc_id), "fp", "component_id")
+    return found.select(
+        F.col("id").alias(doc_id),
+        "fp",
+        F.col("component_id.id").alias("component_id"),
+        F.col("row").alias(row),
+        (F.col("row") == F.col("component_id.row")).alias("first"),
     )
 
 

@@ -84,3 +84,23 @@ def test_pipeline_mix_of_null_and_repeated_ids(spark):
     assert found.columns == docs.columns
     got = Counter((r.doc_id, r.text) for r in found.collect())
     assert got == +share and any(i is None for i, _ in got) and len({n for (i, _), n in got.items() if i == 7}) > 1
+
+
+def test_pipeline_dedup_of_null_and_repeated_ids(spark):
+    text = lambda n: " ".join(f"w{n}x{j}" for j in range(60))
+    near = lambda n: text(n) + " ."
+    rows = [(1, text(1))] * 3 + [(None, text(2))] * 3 + [(None, text(3)), (5, text(3)), (5, text(3)), (4, text(3))]
+    rows += [(6, text(6)), (6, text(7)), (None, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = corpus_pipeline.keep_distinct(spark, docs, SF)
+    assert found.columns == docs.columns
+    got = Counter((r.doc_id, r.text or "") for r in found.collect())
+    assert got == Counter([(1, text(1)), (None, text(2)), (5, text(3)), (6, text(6)), (6, text(7)), (None, "")])
+
+    assert len(components([fingerprint(text(n)) for n in range(1, 6)], range(1, 6))) == 5
+    rows = [(1, text(1))] * 2 + [(None, text(2))] * 2 + [(9, text(3)), (None, near(3)), (8, text(4)), (9, text(4)), (9, text(5))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = corpus_pipeline.keep_representatives(spark, docs, SF).collect()
+    prints = {n: fingerprint(t) for n, t in ((3, text(3)), ("3n", near(3)))}
+    third = [(9, text(3))] + [(None, near(3))] * ((prints[3] ^ prints["3n"]).bit_count() > 4)
+    assert Counter(map(tuple, got)) == Counter([(1, text(1)), (None, text(2)), *third, (8, text(4)), (9, text(5))])
