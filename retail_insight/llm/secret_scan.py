@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -122,15 +123,17 @@ def scan_secrets(
 
     ``labelled`` findings have ``doc_id``, ``word_index``, ``part`` and
     ``label`` (0 or 1); without it, labels come from ``label_by_format``. A
-    forest learns, from the first ``training_rows`` labelled findings by a hash
-    of their place, which length, character changes, coverage by frequent
-    words, surrounding word and neighbours make a false positive; it then
-    scores all candidates of all texts.
+    forest learns, from the first ``training_rows`` labelled findings of each
+    class by a hash of their place, which length, character changes, coverage
+    by frequent words, surrounding word and neighbours make a false positive;
+    it then scores all candidates of all texts. The rows of a class that has
+    more are weighed up to its size, so rare secrets all count and the scores
+    are those of the classes as they are.
 
     Null texts count as empty and have no candidates; rows that repeat an id
     come out as often; other columns are not used. With labels of one class
-    only, or none, every candidate scores that class (1.0 without any). No
-    rows give no rows.
+    only among all of them, or none, every candidate scores that class (1.0
+    without any). No rows give no rows.
     """
     words = dictionary(docs, text, dictionary_size)
     found = stage(described(candidates(docs, doc_id, text), words), "candidates")
@@ -139,22 +142,26 @@ def scan_secrets(
     else:
         place = ["doc_id", "word_index", "part"]
         known = found.join(labelled.groupBy(*place).agg(F.max("label").cast("double").alias("label")), place)
-    train = stage(
-        known.where("label IS NOT NULL")
-        .orderBy(F.xxhash64("doc_id", "word_index", "part", "candidate"), "candidate")
-        .limit(training_rows)
-        .select("label", *FEATURES),
-        "training",
-    )
-    classes = [r[0] for r in train.select("label").distinct().collect()]  # 0 and 1
+    counts = known.where("label IS NOT NULL").groupBy("label").agg(F.count("*").alias("n"))
+    sizes = {r["label"]: r["n"] for r in counts.orderBy("label").collect()}  # of 0 and 1
+    classes = list(sizes)
     kept = ["doc_id", "word_index", "part", "candidate"]
     if len(classes) < 2:
         scored = found.withColumn("score", F.lit(classes[0] if classes else 1.0))
     else:
+        firsts = [
+            known.where(F.col("label") == label)
+            .orderBy(F.xxhash64("doc_id", "word_index", "part", "candidate"), "candidate")
+            .limit(training_rows)
+            .select("label", F.lit(max(1.0, n / training_rows)).alias("weight"), *FEATURES)
+            for label, n in sizes.items()
+        ]
+        train = stage(reduce(DataFrame.unionAll, firsts).coalesce(1), "training")
         assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
         forest = RandomForestClassifier(
             featuresCol="features",
             labelCol="label",
+            weightCol="weight",
             numTrees=trees,
             maxDepth=depth,
             featureSubsetStrategy="0.5",

@@ -368,6 +368,17 @@ def test_scan_secrets(spark):
     assert len(FEATURES) == 15
 
 
+def test_scan_secrets_learns_from_rare_secrets(spark):
+    rng = random.Random(4)
+    hexed = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows = [(i, f"a number {rng.randrange(10**15, 10**16)} and more") for i in range(3000)]
+    rows += [(i, f'here token = "{hexed(39)}f" and more') for i in range(3000, 3012)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for training_rows in (20_000, 200):  # of 200 findings by hash less than one is a secret
+        found = scan_secrets(frame, training_rows=training_rows).collect()
+        assert len(found) == len(rows) and all(r.secret == (r.doc_id >= 3000) for r in found)
+
+
 # --- quality ----------------------------------------------------------------------------------------
 
 
