@@ -2,37 +2,69 @@
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 65_536  # candidates of one piece of the index
 BATCH_QUERIES = 256  # queries that meet a piece of the index together
-LARGEST = 1 << 24  # of a quantised component's size; scores stay exact in 64 bits
+LARGEST = 1 << 24  # of an indexed component's size, with up to 1,024 components; see fits_index
+SCORE_BITS = 58  # of an indexed score; leaves room for the index's own sums in 64 bits
+PIECE = 4_096  # rows that are scored together beside the index
+PLACE = ("side", "score", "beyond")  # a score of any size, see _placed
+PLACED = pa.schema(
+    [("query_id", pa.int64()), ("vec_id", pa.int64()), ("side", pa.int32()), ("score", pa.int64()), ("beyond", pa.binary())]
+)
 
 
-def quantised(vectors: DataFrame, vec_id: str, vector: str, scale: int) -> DataFrame:
-    """``vec_id`` and ``q``, the floored components, of the vectors that take part."""
+def fits_index(vector: str, scale: int) -> Column:
+    """Whether products with such vectors add up within ``SCORE_BITS``: 2^29 for one component, 2^24 for 1,024."""
+    bits = F.ceil(F.log2(F.greatest(F.size(vector), F.lit(1))))
+    largest = F.pow(F.lit(2.0), F.floor((F.lit(SCORE_BITS) - bits) / 2))
+    return F.forall(vector, lambda x: F.abs(x) * float(scale) < largest)
+
+
+def usable(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
+    """``vec_id`` and ``v``, the components, of the vectors that take part."""
     cells = F.col("v")
-    usable = (
-        F.col("vec_id").isNotNull()
-        & cells.isNotNull()
-        & F.forall(cells, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float(LARGEST) / scale))
-    )
-    return (
-        vectors.select(
-            F.col(vec_id).cast("long").alias("vec_id"),
-            F.transform(F.col(vector), lambda x: x.cast("double")).alias("v"),
-        )
-        .where(usable)
-        .select("vec_id", F.transform("v", lambda x: F.floor(x * float(scale)).cast("int")).alias("q"))
-        .groupBy("vec_id")
-        .agg(F.max("q").alias("q"))
-    )
+    finite = F.forall(cells, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return vectors.select(
+        F.col(vec_id).cast("long").alias("vec_id"),
+        F.transform(F.col(vector), lambda x: x.cast("double")).alias("v"),
+    ).where(F.col("vec_id").isNotNull() & cells.isNotNull() & finite)
+
+
+def quantised(vectors: DataFrame, scale: int) -> DataFrame:
+    """``vec_id`` with ``q``, the floored components; for vectors beyond the index ``v`` instead."""
+    fits = fits_index("v", scale)
+    floored = F.transform("v", lambda x: F.floor(x * float(scale)).cast("int"))
+    one = vectors.groupBy("vec_id").agg(F.max("v").alias("v"))
+    return one.select("vec_id", F.when(fits, floored).alias("q"), F.when(~fits, F.col("v")).alias("v"))
+
+
+def _integers(rows: pa.StructArray, width: int, scale: int) -> np.ndarray:
+    """The floored components of any size, as Python integers, filled up with zeros."""
+    out = np.zeros((len(rows), width), object)
+    for i, (q, v) in enumerate(zip(rows.field("q").to_pylist(), rows.field("v").to_pylist(), strict=True)):
+        if q is None:
+            q = [math.floor(x * scale) if math.isfinite(x * scale) else int(x) * scale for x in v]
+        out[i, : len(q)] = np.array(q, object)
+    return out
+
+
+def _placed(score: int) -> tuple[int, int | None, bytes | None]:
+    """Columns in whose order scores of any size sort: the side of the 64-bit range, the score, bytes."""
+    if -(1 << 63) <= score < 1 << 63:
+        return 0, score, None
+    size = (abs(score).bit_length() + 7) // 8
+    key = size.to_bytes(4, "big") + abs(score).to_bytes(size, "big")
+    return (1, None, key) if score > 0 else (-1, None, bytes(255 - b for b in key))
 
 
 def _matrix(lists: pa.ListArray, width: int) -> np.ndarray:
@@ -166,26 +198,36 @@ def top_k(
     bitmap addition, and the best are read off from the top slice down. Each
     block returns at most k rows a query; these are ranked once more.
 
+    Vectors with components too large for 64-bit sums (``fits_index``) are
+    scored beside the index, in integers of any size, as queries against all
+    rows and as candidates of all queries. A score beyond 64 bits has its rank,
+    but is given as null.
+
     Ties go to the smaller id. Rows with a null id, a null vector, or a
-    component that is null, not finite or 2^24 or more after scaling take no
-    part. Of rows that repeat an id, the one with the greatest vector counts.
+    component that is null or not finite take no part. An id has one row in
+    each ranking; of rows that repeat it, the one with the greatest vector counts.
     Shorter vectors count as padded with zeros. Empty vectors score 0. No rows
     give no rows; other columns are not used.
     """
-    ready = quantised(vectors, vec_id, vector, scale)
+    taking_part = usable(vectors, vec_id, vector)
+    ready = quantised(taking_part, scale)
     total = vectors.count()
+    large = taking_part.agg(F.count_if(~fits_index("v", scale))).first()[0]
     blocks, batches = total // block_rows + 1, total // every // batch_queries + 1
+    asks = F.col("vec_id") % every == 0
+    indexed = ready.where("q IS NOT NULL").select("vec_id", "q")
 
     def packed(rows: DataFrame, own: str, parts: int, other: str, others: int) -> DataFrame:
         """Rows gathered by a hash of the id into parts, a copy for each part of the other side."""
         one = rows.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias(own)).agg(
-            F.sort_array(F.collect_list(F.struct("vec_id", "q"))).alias(f"{own}_rows")
+            F.sort_array(F.collect_list(F.struct(*rows.columns))).alias(f"{own}_rows")
         )
         return one.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
 
-    index = packed(ready, "block", blocks, "batch", batches)
-    queries = packed(ready.where(F.col("vec_id") % every == 0), "batch", batches, "block", blocks)
-    cells = index.join(queries.hint("shuffle_merge"), ["block", "batch"]).select("block_rows", "batch_rows")
+    def met(index: DataFrame, queries: DataFrame, blocks: int, batches: int) -> DataFrame:
+        left = packed(index, "block", blocks, "batch", batches)
+        right = packed(queries, "batch", batches, "block", blocks)
+        return left.join(right.hint("shuffle_merge"), ["block", "batch"]).select("block_rows", "batch_rows")
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
@@ -209,8 +251,38 @@ def top_k(
                         names=["query_id", "vec_id", "score"],
                     )
 
-    merged = cells.mapInArrow(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    def run_exactly(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            for cell in range(batch.num_rows):
+                rows, asked = [batch.column(c).slice(cell, 1).flatten() for c in (0, 1)]
+                width = max(pc.max(pc.list_value_length(x.field(c))).as_py() or 0 for x in (rows, asked) for c in "qv")
+                own = asked.field("vec_id").to_pylist()
+                values, best = _integers(asked, width, scale), [[] for _ in own]
+                for at in range(0, len(rows), PIECE):
+                    piece = rows.slice(at, PIECE)
+                    ids, components = piece.field("vec_id").to_pylist(), _integers(piece, width, scale)
+                    for n, query in enumerate(own):
+                        products = (components * values[n]).sum(axis=1).tolist() if width else [0] * len(ids)
+                        scores = [(-s, i) for s, i in zip(products, ids, strict=True) if i != query]
+                        best[n] = heapq.nsmallest(k, [*best[n], *scores])
+                for query, ranked in zip(own, best, strict=True):
+                    found_rows = [{"query_id": query, "vec_id": i, **dict(zip(PLACE, _placed(-s)))} for s, i in ranked]
+                    yield pa.RecordBatch.from_pylist(found_rows, schema=PLACED)
+
+    merged = met(indexed, indexed.where(asks), blocks, batches).mapInArrow(run, "query_id long, vec_id long, score long")
+    if large:  # without any there is nothing to add
+        merged = merged.select("query_id", "vec_id", F.lit(0).alias("side"), "score", F.lit(None).cast("binary").alias("beyond"))
+        others = ready.where("v IS NOT NULL")
+        for index, queries, parts, groups in (
+            (ready, others.where(asks), total * 8 // block_rows + 1, large // every // batch_queries + 1),
+            (others, ready.where(asks & F.col("q").isNotNull()), large * 8 // block_rows + 1, batches),
+        ):
+            cells = met(index, queries, parts, groups)
+            merged = merged.unionByName(
+                cells.mapInArrow(run_exactly, "query_id long, vec_id long, side int, score long, beyond binary")
+            )
+    sides = [F.desc(c) for c in PLACE] if large else [F.desc("score")]
+    order = Window.partitionBy("query_id").orderBy(*sides, "vec_id")
     return (
         merged.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)

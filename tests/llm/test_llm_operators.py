@@ -330,6 +330,22 @@ def test_top_k(spark):
     assert Counter(r.query_id for r in few) == {0: 3, 20: 3, 480: 3, 500: 3}
 
 
+def test_top_k_of_large_vectors(spark):
+    rng = random.Random(9)
+    vectors = [(i, [rng.uniform(-1, 1) for _ in range(6)]) for i in range(-20, 60)]
+    vectors += [(100, [262144.0, 0.5]), (101, [-262144.0] * 6), (120, [3e7, -5e6, 1.0]), (121, [1e15, -1e15, 3.0, 1e-3])]
+    vectors += [(140, [-1e300, 2.0]), (141, [1.7e308, -1.7e308]), (160, [6e8] * 2000), (161, [2.0**22] * 2000), (180, [])]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3)
+    whole = {i: [math.floor(64 * x) if abs(x) < 1e300 else 64 * int(x) for x in v] for i, v in vectors}
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=False))
+    want = set()
+    for q in (i for i in whole if i % 20 == 0):
+        ranked = sorted((-dot(whole[q], whole[i]), i) for i in whole if i != q)[:20]
+        want |= {(q, n + 1, i, -s if -(2**63) <= -s < 2**63 else None) for n, (s, i) in enumerate(ranked)}
+    for sizes in ({}, {"block_rows": 32, "batch_queries": 2}):
+        assert {tuple(r) for r in top_k(frame, **sizes).collect()} == want
+
+
 def test_slices_hold_large_numbers():
     rng = np.random.default_rng(3)
     values = rng.integers(-topk.LARGEST, topk.LARGEST, (200, 7))
