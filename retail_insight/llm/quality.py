@@ -132,7 +132,8 @@ def classify_quality(
     page's metadata. Both start from at most ``max_labelled`` labelled rows
     (the first by a hash of the id). In each round, either one scores all
     documents without a label, and up to ``pseudo_rows`` of each class of which
-    it is ``confident`` go to the other as pseudo-labels of lower weight. A
+    it is ``confident`` go to the other as pseudo-labels of lower weight. Rows
+    that either has chosen leave the pool, so each round adds new ones. A
     fifth of the labelled rows is held back to calibrate each view; the score
     adds both calibrated log-odds, less the prior they share. Every document
     is scored, over its whole text.
@@ -156,7 +157,8 @@ def classify_quality(
         .limit(max_labelled)
         .select("id", F.col("y").cast("double").alias("y"), (F.pmod(F.xxhash64("id", F.lit(5)), F.lit(5)) == 0).alias("held"))
     )
-    pool = stage(docs.select(F.col(doc_id).alias("id"), *[c.alias(n) for n, c in views.items()]), "views")
+    number = F.monotonically_increasing_id().alias("row")
+    pool = stage(docs.select(F.col(doc_id).alias("id"), *[c.alias(n) for n, c in views.items()], number), "views")
     joined = stage(pool.join(F.broadcast(known), "id", "left"), "views")  # bounded by max_labelled
     rows = joined.where("y IS NOT NULL").dropDuplicates(["id"]).orderBy("id").toPandas()
     good = float(rows["y"].mean()) if len(rows) else 1.0
@@ -183,19 +185,23 @@ def classify_quality(
             "t": _sigmoid(_linear(F.col("t"), models["t"].w.tolist())),
             "m": _sigmoid(_slotted(F.col("m"), models["m"].w.tolist(), len(names))),
         }
-        scored = unlabelled.select("id", "t", "m", p["t"].alias("pt"), p["m"].alias("pm"))
+        scored = unlabelled.select("id", "row", "t", "m", p["t"].alias("pt"), p["m"].alias("pm"))
+        picked = []
         for view, other in (("t", "m"), ("m", "t")):
             sure = [
                 scored.where(test)
-                .orderBy(F.xxhash64("id"), "id")
+                .orderBy(F.xxhash64("id"), "id", "row")
                 .limit(pseudo_rows)
                 .withColumn("y", F.lit(value))
                 for value, test in ((1.0, f"p{view} >= {confident}"), (0.0, f"p{view} <= {1 - confident}"))
             ]
-            chosen = sure[0].unionAll(sure[1]).toPandas()  # at most twice pseudo_rows
+            picked.append(stage(sure[0].unionAll(sure[1]), "pseudo-labels"))
+            chosen = picked[-1].toPandas()  # at most twice pseudo_rows
             if len(chosen):
                 ct, cm, cy = matrices(chosen)
                 train[other].append((ct if other == "t" else cm, cy, np.full(len(cy), pseudo_weight)))
+        gone = picked[0].select("row").union(picked[1].select("row")).distinct()
+        unlabelled = unlabelled.join(F.broadcast(gone), "row", "left_anti")  # four times pseudo_rows at most
 
     models = {v: fitted(v) for v in train}
     ht, hm, hy = matrices(held)

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from retail_insight.llm import byte_bpe, html_text, simhash, source_mix, suffix_dedup, topk
+from retail_insight.llm import byte_bpe, html_text, quality, simhash, source_mix, suffix_dedup, topk
 from retail_insight.llm.exact_dedup import exact_dedup
 from retail_insight.llm.html_text import blocks_of, extract_text
 from retail_insight.llm.quality import classify_quality
@@ -414,6 +414,25 @@ def test_quality_on_held_out_labels(spark):
     assert sum(r.accepted for r in clean) >= 0.99 * len(clean)
 
 
+def test_quality_rounds_choose_new_rows(spark, monkeypatch):
+    fits = []
+
+    class Noted(quality.Logit):
+        def __init__(self, x, y, weights, *more):
+            if (weights != 1).any():
+                fits.append({tuple(v) for v in x[weights != 1]} if x.shape[1] > 2 else set())
+                sizes.append(int((weights != 1).sum()))
+            super().__init__(x, y, weights, *more)
+
+    sizes = []
+    monkeypatch.setattr(quality, "Logit", Noted)
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    classify_quality(table, labels, pseudo_rows=20, confident=0.6)
+    last = sizes.index(max(sizes))  # a view with the pseudo-labels of all rounds
+    assert sizes[last] > 40 and max(map(len, fits)) >= 0.9 * sizes[last]
+
+
 def test_quality_odd_inputs(spark, docs, empty):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     assert classify_quality(empty, labels).count() == 0
