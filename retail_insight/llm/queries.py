@@ -9,6 +9,7 @@ from retail_insight.llm import byte_bpe, simhash
 from retail_insight.llm.common import table
 from retail_insight.llm.exact_dedup import exact_dedup
 from retail_insight.llm.html_text import extract_text
+from retail_insight.llm.merkle import build_manifest, prove
 from retail_insight.llm.quality import classify_quality
 from retail_insight.llm.secret_scan import scan_secrets
 from retail_insight.llm.source_mix import mix_sources
@@ -81,6 +82,23 @@ def op10_simhash_near_dedup(spark, d):
     )
 
 
+def op11_merkle_manifest(spark, d):
+    """Every document's leaf and proof; some documents claim another length than is stored."""
+    chosen = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 7 == 0
+    longer = F.when(chosen, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    manifest = build_manifest(table(spark, d, "documents"), fields, claimed={"n_chars": longer})
+    return prove(manifest).select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2("proof", 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -94,6 +112,7 @@ QUERIES = {
         op8_secret_scan,
         op9_quality_classifier,
         op10_simhash_near_dedup,
+        op11_merkle_manifest,
     )
 }
 
@@ -107,6 +126,70 @@ ORACLE = {
                doc_id = max(doc_id) OVER w AS kept, text_sha256
         FROM hashed WINDOW w AS (PARTITION BY text_sha256)
     """,
+    "op11_merkle_manifest": """
+        WITH RECURSIVE crc AS (
+            SELECT list_transform(range(256), lambda i: list_reduce(range(8),
+                       lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+        marked AS (
+            SELECT *, coalesce('=' || lang, '') AS tree, CAST(doc_id AS VARCHAR) AS id,
+                   CAST(n_chars AS VARCHAR) AS shown,
+                   xor(list_reduce(
+                       list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)),
+                       lambda c, b: xor(c >> 8, t[CAST((xor(c, b) & 255) + 1 AS INT)]), CAST(4294967295 AS BIGINT)),
+                       4294967295) % 7 = 0 AS chosen
+            FROM documents, crc),
+        told AS (
+            SELECT *, CASE WHEN chosen THEN CAST(n_chars + 1 AS VARCHAR) ELSE shown END AS claimed FROM marked),
+        encoded AS (
+            SELECT doc_id, tree, coalesce(strlen(shown) || ':' || shown, '-') AS shown,
+                   coalesce(strlen(claimed) || ':' || claimed, '-') AS claimed,
+                   coalesce(strlen(text) || ':' || text, '-') AS text,
+                   coalesce(strlen(id) || ':' || id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                       || coalesce(strlen(lang) || ':' || lang, '-') AS start
+            FROM told),
+        hashed AS (
+            SELECT doc_id, tree, sha256(start || shown || text) AS leaf, sha256(start || claimed || text) AS claim
+            FROM encoded),
+        leaves AS (
+            SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+                   row_number() OVER () AS r
+            FROM hashed),
+        nodes AS (
+            SELECT tree, 0 AS level, pos, leaf AS h FROM leaves
+            UNION ALL
+            SELECT tree, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos))
+            FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM nodes)
+            WHERE n > 1 GROUP BY tree, level, pos // 2),
+        tops AS (SELECT tree, max(level) AS depth, max_by(h, level) AS subroot FROM nodes GROUP BY tree),
+        trees AS (SELECT *, row_number() OVER (ORDER BY encode(tree)) - 1 AS place FROM tops),
+        upper AS (
+            SELECT 0 AS level, place, subroot AS h FROM trees
+            UNION ALL
+            SELECT level + 1, place // 2, sha256(string_agg(h, '' ORDER BY place))
+            FROM (SELECT *, count(*) OVER () AS n FROM upper) WHERE n > 1 GROUP BY level, place // 2),
+        whole AS (SELECT max(level) AS height, max_by(h, level) AS root FROM upper),
+        inside AS (
+            SELECT r, tree, unnest(range(depth)) AS step, pos FROM leaves JOIN trees USING (tree)),
+        beyond AS (
+            SELECT r, depth, unnest(range(height)) AS step, place FROM leaves JOIN trees USING (tree), whole),
+        steps AS (
+            SELECT r, step, (i.pos >> step) & 1 AS side, h
+            FROM inside i LEFT JOIN nodes n ON n.tree = i.tree AND level = step AND n.pos = xor(i.pos >> step, 1)
+            UNION ALL
+            SELECT r, depth + step, (b.place >> step) & 1, h
+            FROM beyond b LEFT JOIN upper u ON level = step AND u.place = xor(b.place >> step, 1)),
+        folded AS (
+            SELECT r, 0 AS step, claim AS h FROM leaves
+            UNION ALL
+            SELECT r, step + 1, sha256(CASE WHEN side = 1 THEN coalesce(s.h, '') || f.h ELSE f.h || coalesce(s.h, '') END)
+            FROM folded f JOIN steps s USING (r, step)),
+        proofs AS (
+            SELECT r, sha256(coalesce(string_agg(h, '' ORDER BY step), '')) AS proof_sha256 FROM steps GROUP BY r),
+        ends AS (SELECT r, max_by(h, step) AS folded_root FROM folded GROUP BY r)
+        SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root,
+               folded_root = root AS verified
+        FROM leaves JOIN trees USING (tree) JOIN ends USING (r) LEFT JOIN proofs USING (r), whole
+    """,
     "op7_exact_topk": """
         WITH vectors AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
