@@ -15,6 +15,7 @@ from retail_insight.llm.secret_scan import scan_secrets
 from retail_insight.llm.source_mix import mix_sources
 from retail_insight.llm.suffix_dedup import repeated_bytes
 from retail_insight.llm.token_counts import count_tokens
+from retail_insight.llm.token_store import write_tokens
 from retail_insight.llm.topk import top_k
 
 
@@ -99,6 +100,13 @@ def op11_merkle_manifest(spark, d):
     )
 
 
+def op12_token_store(spark, d):
+    """Every document's numbers, written to raw files and read back by key."""
+    docs = table(spark, d, "documents")
+    store = write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return store.fetch(docs).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -113,6 +121,7 @@ QUERIES = {
         op9_quality_classifier,
         op10_simhash_near_dedup,
         op11_merkle_manifest,
+        op12_token_store,
     )
 }
 
