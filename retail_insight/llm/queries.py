@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retail_insight.llm import byte_bpe, simhash
+from retail_insight.llm import byte_bpe, conversations, simhash
 from retail_insight.llm.common import table
 from retail_insight.llm.exact_dedup import exact_dedup
 from retail_insight.llm.html_text import extract_text
@@ -107,6 +108,41 @@ def op12_token_store(spark, d):
     return store.fetch(docs).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Turns of which a twentieth each is dropped, emptied, without stops, repeated, or the user's."""
+    space = F.lit(" ")
+    name = lambda c: F.coalesce(F.col(c).cast("string"), space)
+    fate = F.crc32(F.encode(F.concat(name("conv_id"), F.lit(":"), name("turn")), "UTF-8")) % 20
+    text = F.coalesce("text", space)
+    return (
+        turns.withColumn("fate", fate)
+        .where("fate <> 0")
+        .select(
+            "conv_id",
+            "turn",
+            F.when(F.col("fate") == 4, "user").otherwise(F.coalesce("role", space)).alias("role"),
+            F.when(F.col("fate") == 1, "").when(F.col("fate") == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+            F.explode(F.when(F.col("fate") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"),
+        )
+        .drop("copy")
+    )
+
+
+def op13_conversation_repair(spark, d):
+    """What is wrong with every damaged conversation, and the cheapest edits that repair it."""
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    found = conversations.summarise(conversations.repair(damaged(turns)))
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    every = turns.select("conv_id").distinct()
+    same = every["conv_id"].eqNullSafe(found["conv_id"])
+    return every.join(found, same, "left").select(
+        every["conv_id"],
+        *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.sha2(F.coalesce("repaired", F.lit("")), 256).alias("repaired_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -122,6 +158,7 @@ QUERIES = {
         op10_simhash_near_dedup,
         op11_merkle_manifest,
         op12_token_store,
+        op13_conversation_repair,
     )
 }
 
