@@ -51,24 +51,22 @@ class WordEncoder:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return [array("H", x.ids).tobytes() for x in found]
 
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """What ``words`` stand for, at least; new short ones are remembered."""
-        if len(self.known) > CACHE_WORDS:
-            self.known = {"": b""}
-        new = words - self.known.keys()
-        if not new:
-            return self.known
-        stopped = {w for w in new if w[-1] in STOPS and w[:-1].isalpha()}
-        plain = list((new - stopped) | {p for w in stopped for p in (w[:-1], w[-1])} - self.known.keys())
-        fresh = dict(zip(plain, self._numbers(plain), strict=True))
-        both = lambda w: fresh.get(w) or self.known[w]
-        fresh |= {w: both(w[:-1]) + both(w[-1]) for w in stopped}
-        self.known |= {w: v for w, v in fresh.items() if len(w) <= CACHED_CHARS}
-        return self.known if len(fresh) == sum(len(w) <= CACHED_CHARS for w in fresh) else self.known | fresh
-
     def encode(self, text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
-        return b"".join(map(self._learn(set(words)).__getitem__, words))
+        if len(self.known) > CACHE_WORDS:
+            self.known = {"": b""}
+        known = self.known
+        new = {w for w in words if w not in known}
+        stopped = [w for w in new if w[-1] in STOPS and w[:-1].isalpha()]
+        parts = {p for w in stopped for p in (w[:-1], w[-1]) if p not in known}
+        plain = list(parts.union(new.difference(stopped)))
+        known.update(zip(plain, self._numbers(plain), strict=True))
+        for w in stopped:
+            known[w] = known[w[:-1]] + known[w[-1]]
+        packed = b"".join(map(known.__getitem__, words))
+        for w in [w for w in new.union(parts) if len(w) > CACHED_CHARS]:
+            del known[w]
+        return packed
 
 
 def _hashes(key: Column, copy: Column) -> tuple[Column, Column]:
