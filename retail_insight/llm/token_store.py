@@ -9,10 +9,14 @@ through the shards and inside them, each ended by the end number.
 from __future__ import annotations
 
 import json
+import re
 import struct
+import sys
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +32,19 @@ ROW_BYTES = 64  # that a document counts for besides its text, so that a shard's
 BLOCK_KEYS = 1_024  # keys of one index block, on average
 BUCKET_KEYS = 4  # keys that share a displacement, on average
 MOST_TRIES = 1 << 22
-CACHE_WORDS = 600_000
-TOGETHER = 500  # words encoded in one go
+CACHE_WORDS = 700_000
+TOGETHER = 2_000  # words encoded in one go
 CACHED_CHARS = 64  # longer words are not remembered
 BATCH_BYTES = 4 << 20
+BATCH_CHARS = 1 << 20  # of texts encoded in one go
 RECORD = "<qi"  # tokens with the end number, bytes of the key or -1 for null
 STOPS = frozenset(".,;:!?")
+# Up to here letters are composed already and, but for İ, have one lower case, which does not depend on others.
+PLAIN = "\u0250"
+OTHER = re.compile("[^\x00-\u012f\u0131-\u024f]").search
+# How byte-level vocabularies show the bytes that are no visible character of Latin-1: by further letters, in order.
+HIDDEN = [n for n in range(256) if not (33 <= n <= 126 or 161 <= n <= 172 or 174 <= n)]
+SHOWN = {n: 256 + k for k, n in enumerate(HIDDEN) if n != 32}
 
 
 class WordEncoder:
@@ -49,8 +60,12 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_str(model), {"": b""}
+        # The merges alone, for words that are in lower case and whole already.
+        bare = json.loads(model) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        self.merges = Tokenizer.from_str(json.dumps(bare))
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
-        suffix = json.loads(model)["model"]["end_of_word_suffix"]
+        suffix = bare["model"]["end_of_word_suffix"]
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[n for token, n in vocabulary.items() if token.endswith(suffix)]] = True
 
@@ -59,44 +74,60 @@ class WordEncoder:
         return [array("H", x.ids).tobytes() for x in found]
 
     def _letters(self, words: list[str]) -> list[bytes]:
-        """Numbers of words that are one run of letters each: encoded together, cut where runs end."""
-        found = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
+        """Numbers of words of plain letters: encoded together, cut where runs end."""
+        shown = " ".join(words)
+        if not shown.isascii():
+            shown = shown.encode().decode("latin-1").translate(SHOWN)
+        found = self.merges.encode_batch_fast([shown], add_special_tokens=False)[0].ids
         numbers = np.array(found, "<u2")
-        ends = np.flatnonzero(self.ends[numbers]) + 1
-        if len(ends) != len(words):  # letters that only one of both sides knows
-            return self._one_by_one(words)
-        data, places = numbers.tobytes(), [0, *(2 * ends).tolist()]
+        places = [0, *(2 * np.flatnonzero(self.ends[numbers]) + 2).tolist()]
+        data = numbers.tobytes()
         return [data[a:b] for a, b in zip(places, places[1:], strict=False)]
 
     def _learn(self, words: set[str]) -> None:
         letters, others = [], []
         for w in words:
-            (letters if w.isalpha() and w.lower().isalpha() else others).append(w)
+            (letters if w.islower() and w.isalpha() and max(w) < PLAIN else others).append(w)
         for k in range(0, len(letters), TOGETHER):
             run = letters[k : k + TOGETHER]
             self.known.update(zip(run, self._letters(run), strict=True))
         self.known.update(zip(others, self._one_by_one(others), strict=True))
 
-    def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
+    def _lower(self, text: str) -> str:
+        """The text in lower case, where that changes no numbers."""
+        if not text.isascii() and OTHER(text) or any(x in text for x in self.special):
+            return text
+        return text.lower()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [self._lower(text).replace("\n", " ").split(" ") for text in texts]
         if len(self.known) > CACHE_WORDS:
             self.known = {"": b""}
         known = self.known
-        new = {w for w in words if w not in known}
-        parts = {}  # of each new word, what it is in lower case without a stop, and the stop
+        new = [w for w in set(chain.from_iterable(split)) if w not in known]
+        heads, stops = [], []  # of each new word, what it is without a stop, and the stop
         for w in new:
             head, stop = (w[:-1], w[-1]) if w[-1] in STOPS and w[:-1].isalpha() else (w, "")
-            parts[w] = (head.lower() if head.isascii() and head.isalpha() else head, stop)
-        wanted = {p for pair in parts.values() for p in pair if p not in known}
+            heads.append(head)
+            stops.append(stop)
+        wanted = {p for p in chain(heads, stops) if p not in known}
         self._learn(wanted)
-        for w, (head, stop) in parts.items():
+        for w, head, stop in zip(new, heads, stops, strict=True):
             known[w] = known[head] + known[stop]
-        packed = b"".join(map(known.__getitem__, words))
-        for w in [w for w in new | wanted if len(w) > CACHED_CHARS]:
+        packed = [b"".join(map(known.__getitem__, words)) for words in split]
+        for w in {w for w in chain(new, wanted) if len(w) > CACHED_CHARS}:
             del known[w]
         return packed
 
 
+def worker_encoder(model: str) -> WordEncoder:
+    """The encoder of this worker process; its words serve all tasks that the process runs."""
+    held = sys.modules.setdefault("token_store_worker", ModuleType("token_store_worker")).__dict__
+    if held.get("model") != model:
+        held |= {"model": model, "encoder": WordEncoder(model)}
+    return held["encoder"]
+
+
 def _hashes(key: Column, copy: Column) -> tuple[Column, Column]:
     """Two independent 64-bit hashes of a key and the number of its copy."""
     return F.xxhash64(key, copy), F.xxhash64(F.lit("fingerprint"), key, copy)
@@ -304,30 +335,32 @@ def _encoded(ordered: DataFrame, model: str, end_id: int) -> DataFrame:
     """For every document its numbers and its record, as rows of kind, shard, at and value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, at = WordEncoder(model), TaskContext.get().partitionId(), 0
-        kinds, places, values, size = [], [], [], 0
+        encoder, shard, at = worker_encoder(model), TaskContext.get().partitionId(), 0
 
-        def out() -> pa.RecordBatch:
+        def out(keys: list[str | None], texts: list[str]) -> pa.RecordBatch:
+            kinds, values = [], []
+            for key, numbers in zip(keys, encoder.encode(texts), strict=True):
+                coded = b"" if key is None else key.encode()
+                kinds += ["ids", "docs"]
+                values += [numbers, struct.pack(RECORD, len(numbers) // 2 + 1, -1 if key is None else len(coded)) + coded]
+            places = np.repeat(np.arange(at, at + len(keys)), 2)
             return pa.RecordBatch.from_arrays(
-                [pa.array(kinds, pa.string()), pa.array([shard] * len(kinds), pa.int32()), pa.array(places, pa.int64()), pa.array(values, pa.binary())],
+                [pa.array(kinds, pa.string()), pa.array(np.full(len(kinds), shard, np.int32)), pa.array(places), pa.array(values, pa.binary())],
                 names=["kind", "shard", "at", "value"],
             )
 
         for batch in batches:
+            keys, texts, size = [], [], 0
             for key, text in zip(batch["key"], batch["text"], strict=True):
-                numbers = encoder.encode(text.as_py() or "")
-                name = key.as_py()
-                coded = b"" if name is None else name.encode()
-                record = struct.pack(RECORD, len(numbers) // 2 + 1, -1 if name is None else len(coded)) + coded
-                kinds += ["ids", "docs"]
-                places += [at, at]
-                values += [numbers, record]
-                at, size = at + 1, size + len(numbers) + len(record)
-                if size > BATCH_BYTES:
-                    yield out()
-                    kinds, places, values, size = [], [], [], 0
-        if kinds:
-            yield out()
+                keys.append(key.as_py())
+                texts.append(text.as_py() or "")
+                size += len(texts[-1])
+                if size > BATCH_CHARS:
+                    yield out(keys, texts)
+                    at, keys, texts, size = at + len(keys), [], [], 0
+            if keys:
+                yield out(keys, texts)
+                at += len(keys)
 
     return ordered.mapInArrow(run, "kind string, shard int, at long, value binary")
 
