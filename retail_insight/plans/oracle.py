@@ -520,3 +520,42 @@ FROM facts GROUP BY product_category""",
   FROM facts GROUP BY brand ORDER BY cnt DESC, brand LIMIT 10)
 SELECT *, CAST(row_number() OVER (ORDER BY revenue DESC, product_category) AS INT) AS place FROM top""",
 }
+
+
+def _long(part: str, item: str, figures: tuple[str, ...], sql: str) -> str:
+    """A statement's rows as one row for each figure."""
+    return " UNION ALL ".join(
+        f"SELECT '{part}' AS part, CAST({item} AS VARCHAR) AS item, '{c}' AS measure, CAST({c} AS DOUBLE) AS value FROM ({sql})"
+        for c in figures
+    )
+
+
+ORACLE["overview_one_scan"] = " UNION ALL ".join(
+    (
+        _long("summary", "NULL", ("row_count",), f"WITH {FACTS} SELECT count(*) AS row_count FROM facts"),
+        _long(
+            "kpis",
+            "NULL",
+            ("customers", "categories", "revenue", "return_rate_pct", "churn_rate_pct"),
+            ORACLE["kpis"],
+        ),
+        _long("daily_sales", "purchase_date", ("revenue", "orders", "rev_ma7"), ORACLE["daily_sales_ma7"]),
+        _long(
+            "top_categories",
+            "product_category",
+            ("cnt", "revenue"),
+            f"""WITH {FACTS} SELECT product_category, count(*) AS cnt, CAST(sum(total_amount) AS DOUBLE) AS revenue
+FROM facts GROUP BY product_category ORDER BY cnt DESC, product_category LIMIT 10""",
+        ),
+        _long("payment_mix", "payment_method", ("cnt", "revenue"), ORACLE["payment_mix"]),
+        _long(
+            "daily_return_rate",
+            "purchase_date",
+            ("return_rate",),
+            f"""WITH {FACTS} SELECT purchase_date, CAST(sum(returns) AS DOUBLE) / count(returns) AS return_rate
+FROM facts WHERE purchase_date IS NOT NULL GROUP BY purchase_date""",
+        ),
+        _long("churn_by_gender", "gender", ("churn_rate",), ORACLE["churn_by_gender"]),
+        _long("age_histogram", "bin", ("n",), ORACLE["age_histogram"]),
+    )
+)

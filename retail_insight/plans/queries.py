@@ -318,6 +318,30 @@ def monthly_revenue_filled(spark, d):
     return fill_month_gaps(monthly_revenue(facts(spark, d), by), by=by)
 
 
+# The parts of the overview in long form: the column that names a row, and its figures.
+OVERVIEW_PARTS = {
+    "summary": (None, ("row_count",)),
+    "kpis": (None, ("customers", "categories", "revenue", "return_rate_pct", "churn_rate_pct")),
+    "daily_sales": ("purchase_date", ("revenue", "orders", "rev_ma7")),
+    "top_categories": ("product_category", ("cnt", "revenue")),
+    "payment_mix": ("payment_method", ("cnt", "revenue")),
+    "daily_return_rate": ("purchase_date", ("return_rate",)),
+    "churn_by_gender": ("gender", ("churn_rate",)),
+    "age_histogram": ("bin", ("n",)),
+}
+
+
+def overview_one_scan(spark, d):
+    """Every part of the overview report, from one scan, a row for each figure."""
+    report = reports.overview(facts(spark, d))
+    rows = []
+    for part, (item, figures) in OVERVIEW_PARTS.items():
+        named = F.col(item) if item else F.lit(None)
+        shown = F.explode(F.array(*[F.struct(F.lit(c).alias("m"), F.col(c).cast("double").alias("v")) for c in figures]))
+        rows.append(report[part].select(F.lit(part).alias("part"), named.cast("string").alias("item"), shown.alias("f")))
+    return reduce(DataFrame.unionAll, rows).select("part", "item", F.col("f.m").alias("measure"), F.col("f.v").alias("value"))
+
+
 def kpis_cleaned(spark, d):
     return ov.kpis(_cleaned(spark, d))
 
@@ -715,6 +739,7 @@ QUERIES: dict[str, Query] = {
     "product_nearest_centre": product_nearest_centre,
     "product_nearest_centre_given_k": product_nearest_centre_given_k,
     "product_k_choice": product_k_choice,
+    "overview_one_scan": overview_one_scan,
     "kpis_cleaned": kpis_cleaned,
     "daily_sales_cleaned": daily_sales_cleaned,
     "customer_profiles": customer_profiles,

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from retail_insight.operators import overview as ov
 from retail_insight.operators.clustering import MODEL_ERRORS
-from retail_insight.operators.histogram import age_histogram, rfm_distribution
+from retail_insight.operators.histogram import rfm_distribution
+from retail_insight.operators.overview_scan import overview_of
 from retail_insight.operators.products import (
     ProductClusters,
     Projection,
@@ -42,27 +43,28 @@ from retail_insight.sources.workspace import cut_lineage
 
 
 def overview(df: DataFrame) -> dict[str, DataFrame]:
-    """Summary, KPIs and the breakdowns by day, category, payment, gender, age."""
-    parts = {"summary": ov.table_summary(df)}
+    """Summary, KPIs and the breakdowns by day, category, payment, gender, age: one scan for all."""
+    whole = overview_of(df)
+    parts = {"summary": whole.summary()}
     kpi_columns = ("customer_id", "product_category", "total_amount", "returns", "churn")
     if any(has(df, c) for c in kpi_columns):
-        parts["kpis"] = ov.kpis(df)
+        parts["kpis"] = whole.kpis()
     if has(df, "purchase_date", "total_amount"):
-        parts["daily_sales"] = ov.daily_sales(df)
+        parts["daily_sales"] = whole.daily_sales()
     if has(df, "product_category"):
-        parts["top_categories"] = ov.top_categories(df)
+        parts["top_categories"] = whole.top_categories()
         if has(df, "total_amount"):
             parts["top_categories_by_revenue"] = parts["top_categories"].orderBy(
                 F.desc("revenue"), "product_category"
             )
     if has(df, "payment_method"):
-        parts["payment_mix"] = ov.payment_mix(df)
+        parts["payment_mix"] = whole.payment_mix()
     if has(df, "purchase_date", "returns"):
-        parts["daily_return_rate"] = ov.daily_return_rate(df)
+        parts["daily_return_rate"] = whole.daily_return_rate()
     if has(df, "churn", "gender"):
-        parts["churn_by_gender"] = ov.churn_by_gender(df)
+        parts["churn_by_gender"] = whole.churn_by_gender()
     if has(df, "customer_age"):
-        parts["age_histogram"] = age_histogram(df)
+        parts["age_histogram"] = whole.age_histogram()
     return parts
 
 
