@@ -6,10 +6,11 @@ hot key costs one row per task in the shuffle, whatever its share of the rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retail_insight.functions.measures import average, percent, total
+from retail_insight.functions.measures import average, total
+from retail_insight.operators.overview_scan import KPI_COLUMNS, Overview, overview_states
 from retail_insight.operators.series import moving_average
 from retail_insight.schema import has, require
 
@@ -23,46 +24,15 @@ def table_summary(df: DataFrame) -> DataFrame:
     )
 
 
-def _percent_of(flag: str) -> Column:
-    return percent(F.sum(f"{flag}_sum").cast("double") / F.nullif(F.sum(f"{flag}_n"), F.lit(0)))
-
-
-def _kpis(df: DataFrame, measures: dict[str, Column]) -> DataFrame:
-    """The measures from one row per customer and category.
-
-    Two distinct counts in one aggregate would copy every purchase for each of
-    them; this way the purchases are combined once, in the map tasks.
-    """
-    keys = [c for c in ("customer_id", "product_category") if c in measures]
-    sums = [total(c).alias(f"{c}_sum") for c in measures if c not in keys]
-    counts = [F.count(c).alias(f"{c}_n") for c in measures if c not in keys]
-    pairs = df.groupBy(*keys).agg(*sums, *counts, F.count(F.lit(1)).alias("n"))
-    if len(keys) < 2:
-        return pairs.agg(*measures.values())
-    # Carrying the same columns lets the second count share the first one's shuffle.
-    carried = [F.max(c) for c in pairs.columns if c not in keys]
-    categories = pairs.agg(measures["product_category"], *carried).select("categories").scalar()
-    rest = pairs.agg(*[m for c, m in measures.items() if c != "product_category"])
-    first, *others = rest.columns
-    return rest.select(first, categories.alias("categories"), *others)
-
-
 def kpis(df: DataFrame) -> DataFrame:
     """Customers, categories, revenue, return and churn percent in one pass.
 
-    A figure whose column is absent is left out.
+    A figure whose column is absent is left out. Customers and categories are
+    two sets of one grouping: each purchase is combined under either in the map
+    tasks, and no pair of the two is ever counted.
     """
-    measures = {
-        "customer_id": F.count_distinct("customer_id").alias("customers"),
-        "product_category": F.count_distinct("product_category").alias("categories"),
-        "total_amount": F.sum("total_amount_sum").cast("double").alias("revenue"),
-        "returns": _percent_of("returns").alias("return_rate_pct"),
-        "churn": _percent_of("churn").alias("churn_rate_pct"),
-    }
-    present = {c: m for c, m in measures.items() if has(df, c)}
-    if not present:
-        raise ValueError("no KPI column is present")
-    return _kpis(df, present)
+    narrow = df.select(*[c for c in KPI_COLUMNS if has(df, c)])
+    return Overview(overview_states(narrow), narrow.columns).kpis()
 
 
 def daily_sales(df: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ from retail_insight.sources.workspace import stage
 COUNTED = "customer_id"
 KEPT = ("purchase_date", "product_category", "payment_method", "gender", "customer_age")
 MEASURES = ("total_amount", "returns", "churn")
+KPI_COLUMNS = (COUNTED, "product_category", *MEASURES)
 
 
 def _value(measure: str) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from retail_insight.operators import overview as ov
 from retail_insight.operators.clustering import MODEL_ERRORS
 from retail_insight.operators.histogram import rfm_distribution
-from retail_insight.operators.overview_scan import overview_of
+from retail_insight.operators.overview_scan import KPI_COLUMNS, overview_of
 from retail_insight.operators.products import (
     ProductClusters,
     Projection,
@@ -46,8 +46,7 @@ def overview(df: DataFrame) -> dict[str, DataFrame]:
     """Summary, KPIs and the breakdowns by day, category, payment, gender, age: one scan for all."""
     whole = overview_of(df)
     parts = {"summary": whole.summary()}
-    kpi_columns = ("customer_id", "product_category", "total_amount", "returns", "churn")
-    if any(has(df, c) for c in kpi_columns):
+    if any(has(df, c) for c in KPI_COLUMNS):
         parts["kpis"] = whole.kpis()
     if has(df, "purchase_date", "total_amount"):
         parts["daily_sales"] = whole.daily_sales()
