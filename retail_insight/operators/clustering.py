@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from py4j.protocol import Py4JJavaError
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import StorageLevel
 from pyspark.errors import PySparkException
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -16,6 +15,7 @@ from pyspark.ml.feature import StandardScaler, StandardScalerModel, VectorAssemb
 from pyspark.sql import DataFrame
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from retail_insight.operators.k_sweep import CentreModel, sweep
 from retail_insight.operators.sampling import SEED
 
 # What a model that cannot be fitted or scored raises.
@@ -71,9 +71,9 @@ class Choice:
 
     k: int
     score: float | None
-    model: KMeansModel
+    model: KMeansModel | CentreModel
     tried: list[tuple[int, float | None]]
-    models: dict[int, KMeansModel] = field(default_factory=dict)
+    models: dict[int, CentreModel] = field(default_factory=dict)
 
     def scores(self, like: DataFrame) -> DataFrame:
         """Score table ``k``, ``silhouette``."""
@@ -90,33 +90,16 @@ def best_k(tried: Sequence[tuple[int, float | None]]) -> int:
 
 
 def select_k(
-    scaled: DataFrame,
-    ks: Sequence[int],
-    on_error: float | None = None,
-    seed: int = SEED,
-    parallelism: int = 10,
+    scaled: DataFrame, ks: Sequence[int], on_error: float | None = None, seed: int = SEED
 ) -> Choice:
-    """Fit every k and keep the one with the highest silhouette.
+    """Fit every k in the same passes and keep the one with the highest silhouette.
 
-    The fits are independent and made of many short jobs, so several run at a
-    time. ``on_error`` is the score of a k whose silhouette cannot be computed;
-    by default it has none, and any k with a score is preferred.
+    ``on_error`` is the score of a k whose silhouette cannot be computed; by
+    default it has none, and any k with a score is preferred.
     """
     if not ks:
         raise ValueError("no k to try")
-
-    def attempt(k: int) -> tuple[int, float | None, KMeansModel]:
-        model = fit_kmeans(scaled, k, seed)
-        try:
-            score = silhouette(model.transform(scaled))
-        except MODEL_ERRORS:
-            score = on_error
-        return k, score, model
-
-    with ThreadPoolExecutor(max_workers=min(parallelism, len(ks))) as pool:
-        target = inheritable_thread_target(scaled.sparkSession)(attempt)
-        done = list(pool.map(target, ks))
-    tried = [(k, score) for k, score, _ in done]
+    models, _ = sweep(scaled, ks, seed)
+    tried = [(k, on_error if models[k].score is None else models[k].score) for k in ks]
     k = best_k(tried)
-    models = {j: m for j, _, m in done}
     return Choice(k, dict(tried)[k], models[k], tried, models)
