@@ -115,7 +115,9 @@ class _Sweep:
                     [batch.column(0).take(pa.array(far[first])), pa.array(clock[first], pa.float64())], names=["x", "clock"]
                 )
 
-        hashed = F.pmod(F.xxhash64("x", F.lit(self.seed), F.lit(turn)), F.lit(1 << 52))
+        # The last bits of a scaled value depend on the order in which the scaler met the rows.
+        steady = F.transform("x", lambda v: F.round(v, 6))
+        hashed = F.pmod(F.xxhash64(steady, F.lit(self.seed), F.lit(turn)), F.lit(1 << 52))
         chance = ((hashed + 0.5) / float(1 << 52)).alias("chance")
         rung = self.points.select("x", chance).mapInArrow(run, "x array<double>, clock double")
         return [list(r.x) for r in rung.orderBy("clock", "x").limit(rows).collect()]
