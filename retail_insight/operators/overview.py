@@ -9,9 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retail_insight.functions.measures import average, total
-from retail_insight.operators.overview_scan import KPI_COLUMNS, Overview, overview_states
-from retail_insight.operators.series import moving_average
+from retail_insight.functions.measures import average, exact_part, large_part, total
+from retail_insight.operators.overview_scan import KPI_COLUMNS, Overview, overview_states, with_mean_revenue
 from retail_insight.schema import has, require
 
 
@@ -38,16 +37,13 @@ def kpis(df: DataFrame) -> DataFrame:
 def daily_sales(df: DataFrame) -> DataFrame:
     """Revenue, order count and 7-row trailing mean revenue per day on record."""
     require(df, "purchase_date", "total_amount")
+    exact, large = F.sum(exact_part("total_amount")), F.sum(large_part("total_amount"))
     daily = (
         df.where(F.col("purchase_date").isNotNull())
         .groupBy("purchase_date")
-        .agg(total("total_amount").alias("revenue"), F.count(F.lit(1)).alias("orders"))
-    )
-    return (
-        moving_average(daily, "revenue", "purchase_date", rows=7, name="rev_ma7")
-        .withColumn("revenue", F.col("revenue").cast("double"))
-        .orderBy("purchase_date")
+        .agg(exact.alias("exact"), large.alias("large"), F.count(F.lit(1)).alias("orders"))
     )
+    return with_mean_revenue(daily)
 
 
 def top_categories(df: DataFrame, by: str = "cnt", n: int = 10) -> DataFrame:
@@ -55,7 +51,7 @@ def top_categories(df: DataFrame, by: str = "cnt", n: int = 10) -> DataFrame:
     require(df, "product_category")
     measures = [F.count(F.lit(1)).alias("cnt")]
     if has(df, "total_amount"):
-        measures.append(total("total_amount").cast("double").alias("revenue"))
+        measures.append(total("total_amount").alias("revenue"))
     elif by == "revenue":
         require(df, "total_amount")
     return (
@@ -71,7 +67,7 @@ def payment_mix(df: DataFrame) -> DataFrame:
     require(df, "payment_method")
     measures = [F.count(F.lit(1)).alias("cnt")]
     if has(df, "total_amount"):
-        measures.append(total("total_amount").cast("double").alias("revenue"))
+        measures.append(total("total_amount").alias("revenue"))
     return df.groupBy("payment_method").agg(*measures).orderBy(F.desc("cnt"), "payment_method")
 
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retail_insight.functions.measures import EXACT, percent
+from retail_insight.functions.measures import exact_part, large_part, percent, whole
 from retail_insight.operators.histogram import histogram, valid_ages
 from retail_insight.operators.series import moving_average
 from retail_insight.schema import has
@@ -26,8 +26,18 @@ MEASURES = ("total_amount", "returns", "churn")
 KPI_COLUMNS = (COUNTED, "product_category", *MEASURES)
 
 
-def _value(measure: str) -> Column:
-    return F.col(measure).cast(EXACT) if measure == "total_amount" else F.col(measure)
+def _sums(measure: str) -> dict[str, Column]:
+    """The parts of a measure's sum by name; amounts have an exact and a large one."""
+    if measure != "total_amount":
+        return {f"{measure}_sum": F.sum(measure)}
+    return {f"{measure}_sum": F.sum(exact_part(measure)), f"{measure}_large": F.sum(large_part(measure))}
+
+
+def with_mean_revenue(daily: DataFrame) -> DataFrame:
+    """Days in order with revenue, orders and the 7-row trailing mean, from the parts of the sums."""
+    moved = moving_average(daily, "exact", "purchase_date", rows=7, name="rev_ma7", large="large")
+    revenue = whole(F.col("exact"), F.col("large")).alias("revenue")
+    return moved.select("purchase_date", revenue, "orders", "rev_ma7").orderBy("purchase_date")
 
 
 def overview_states(df: DataFrame) -> DataFrame:
@@ -40,7 +50,8 @@ def overview_states(df: DataFrame) -> DataFrame:
     """
     keys = [c for c in (*KEPT, COUNTED) if has(df, c)]
     measures = [c for c in MEASURES if has(df, c)]
-    sums = [F.sum(_value(c)).alias(f"{c}_sum") for c in measures]
+    parts = {name: column for c in measures for name, column in _sums(c).items()}
+    sums = [column.alias(name) for name, column in parts.items()]
     counts = [F.count(c).alias(f"{c}_n") for c in measures]
     n = F.count(F.lit(1)).alias("n")
     if not keys:
@@ -56,7 +67,7 @@ def overview_states(df: DataFrame) -> DataFrame:
     known = F.coalesce(*[F.col(c).cast("string") for c in keys]).isNotNull()
     return split.groupBy("breakdown", *kept).agg(
         F.sum(known.cast("long")).alias("groups"),
-        *[F.sum(c).alias(c) for c in ("n", *[f"{m}_sum" for m in measures], *[f"{m}_n" for m in measures])],
+        *[F.sum(c).alias(c) for c in ("n", *parts, *[f"{m}_n" for m in measures])],
     )
 
 
@@ -79,8 +90,8 @@ class Overview:
         return F.sum(column if first is None else F.when(F.col("breakdown") == first, F.col(column)))
 
     def _measures(self, count: str = "cnt") -> list[Column]:
-        revenue = [F.col("total_amount_sum").cast("double").alias("revenue")] if "total_amount" in self.columns else []
-        return [F.col("n").alias(count), *revenue]
+        revenue = whole(F.col("total_amount_sum"), F.col("total_amount_large")) if "total_amount" in self.columns else None
+        return [F.col("n").alias(count), *([] if revenue is None else [revenue.alias("revenue")])]
 
     def summary(self) -> DataFrame:
         """Row count, column count and column names, as one row."""
@@ -97,7 +108,7 @@ class Overview:
         figures = {
             COUNTED: ("customers", lambda: values(COUNTED)),
             "product_category": ("categories", lambda: values("product_category")),
-            "total_amount": ("revenue", lambda: self._total("total_amount_sum").cast("double")),
+            "total_amount": ("revenue", lambda: whole(self._total("total_amount_sum"), self._total("total_amount_large"))),
             "returns": ("return_rate_pct", lambda: rate("returns")),
             "churn": ("churn_rate_pct", lambda: rate("churn")),
         }
@@ -109,9 +120,8 @@ class Overview:
     def daily_sales(self) -> DataFrame:
         """Revenue, order count and 7-row trailing mean revenue per day on record."""
         days = self._by("purchase_date", "total_amount").where(F.col("purchase_date").isNotNull())
-        daily = days.select("purchase_date", F.col("total_amount_sum").alias("revenue"), F.col("n").alias("orders"))
-        moved = moving_average(daily, "revenue", "purchase_date", rows=7, name="rev_ma7")
-        return moved.withColumn("revenue", F.col("revenue").cast("double")).orderBy("purchase_date")
+        parts = [F.col("total_amount_sum").alias("exact"), F.col("total_amount_large").alias("large")]
+        return with_mean_revenue(days.select("purchase_date", *parts, F.col("n").alias("orders")))
 
     def top_categories(self, by: str = "cnt", n: int = 10) -> DataFrame:
         """The ``n`` largest categories by ``cnt`` or ``revenue``, ties by name."""

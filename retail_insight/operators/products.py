@@ -37,7 +37,7 @@ def product_profile(df: DataFrame) -> DataFrame:
         .agg(
             average("product_price").alias("avg_price"),
             average("quantity").alias("avg_quantity"),
-            total("total_amount").cast("double").alias("total_revenue"),
+            total("total_amount").alias("total_revenue"),
             average("returns").alias("avg_returns_rate"),
         )
         .na.drop()

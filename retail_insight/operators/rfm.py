@@ -21,7 +21,7 @@ def rfm(df: DataFrame, drop_null_ts: bool = True) -> DataFrame:
     per_customer = base.groupBy("customer_id").agg(
         F.max("purchase_ts").alias("last_purchase"),
         F.count(F.lit(1)).alias("frequency"),
-        total("total_amount").cast("double").alias("monetary"),
+        total("total_amount").alias("monetary"),
     )
     # The newest purchase overall is the newest of the customers' last ones.
     # Carrying all three columns keeps the subquery's shuffle identical to the

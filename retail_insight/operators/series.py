@@ -8,23 +8,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from retail_insight.functions.clean import month_start
-from retail_insight.functions.measures import total
+from retail_insight.functions.measures import total, whole
 from retail_insight.schema import require
 
 
 def moving_average(
-    df: DataFrame, value: str, order: str, rows: int = 7, name: str = "moving_avg", by: Sequence[str] = ()
+    df: DataFrame,
+    value: str,
+    order: str,
+    rows: int = 7,
+    name: str = "moving_avg",
+    by: Sequence[str] = (),
+    large: str | None = None,
 ) -> DataFrame:
     """Mean of the last ``rows`` rows on record; nulls are skipped.
 
+    ``large`` names a second part of the value, to be added to the first.
     Meant for aggregates with one row per date. Without ``by`` the window sorts
     in one task, which the calendar bounds: at most 366 rows per year, whatever
     the size of the purchases behind them.
     """
     frame = Window.partitionBy(*by).orderBy(order).rowsBetween(1 - rows, Window.currentRow)
-    return df.withColumn(
-        name, F.sum(value).over(frame).cast("double") / F.count(value).over(frame)
-    )
+    added, known = F.sum(value).over(frame).cast("double"), F.col(value)
+    if large:
+        added = whole(F.sum(value).over(frame), F.sum(large).over(frame))
+        known = whole(F.col(value), F.col(large))
+    return df.withColumn(name, added / F.count(known).over(frame))
 
 
 def monthly_revenue(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -33,7 +42,7 @@ def monthly_revenue(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return (
         df.where(F.col("purchase_ts").isNotNull())
         .groupBy(*by, month_start(F.col("purchase_ts")).alias("month"))
-        .agg(total("total_amount").cast("double").alias("revenue"))
+        .agg(total("total_amount").alias("revenue"))
         .orderBy(*by, "month")
     )
 

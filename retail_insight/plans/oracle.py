@@ -559,3 +559,28 @@ FROM facts WHERE purchase_date IS NOT NULL GROUP BY purchase_date""",
         _long("age_histogram", "bin", ("n",), ORACLE["age_histogram"]),
     )
 )
+
+# Amounts that no decimal holds are summed as doubles beside the others.
+OUTSIZED = f"""{FACTS}, outsized AS (
+  SELECT * EXCLUDE (total_amount), CASE WHEN large IS NULL THEN CAST(total_amount AS DECIMAL(28,6)) END AS small, large
+  FROM (SELECT *, CASE WHEN customer_id % 50 = 7 AND day(purchase_date) = 3 THEN CAST('1.2676506002282294e30' AS DOUBLE) END AS large
+        FROM facts))"""
+BOTH = "coalesce(CAST(sum(small) AS DOUBLE) + sum(large), CAST(sum(small) AS DOUBLE), sum(large))"
+ORACLE |= {
+    "kpis_outsized": f"""WITH {OUTSIZED}
+SELECT count(DISTINCT customer_id) AS customers, count(DISTINCT product_category) AS categories, {BOTH} AS revenue,
+       round(coalesce(avg(returns), 0) * 100, 2) AS return_rate_pct,
+       round(coalesce(avg(churn), 0) * 100, 2) AS churn_rate_pct FROM outsized""",
+    "daily_sales_outsized": f"""WITH {OUTSIZED}, daily AS (
+  SELECT purchase_date, sum(small) AS small, sum(large) AS large, count(*) AS orders
+  FROM outsized WHERE purchase_date IS NOT NULL GROUP BY purchase_date)
+SELECT purchase_date, coalesce(CAST(small AS DOUBLE) + large, CAST(small AS DOUBLE), large) AS revenue, orders,
+       coalesce(CAST(sum(small) OVER w AS DOUBLE) + sum(large) OVER w, CAST(sum(small) OVER w AS DOUBLE), sum(large) OVER w)
+           / count(coalesce(CAST(small AS DOUBLE), large)) OVER w AS rev_ma7
+FROM daily WINDOW w AS (ORDER BY purchase_date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""",
+    "rfm_outsized": f"""WITH {OUTSIZED}
+SELECT customer_id,
+       CAST(date_diff('day', CAST(max(purchase_ts) AS DATE), (SELECT CAST(max(purchase_ts) AS DATE) FROM facts)) AS INT) AS recency_days,
+       count(*) AS frequency, {BOTH} AS monetary
+FROM outsized GROUP BY customer_id""",
+}

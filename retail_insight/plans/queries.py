@@ -346,6 +346,25 @@ def kpis_cleaned(spark, d):
     return ov.kpis(_cleaned(spark, d))
 
 
+def _outsized(spark: SparkSession, d: str) -> DataFrame:
+    """Purchases of which some have an amount that no decimal holds, as a damaged export gives them."""
+    damaged = clean.clean_money(F.lit("1.2676506002282294e30"))
+    hit = (F.col("customer_id") % 50 == 7) & (F.dayofmonth("purchase_date") == 3)
+    return facts(spark, d).withColumn("total_amount", F.when(hit, damaged).otherwise(F.col("total_amount").cast("double")))
+
+
+def kpis_outsized(spark, d):
+    return ov.kpis(_outsized(spark, d))
+
+
+def daily_sales_outsized(spark, d):
+    return ov.daily_sales(_outsized(spark, d))
+
+
+def rfm_outsized(spark, d):
+    return rfm(_outsized(spark, d))
+
+
 def daily_sales_cleaned(spark, d):
     return ov.daily_sales(_cleaned(spark, d))
 
@@ -740,6 +759,9 @@ QUERIES: dict[str, Query] = {
     "product_nearest_centre_given_k": product_nearest_centre_given_k,
     "product_k_choice": product_k_choice,
     "overview_one_scan": overview_one_scan,
+    "kpis_outsized": kpis_outsized,
+    "daily_sales_outsized": daily_sales_outsized,
+    "rfm_outsized": rfm_outsized,
     "kpis_cleaned": kpis_cleaned,
     "daily_sales_cleaned": daily_sales_cleaned,
     "customer_profiles": customer_profiles,

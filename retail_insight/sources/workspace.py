@@ -45,10 +45,13 @@ def stage_by(df: DataFrame, column: str, buckets: int, label: str = "bucketed")
     """Like ``stage``, in buckets by a column: joins on it need not shuffle these rows again.
 
     There are at least as many buckets as shuffle partitions; with fewer, the
-    planner would shuffle the bucketed side too.
+    planner would shuffle the bucketed side too. There are at most as many as
+    the session allows (``spark.sql.sources.bucketing.maxBuckets``): beyond
+    that a bucket grows with the data, and the session may allow more.
     """
     spark = df.sparkSession
     buckets = max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = min(buckets, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
     path = new_path(spark, label)
     name = f"{label}_{uuid.uuid4().hex}".replace("-", "_")
     _tables.append(name)
