@@ -22,6 +22,7 @@ HEADER_NAMES = {
     "Churn": "churn",
 }
 
+# The canonical columns of the table, the inputs of its reports and what they derive.
 UNKNOWN = "unknown"
 CATEGORICAL = ("gender", "product_category", "payment_method")
 
