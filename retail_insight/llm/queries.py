@@ -236,6 +236,79 @@ ORACLE = {
                folded_root = root AS verified
         FROM leaves JOIN trees USING (tree) JOIN ends USING (r) LEFT JOIN proofs USING (r), whole
     """,
+    # By dynamic programming: of all ways to a turn and a last role, the cheapest, of those the first by letters.
+    "op13_conversation_repair": r"""
+        WITH RECURSIVE crc AS (
+            SELECT list_transform(range(256), lambda i: list_reduce(range(8),
+                       lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+        told AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   xor(list_reduce(list_transform(string_split(
+                       coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+                       lambda x: CAST(ord(x) AS BIGINT)),
+                       lambda c, b: xor(c >> 8, t[CAST((xor(c, b) & 255) + 1 AS INT)]), CAST(4294967295 AS BIGINT)),
+                       4294967295) % 20 AS fate
+            FROM conversations, crc),
+        damaged AS (
+            SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+                   CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                   unnest(CASE WHEN fate = 3 THEN [1, 2] ELSE [1] END) AS copy
+            FROM told WHERE fate <> 0),
+        placed AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
+                   row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again
+            FROM damaged),
+        marked AS (
+            SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN again THEN 2
+                           WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault,
+                   lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair
+            FROM placed),
+        figures AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                   count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+                   count(*) FILTER (fault = 3) AS truncated,
+                   count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+            FROM marked GROUP BY conv_id),
+        added AS (
+            SELECT * FROM (VALUES
+                ('', '', '', CAST([] AS VARCHAR[])), ('s', 's', '', []), ('u', 'u', '', []), ('a', 'a', '', []),
+                ('', 'u', 'I', ['user:']), ('s', 'u', 'I', ['user:']), ('a', 'u', 'I', ['user:']),
+                ('u', 'a', 'I', ['assistant:']),
+                ('', 'a', 'II', ['user:', 'assistant:']), ('s', 'a', 'II', ['user:', 'assistant:'])
+            ) x(state, now, inserts, shown)),
+        best AS (
+            SELECT conv_id, CAST(0 AS BIGINT) AS i, '' AS state,
+                   {'cost': 0, 'audit': '', 'turns': CAST([] AS VARCHAR[])} AS way
+            FROM figures
+            UNION ALL
+            SELECT conv_id, i, state, min(way)
+            FROM (
+                SELECT conv_id, i, CASE letter WHEN 'D' THEN now WHEN 'K' THEN left(role, 1) ELSE left(put, 1) END AS state,
+                       {'cost': way.cost + 3 * len(inserts) + CASE letter WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END
+                                + CASE WHEN letter <> 'D' AND fault = 3 THEN 3 ELSE 0 END,
+                        'audit': way.audit || inserts || letter,
+                        'turns': way.turns || shown || CASE letter WHEN 'D' THEN CAST([] AS VARCHAR[])
+                                 WHEN 'K' THEN [role || ':' || text] ELSE [put || ':' || text] END} AS way
+                FROM (
+                    SELECT m.conv_id, m.i, m.role, m.text, m.fault, b.way, now, inserts, shown, unnest(['D', 'K', 'R']) AS letter,
+                           CASE WHEN now = 'u' THEN 'assistant' ELSE 'user' END AS put
+                    FROM best b JOIN added USING (state)
+                    JOIN marked m ON m.conv_id IS NOT DISTINCT FROM b.conv_id AND m.i = b.i + 1)
+                WHERE letter = 'D' OR fault IN (0, 3) AND (letter = 'R'
+                      OR role <> '' AND now || left(role, 1) IN ('s', 'u', 'su', 'ua', 'au')))
+            GROUP BY conv_id, i, state),
+        ends AS (
+            SELECT b.conv_id, min({'cost': way.cost + 3 * len(inserts), 'audit': way.audit || inserts, 'turns': way.turns || shown}) AS way
+            FROM best b JOIN figures f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.n = b.i JOIN added USING (state)
+            WHERE now IN ('', 'a') GROUP BY b.conv_id)
+        SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+               coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               CAST(coalesce(way.cost, 0) AS BIGINT) AS cost, coalesce(way.audit, '') AS audit,
+               sha256(coalesce(array_to_string(way.turns, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) c
+        LEFT JOIN figures f ON f.conv_id IS NOT DISTINCT FROM c.conv_id
+        LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+    """,
     "op7_exact_topk": """
         WITH vectors AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
