@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retail_insight.operators.quantiles import trimmed_counts
@@ -80,6 +80,50 @@ def histogram(
     )
 
 
+def _cell(x: Column, edges: Column, bins: int) -> Column:
+    """The bin of a value between the first and last of equally spaced edges, by the edges themselves."""
+    guess = F.floor((x - edges[0]) * bins / (edges[bins] - edges[0])).cast("int")
+    guess = F.greatest(F.lit(0), F.least(guess, F.lit(bins - 1)))
+    above = (guess < bins - 1) & (x >= F.get(edges, guess + 1))
+    return guess + F.when(above, 1).when(x < F.get(edges, guess), -1).otherwise(0)
+
+
+def grid(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
+    """``x_bin``, ``y_bin``, their centres and ``n`` for every cell of an equal-width grid that has rows.
+
+    The form of a scatter that a chart can draw, whatever the number of rows:
+    at most ``bins`` squared cells, and every row with both values is in one.
+    Edges and the closed last bin are as in ``histogram``; a column of one
+    repeated value gets a range of width one around it.
+    """
+    if bins < 1:
+        raise ValueError("bins must be at least 1")
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
+        F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")
+    )
+    bounds = []
+    for c in ("x", "y"):
+        low, high = F.min(c), F.max(c)
+        pad = F.when(low == high, 0.5).otherwise(0.0)
+        bounds += [(low - pad).alias(f"{c}_low"), (high + pad).alias(f"{c}_high")]
+    edges = F.struct(
+        *[
+            F.expr(
+                f"transform(sequence(0, {bins}), i -> IF(i = {bins}, {c}_high, {c}_low + i * (({c}_high - {c}_low) / {bins})))"
+            ).alias(c)
+            for c in ("x", "y")
+        ]
+    )
+    placed = both.withColumn("edges", both.agg(*bounds).select(edges).scalar())
+    cells = placed.groupBy(
+        *[_cell(F.col(c), F.col(f"edges.{c}"), bins).alias(f"{c}_bin") for c in ("x", "y")]
+    ).agg(F.count(F.lit(1)).alias("n"), F.first("edges").alias("edges"))
+    centre = lambda c: (F.get(F.col(f"edges.{c}"), F.col(f"{c}_bin")) + F.get(F.col(f"edges.{c}"), F.col(f"{c}_bin") + 1)) / 2
+    return cells.select(
+        "x_bin", "y_bin", centre("x").alias("x_center"), centre("y").alias("y_center"), "n"
+    ).orderBy("x_bin", "y_bin")
+
+
 def age_histogram(df: DataFrame, column: str = "customer_age") -> DataFrame:
     """Automatic-width histogram of the plausible ages, one count per purchase.
 

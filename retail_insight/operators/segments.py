@@ -150,7 +150,7 @@ def segment_detail(assigned: DataFrame, n: int = DETAIL_ROWS) -> DataFrame:
 def scatter(assigned: DataFrame) -> DataFrame:
     """Every customer's metrics for a chart, cluster id as text for colouring.
 
-    A chart that cannot show them all takes ``hash_sample`` or a grid of counts.
+    A chart that cannot show them all takes ``hash_sample`` or ``histogram.grid``.
     """
     return assigned.select(
         *RFM_METRICS, F.col("prediction").cast("string").alias("prediction")

@@ -584,3 +584,18 @@ SELECT customer_id,
        count(*) AS frequency, {BOTH} AS monetary
 FROM outsized GROUP BY customer_id""",
 }
+
+ORACLE["rfm_grid"] = f"""WITH {FACTS}, {RFM}, bounds AS (
+  SELECT min(CAST(recency_days AS DOUBLE)) AS x0, max(CAST(recency_days AS DOUBLE)) AS x1, min(monetary) AS y0, max(monetary) AS y1
+  FROM rfm),
+edges AS (
+  SELECT list_transform(range(21), lambda i: CASE WHEN i = 20 THEN x1 ELSE x0 + i * ((x1 - x0) / 20) END) AS xs,
+         list_transform(range(21), lambda i: CASE WHEN i = 20 THEN y1 ELSE y0 + i * ((y1 - y0) / 20) END) AS ys
+  FROM bounds),
+placed AS (
+  SELECT CAST(least(len(list_filter(xs[2:], lambda e: e <= recency_days)), 19) AS INT) AS x_bin,
+         CAST(least(len(list_filter(ys[2:], lambda e: e <= monetary)), 19) AS INT) AS y_bin, xs, ys
+  FROM rfm, edges)
+SELECT x_bin, y_bin, round((any_value(xs)[x_bin + 1] + any_value(xs)[x_bin + 2]) / 2, 6) AS x_center,
+       round((any_value(ys)[y_bin + 1] + any_value(ys)[y_bin + 2]) / 2, 6) AS y_center, count(*) AS n
+FROM placed GROUP BY x_bin, y_bin"""

@@ -16,7 +16,7 @@ from retail_insight.operators import recommend as rec
 from retail_insight.operators import segments as seg
 from retail_insight.operators.churn import derive_churn
 from retail_insight.operators.clustering import scale_features, silhouette
-from retail_insight.operators.histogram import age_histogram, histogram, rfm_distribution
+from retail_insight.operators.histogram import age_histogram, grid, histogram, rfm_distribution
 from retail_insight.operators.quantiles import describe_metrics, exact_quantiles
 from retail_insight.operators.rfm import rfm
 from retail_insight.operators.sampling import cluster_examples, hash_sample
@@ -353,6 +353,11 @@ def _outsized(spark: SparkSession, d: str) -> DataFrame:
     return facts(spark, d).withColumn("total_amount", F.when(hit, damaged).otherwise(F.col("total_amount").cast("double")))
 
 
+def rfm_grid(spark, d):
+    """Customers by recency and monetary value, counted in a grid that a chart can draw."""
+    return _rounded(grid(_dated_rfm(spark, d), "recency_days", "monetary", 20), 6, "x_center", "y_center")
+
+
 def kpis_outsized(spark, d):
     return ov.kpis(_outsized(spark, d))
 
@@ -759,6 +764,7 @@ QUERIES: dict[str, Query] = {
     "product_nearest_centre_given_k": product_nearest_centre_given_k,
     "product_k_choice": product_k_choice,
     "overview_one_scan": overview_one_scan,
+    "rfm_grid": rfm_grid,
     "kpis_outsized": kpis_outsized,
     "daily_sales_outsized": daily_sales_outsized,
     "rfm_outsized": rfm_outsized,
