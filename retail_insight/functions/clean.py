@@ -65,44 +65,37 @@ def normalize_ts_text(value: Column) -> Column:
     return F.regexp_replace(text, r"(?:T|Z$|[\s\u00A0\u2007\u202F])+", " ")
 
 
-# Shape and format of each layout for whole-text parsing, in the
-# order they are tried. Text that could be either reads month first. The shapes
-# keep rows away from formats that cannot fit, because every failed parse costs
-# an exception inside the JVM.
+# The layouts that are read as whole texts. All those with a clock
+# of 24 hours and a full year are one pattern, whose groups put in order are an
+# ISO time: that is read without a formatter, and a day that does not exist costs
+# no exception. Text that could be either reads month first. A distance from UTC
+# after an ISO time is dropped; the time on the clock is kept.
 MONTH, DAY = r"(?:0?[1-9]|1[0-2])", r"\d{1,2}"
-MONTH_FIRST, DAY_FIRST = rf"{MONTH}/{DAY}/\d{{4}}", rf"{DAY}/{MONTH}/\d{{4}}"
-STRICT_FORMATS = (
-    (rf"^{MONTH_FIRST} \d{{1,2}}:\d\d [AaPp][Mm]$", "M/d/yyyy h:mm a"),
-    (rf"^{MONTH_FIRST} \d{{1,2}}:\d\d:\d\d [AaPp][Mm]$", "M/d/yyyy h:mm:ss a"),
-    (rf"^{MONTH_FIRST} \d{{1,2}}:\d\d$", "M/d/yyyy H:mm"),
-    (rf"^{MONTH_FIRST} \d{{1,2}}:\d\d:\d\d$", "M/d/yyyy H:mm:ss"),
-    (rf"^{DAY_FIRST} \d{{1,2}}:\d\d$", "d/M/yyyy H:mm"),
-    (rf"^{DAY_FIRST} \d{{1,2}}:\d\d:\d\d$", "d/M/yyyy H:mm:ss"),
-    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d\d:\d\d$", "yyyy-M-d H:mm:ss"),
-    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d\d:\d\d\.\d{1,9}$", "yyyy-M-d H:mm:ss.SSSSSSSSS"),
-    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d\d$", "yyyy-M-d H:mm"),
-    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
-    (r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d\d:\d\d$", "yyyy/M/d H:mm:ss"),
-    (r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d\d$", "yyyy/M/d H:mm"),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
-    (rf"^{MONTH_FIRST}$", "M/d/yyyy"),
-    (rf"^{DAY_FIRST}$", "d/M/yyyy"),
-    (rf"^{MONTH}/{DAY}/\d\d \d{{1,2}}:\d\d$", "M/d/yy H:mm"),
-    (rf"^{MONTH}/{DAY}/\d\d$", "M/d/yy"),
+CLOCK = r" \d{1,2}:\d\d(?::\d\d)?"
+OFFSET = r" ?(?:[+-]\d\d:?\d\d|UTC|GMT)"
+WHOLE_LAYOUTS = (
+    rf"(?s)\A(?:(?:({MONTH})/({DAY})|({DAY})/({MONTH}))/(\d{{4}})({CLOCK})?"
+    rf"|(\d{{4}})-({DAY})-({DAY})(?:( \d{{1,2}}:\d\d(?::\d\d(?:\.\d{{1,9}})?)?)(?:{OFFSET})?)?"
+    rf"|(\d{{4}})/({DAY})/({DAY})({CLOCK})?"
+    r"|.*)\z"
+)
+WHOLE_ORDER = "$5$7$11-$1$4$8$12-$2$3$9$13$6$10$14"
+# Shape and format of the two layouts that need a formatter, clocks of
+# 12 hours and years of two digits.
+FORMATTED_LAYOUTS = (
+    (rf"\A{MONTH}/{DAY}/\d{{4}}{CLOCK} [AaPp][Mm]\z", "M/d/yyyy h:mm[:ss] a"),
+    (rf"\A{MONTH}/{DAY}/\d\d(?: \d{{1,2}}:\d\d)?\z", "M/d/yy[ H:mm]"),
 )
-# Fixed value: a distance from UTC after an ISO time; the time on the clock is kept.
-OFFSET = r" ?(?:[+-]\d\d:?\d\d|UTC|GMT)$"
 
-# The leading part that is read and its format, when text after a
-# readable start is to be ignored.
+# What a date at the start of a longer text looks like, its parts of
+# any width with the time as far as it is one, and their format once in order.
+DATE_AT_START = r"\A\d+(?:/\d+/|-\d+-)\d"
 LONG_MONTH = r"0*(?:[1-9]|1[0-2])"
-PREFIX_FORMATS = (
-    (rf"^({LONG_MONTH}/\d+/\d+ \d+:\d+)", "M/d/y H:m"),
-    (rf"^(\d+/{LONG_MONTH}/\d+ \d+:\d+)", "d/M/y H:m"),
-    (r"^(\d+-\d+-\d+)", "y-M-d"),
-    (rf"^({LONG_MONTH}/\d+/\d+)", "M/d/y"),
-    (rf"^(\d+/{LONG_MONTH}/\d+)", "d/M/y"),
+LEADING_LAYOUTS = (
+    rf"(?s)\A(?:(?:({LONG_MONTH})/(\d+)|(\d+)/({LONG_MONTH}))/(\d+)"
+    r"( 0*(?:1?\d|2[0-3]):0*[0-5]?\d(?!\d))?|(\d+)-(\d+)-(\d+)).*\z"
 )
+LEADING_ORDER, LEADING_FORMAT = "$5$7-$1$4$8-$2$3$9$6", "y-M-d[ H:m]"
 
 
 PATTERN_PARTS = re.compile(r"'(?P<quoted>[^']*)'|(?P<run>(?P<letter>[A-Za-z])(?P=letter)*)|(?P<other>.)")
@@ -144,26 +137,25 @@ def parse_event_time(text: Column, user_fmt: str | None = None, mode: str = "str
     layout fits the whole text reads the longest known leading part, which is
     what lenient date parsers do. A user format is tried first.
 
-    ``text`` appears in every try, so it should be a column that already holds
-    ``trim(normalize_ts_text(...))`` and not that expression.
+    Most texts cost one pattern and one parse: the layouts are one pattern that
+    puts the parts of a text in ISO order. ``text`` appears in every try, so it
+    should be a column that already holds ``trim(normalize_ts_text(...))`` and not
+    that expression.
     """
     if mode not in ("strict", "prefix"):
         raise ValueError(f"mode must be 'strict' or 'prefix', not {mode!r}")
     shape = _shape_of(user_fmt) if user_fmt else None
-    tries = [_read_shape(text, s, fmt, 0) for s, fmt in STRICT_FORMATS]
-    tries += [
-        _read_shape(text, f"^({s[1:-1]}){OFFSET}", fmt, 1)
-        for s, fmt in STRICT_FORMATS
-        if fmt.startswith("yyyy-") and "H" in fmt
-    ]
+    tries = [F.try_to_timestamp(F.regexp_replace(text, WHOLE_LAYOUTS, WHOLE_ORDER))]
+    tries += [_read_shape(text, s, fmt, 0) for s, fmt in FORMATTED_LAYOUTS]
     if shape:
         tries.insert(0, _read_shape(text, f"^{shape}$", user_fmt, 0))
+    elif user_fmt:
+        tries.insert(0, F.try_to_timestamp(text, F.lit(user_fmt)))
     if mode == "prefix":
         if shape:
             tries.append(_read_shape(text, f"^({shape})", _loosened(user_fmt), 1))
-        tries += [_read_shape(text, s, fmt, 1) for s, fmt in PREFIX_FORMATS]
-    if user_fmt and not shape:
-        tries.insert(0, F.try_to_timestamp(text, F.lit(user_fmt)))
+        leading = F.regexp_replace(text, LEADING_LAYOUTS, LEADING_ORDER)
+        tries.append(F.when(text.rlike(DATE_AT_START), F.try_to_timestamp(leading, F.lit(LEADING_FORMAT))))
     return F.coalesce(*tries)
 
 

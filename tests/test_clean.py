@@ -121,6 +121,25 @@ def test_timestamps(spark, mode):
     assert parse(spark, list(STAMPS), mode=mode) == expected
 
 
+@pytest.mark.parametrize("mode", ["strict", "prefix"])
+def test_texts_that_are_no_dates_of_a_known_layout(spark, mode):
+    """What a plain cast would read, and texts that only look like a layout."""
+    texts = ["2020", "2020-09", "now", "epoch", "12:30", "9:38 pm", "--", "T", "13/5/20", "0/5/2020", "9/8"]
+    assert parse(spark, texts, mode=mode)[:8] == [None] * 8
+    assert parse(spark, texts, mode="strict") == [None] * len(texts)
+
+
+def test_clock_that_the_time_zone_skips(spark):
+    """A time lost to summer time moves on by an hour, in every layout alike."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        texts = ["3/8/2020 2:30", "3/8/2020 2:30 AM", "2020-03-08T02:30:00Z", "3/8/20 2:30"]
+        assert parse(spark, texts) == [dt.datetime(2020, 3, 8, 3, 30)] * 4
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_unknown_mode():
     with pytest.raises(ValueError, match="mode"):
         clean.parse_event_time(F.lit("x"), mode="loose")
