@@ -12,6 +12,7 @@ from retail_insight.functions.measures import null_ratio
 from retail_insight.operators.churn import derive_churn
 from retail_insight.schema import CATEGORICAL, has, require
 from retail_insight.sources.tables import read_raw, write_purchases
+from retail_insight.sources.versions import publish, replace_days
 from retail_insight.sources.workspace import stage
 
 # Share of unknown churn above which it is derived, and share of
@@ -110,3 +111,22 @@ def run_etl(
     """CSV export at ``src`` to the purchase table at ``dst``; returns ``dst``."""
     write_purchases(etl(read_raw(spark, src), ts_format, mode, parens_negative), dst)
     return dst
+
+
+def reload_etl(
+    spark: SparkSession,
+    src: str,
+    dst: str,
+    ts_format: str | None = None,
+    mode: str = "strict",
+    parens_negative: bool = False,
+    days_only: bool = False,
+) -> int:
+    """CSV export at ``src`` into the versioned table at ``dst``, which stays readable; returns the version.
+
+    With ``days_only`` the export replaces the days that it has rows of, and the
+    rest of the table stays. Unknown churn is derived from the export alone, so
+    an export of some days should bring its own.
+    """
+    df = etl(read_raw(spark, src), ts_format, mode, parens_negative)
+    return (replace_days if days_only else publish)(df, dst).number

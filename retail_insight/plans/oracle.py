@@ -26,6 +26,14 @@ FACTS = """facts AS (
   JOIN customer c ON o.o_custkey = c.c_custkey
   JOIN part p ON l.l_partkey = p.p_partkey)"""
 
+# Facts of which the days of March 1997 came a second time, in part and at twice the amount.
+RELOADED = f"""{FACTS}, march AS (
+  SELECT purchase_date, 2 * total_amount AS total_amount, returns FROM facts
+  WHERE purchase_date BETWEEN DATE '1997-03-01' AND DATE '1997-03-31' AND quantity > 10),
+reloaded AS (
+  SELECT purchase_date, total_amount, returns FROM facts
+  WHERE purchase_date NOT IN (SELECT purchase_date FROM march) UNION ALL SELECT * FROM march)"""
+
 DATE_TEXT = """CASE o_orderkey % 7
          WHEN 0 THEN strftime(t, '%-m/%-d/%Y %-H:%M')
          WHEN 1 THEN strftime(t, '%-m/%-d/%Y %-I:%M %p')
@@ -365,6 +373,13 @@ SELECT customer_id, coalesce(gender, 'unknown') AS gender,
 SELECT purchase_date, count(*) AS orders, CAST(sum(total_amount) AS DOUBLE) AS revenue
 FROM facts WHERE purchase_date BETWEEN DATE '1997-01-01' AND DATE '1997-12-31'
 GROUP BY purchase_date""",
+    "daily_figures_kept": f"""WITH {RELOADED}, daily AS (
+  SELECT purchase_date, sum(total_amount) AS revenue, count(*) AS orders,
+         CAST(sum(returns) AS DOUBLE) / count(returns) AS return_rate
+  FROM reloaded GROUP BY purchase_date)
+SELECT purchase_date, CAST(revenue AS DOUBLE) AS revenue, orders,
+       CAST(sum(revenue) OVER w AS DOUBLE) / count(revenue) OVER w AS rev_ma7, return_rate
+FROM daily WINDOW w AS (ORDER BY purchase_date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""",
     "derive_churn": f"""WITH {FACTS}, last AS (
   SELECT customer_id, max(purchase_date) AS last_date FROM facts GROUP BY customer_id)
 SELECT customer_id, purchase_date, product_category,

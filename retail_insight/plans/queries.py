@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from retail_insight.functions import clean
+from retail_insight.operators import daily_states as ds
 from retail_insight.operators import overview as ov
 from retail_insight.operators import products as pr
 from retail_insight.operators import recommend as rec
 from retail_insight.operators import segments as seg
 from retail_insight.operators.churn import derive_churn
 from retail_insight.operators.clustering import scale_features, silhouette
+from retail_insight.operators.daily_states import refresh_daily_states
 from retail_insight.operators.histogram import age_histogram, grid, histogram, rfm_distribution
 from retail_insight.operators.quantiles import describe_metrics, exact_quantiles
 from retail_insight.operators.rfm import rfm
@@ -31,6 +33,7 @@ from retail_insight.sources.tables import (
     read_raw,
     write_purchases,
 )
+from retail_insight.sources.versions import publish, read_version, replace_days
 from retail_insight.sources.workspace import cut_lineage, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,6 +141,19 @@ def cached_purchases(spark, d):
     )
 
 
+def daily_figures_kept(spark, d):
+    """Daily figures kept from a first load, of which a second one, of March 1997, has the changed days computed anew."""
+    purchases, kept = new_path(spark, "versions"), new_path(spark, "daily-states")
+    every = facts(spark, d).select("purchase_date", "quantity", "total_amount", "returns")
+    publish(every, purchases)
+    refresh_daily_states(spark, purchases, kept)
+    march = every.where("purchase_date BETWEEN '1997-03-01' AND '1997-03-31' AND quantity > 10")
+    replace_days(march.withColumn("total_amount", (F.col("total_amount") * 2).cast("decimal(18,2)")), purchases)
+    refresh_daily_states(spark, purchases, kept)
+    states = read_version(spark, kept)
+    return ds.sales_of(states).join(ds.return_rate_of(states), "purchase_date")
+
+
 # --- cleaning -------------------------------------------------------------------
 
 
@@ -728,6 +744,7 @@ QUERIES: dict[str, Query] = {
     "raw_csv_scan": raw_csv_scan,
     "csv_parquet_round_trip": csv_parquet_round_trip,
     "purchases_date_range": purchases_date_range,
+    "daily_figures_kept": daily_figures_kept,
     "derive_churn": churn_from_recency,
     "rfm_all": rfm_all,
     "rfm_dated": rfm_dated,
