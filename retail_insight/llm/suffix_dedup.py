@@ -158,14 +158,15 @@ def _later_copies(chunks: DataFrame) -> DataFrame:
 
 
 def _ranges(sorted_names: np.ndarray, bits: int, ranges: int) -> Iterator[tuple[int, slice]]:
-    """The names by equal ranges of their values: range number and where its names are."""
-    edges = np.searchsorted(
-        sorted_names, np.array([(r << bits) // ranges for r in range(1, ranges)], np.uint64)
-    )
-    bounds = [0, *edges.tolist(), len(sorted_names)]
-    for r, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
-        if a < b:
-            yield r, slice(a, b)
+    """The names by equal ranges of their leading 32 bits: range number and where its names are.
+
+    Only ranges that hold names are visited, so the work is that of the names,
+    however many ranges the whole input has.
+    """
+    which = (sorted_names >> np.uint64(bits - 32)) * np.uint64(ranges) >> np.uint64(32)
+    bounds = [*np.flatnonzero(np.diff(which, prepend=np.uint64(ranges))).tolist(), len(which)]
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        yield int(which[a]), slice(a, b)
 
 
 def _flags(found: list | None, sorted_names: np.ndarray, bits: int, ranges: int) -> np.ndarray:

@@ -299,6 +299,20 @@ def test_repeated_bytes_null_and_equal_ids(spark):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in found) == cut(some)
 
 
+@pytest.mark.parametrize("bits", [32, 41, 64])
+@pytest.mark.parametrize("ranges", [1, 7, 3_000_000, 1 << 31])
+def test_names_by_range(bits, ranges):
+    """Every name in the one range of its leading bits, and ranges without names not visited."""
+    draw = random.Random(bits)
+    for n in (0, 1, 3000):
+        names = sorted({draw.randrange(1 << bits) for _ in range(n)} | ({0, (1 << bits) - 1} if n > 1 else set()))
+        found = list(suffix_dedup._ranges(np.array(names, np.uint64), bits, ranges))
+        wanted = {}
+        for name in names:
+            wanted.setdefault((name >> (bits - 32)) * ranges >> 32, []).append(name)
+        assert {r: names[part] for r, part in found} == wanted and len(found) == len(wanted)
+
+
 @pytest.mark.parametrize("modulus", suffix_dedup.COVERS)
 def test_difference_covers(modulus):
     cover = suffix_dedup.COVERS[modulus]
