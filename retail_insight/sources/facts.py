@@ -20,11 +20,12 @@ def _purchases(line: DataFrame, order: DataFrame, customer: DataFrame, part: Dat
     Customers are joined to the orders first, so the lines, by far the most
     rows, are never shuffled by customer. That also leaves a shuffle between
     this join and a grouping by customer, without which Spark could not split
-    the reducer of a hot customer (adaptive skew join).
+    the reducer of a hot customer (adaptive skew join). Parts are joined to the
+    lines before their orders, while the lines are narrow.
     """
     orders = order.join(customer, order.o_custkey == customer.c_custkey)
-    return line.join(orders, line.l_orderkey == order.o_orderkey).join(
-        part, line.l_partkey == part.p_partkey
+    return line.join(part, line.l_partkey == part.p_partkey).join(
+        orders, line.l_orderkey == order.o_orderkey
     )
 
 
@@ -135,10 +136,14 @@ EXPORT_COLUMNS = {
 }
 
 
-def _spread(df: DataFrame, scan: DataFrame) -> DataFrame:
-    """``df`` dealt to all cores where its scan is small: Spark joins small tables in one task."""
+def _dealt(scan: DataFrame) -> DataFrame:
+    """The rows dealt to all cores where they are few: Spark joins small tables in one task.
+
+    A table whose scan has a task for every core is left as it is, as so few
+    tasks would grow with the table.
+    """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if scan.rdd.getNumPartitions() <= cores else df
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def raw_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,10 +151,11 @@ def raw_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def made_on(name: str) -> DataFrame:
         source = table(spark, sf_dir, name)
+        if name == "lineitem":
+            source = _dealt(source)
         if name == "orders":
             source = source.withColumn("t", F.expr(ORDER_TIME)).withColumn("Purchase Date", F.expr(DATE_TEXT))
         return source.withColumns({c: F.expr(sql) for c, sql in EXPORT_COLUMNS[name].items()})
 
     columns = [c for made in EXPORT_COLUMNS.values() for c in made]
-    export = _purchases(*[made_on(name) for name in SOURCES]).select(*columns, "Purchase Date")
-    return _spread(export, table(spark, sf_dir, "lineitem"))
+    return _purchases(*[made_on(name) for name in SOURCES]).select(*columns, "Purchase Date")
