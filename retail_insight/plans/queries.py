@@ -97,9 +97,14 @@ def table_summary(spark, d):
     return summary.withColumn("columns", F.array_join("columns", ","))
 
 
+# A packed CSV file is read by one task, so none gets more rows than that: some 100 MB of text.
+EXPORT_FILE_ROWS = 1_000_000
+
+
 def _write_export(spark, d, path):
-    """The messy export as CSV, blanks at either end of a field kept."""
-    writer = raw_purchases(spark, d).write.option("header", True)
+    """The messy export as packed CSV, blanks at either end of a field kept."""
+    writer = raw_purchases(spark, d).write.option("header", True).option("compression", "gzip")
+    writer = writer.option("maxRecordsPerFile", EXPORT_FILE_ROWS)
     for side in ("Leading", "Trailing"):
         writer = writer.option(f"ignore{side}WhiteSpace", False)
     writer.csv(path)

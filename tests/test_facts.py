@@ -1,8 +1,12 @@
-"""The raw export and how its rows are dealt."""
+"""The raw export: how its rows are dealt, and how it is written."""
+
+from pathlib import Path
 
 import pytest
 
+from retail_insight.plans import queries
 from retail_insight.sources.facts import SOURCES, raw_purchases
+from retail_insight.sources.tables import read_raw
 
 TABLES = "/root/testdata/sf0.001"
 
@@ -35,3 +39,14 @@ def test_few_rows_are_dealt_before_they_grow_wide(spark):
     found = plan(raw_purchases(spark, TABLES))
     assert found.count("Repartition") == 1
     assert found.index("Join") < found.index("Repartition")  # children follow their parents
+
+
+def test_export_files_are_packed_and_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "EXPORT_FILE_ROWS", 300, raising=False)
+    queries._write_export(spark, TABLES, f"{tmp_path}/csv")
+    files = list(Path(f"{tmp_path}/csv").glob("part-*"))
+    assert files and all(f.name.endswith(".csv.gz") for f in files)
+    back, want = read_raw(spark, f"{tmp_path}/csv"), raw_purchases(spark, TABLES)
+    assert back.columns == want.columns
+    assert back.exceptAll(want).count() == want.exceptAll(back).count() == 0
+    assert back.groupBy("_metadata.file_path").count().agg({"count": "max"}).first()[0] <= 300
