@@ -20,6 +20,7 @@ from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,7 +37,7 @@ CACHE_WORDS = 700_000
 TOGETHER = 2_000  # words encoded in one go
 CACHED_CHARS = 64  # longer words are not remembered
 BATCH_BYTES = 4 << 20
-BATCH_CHARS = 1 << 20  # of texts encoded in one go
+BATCH_CHARS = 4 << 20  # of texts encoded in one go: the more, the fewer distinct words are looked up
 RECORD = "<qi"  # tokens with the end number, bytes of the key or -1 for null
 STOPS = frozenset(".,;:!?")
 # Up to here letters are composed already and, but for İ, have one lower case, which does not depend on others.
@@ -44,7 +45,9 @@ PLAIN = "\u0250"
 OTHER = re.compile("[^\x00-\u012f\u0131-\u024f]").search
 # How byte-level vocabularies show the bytes that are no visible character of Latin-1: by further letters, in order.
 HIDDEN = [n for n in range(256) if not (33 <= n <= 126 or 161 <= n <= 172 or 174 <= n)]
-SHOWN = {n: 256 + k for k, n in enumerate(HIDDEN) if n != 32}
+SHOWN = np.arange(256, dtype="<u2")
+SHOWN[HIDDEN] = 256 + np.arange(len(HIDDEN))
+SHOWN[32] = 32
 
 
 class WordEncoder:
@@ -77,7 +80,7 @@ class WordEncoder:
         """Numbers of words of plain letters: encoded together, cut where runs end."""
         shown = " ".join(words)
         if not shown.isascii():
-            shown = shown.encode().decode("latin-1").translate(SHOWN)
+            shown = SHOWN[np.frombuffer(shown.encode(), np.uint8)].tobytes().decode("utf-16-le")
         found = self.merges.encode_batch_fast([shown], add_special_tokens=False)[0].ids
         numbers = np.array(found, "<u2")
         places = [0, *(2 * np.flatnonzero(self.ends[numbers]) + 2).tolist()]
@@ -87,7 +90,7 @@ class WordEncoder:
     def _learn(self, words: set[str]) -> None:
         letters, others = [], []
         for w in words:
-            (letters if w.islower() and w.isalpha() and max(w) < PLAIN else others).append(w)
+            (letters if w.islower() and w.isalpha() and (w.isascii() or max(w) < PLAIN) else others).append(w)
         for k in range(0, len(letters), TOGETHER):
             run = letters[k : k + TOGETHER]
             self.known.update(zip(run, self._letters(run), strict=True))
@@ -99,12 +102,14 @@ class WordEncoder:
             return text
         return text.lower()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self._lower(text).replace("\n", " ").split(" ") for text in texts]
+    def _numbers(self, words: list[str]) -> list[bytes]:
+        """Numbers of distinct words; those not known are learned first."""
         if len(self.known) > CACHE_WORDS:
             self.known = {"": b""}
         known = self.known
-        new = [w for w in set(chain.from_iterable(split)) if w not in known]
+        found = list(map(known.get, words))
+        at = [k for k, numbers in enumerate(found) if numbers is None]
+        new = [words[k] for k in at]
         heads, stops = [], []  # of each new word, what it is without a stop, and the stop
         for w in new:
             head, stop = (w[:-1], w[-1]) if w[-1] in STOPS and w[:-1].isalpha() else (w, "")
@@ -112,12 +117,28 @@ class WordEncoder:
             stops.append(stop)
         wanted = {p for p in chain(heads, stops) if p not in known}
         self._learn(wanted)
-        for w, head, stop in zip(new, heads, stops, strict=True):
-            known[w] = known[head] + known[stop]
-        packed = [b"".join(map(known.__getitem__, words)) for words in split]
+        for k, w, head, stop in zip(at, new, heads, stops, strict=True):
+            found[k] = known[w] = known[head] + known[stop]
         for w in {w for w in chain(new, wanted) if len(w) > CACHED_CHARS}:
             del known[w]
-        return packed
+        return found
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The numbers of each text: its words as places in the list of distinct ones, whose numbers are then set out."""
+        lowered = pa.array([self._lower(text).replace("\n", " ") for text in texts], pa.large_string())
+        split = pc.split_pattern(lowered, " ")
+        words = split.values.dictionary_encode()
+        numbers = self._numbers(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        every = np.frombuffer(b"".join(numbers), "<u2")
+        sizes = np.fromiter(map(len, numbers), np.int64, len(numbers)) // 2
+        starts = np.cumsum(sizes) - sizes
+        word = words.indices.to_numpy()
+        size = sizes[word]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        places = np.repeat(starts[word] - ends[:-1], size) + np.arange(ends[-1])
+        data = every[places].tobytes()
+        cuts = (2 * ends[split.offsets.to_numpy()]).tolist()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def worker_encoder(model: str) -> WordEncoder:

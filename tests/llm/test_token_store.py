@@ -99,3 +99,25 @@ def test_crc_of_the_query(spark, library):
         want.append((i, start, len(ids) // 4, zlib.crc32(ids)))
         start += len(ids) // 4
     assert sorted(map(tuple, QUERIES["op12_token_store"](spark, sf).collect())) == want
+
+
+def test_a_distinct_word_is_looked_up_once_a_batch():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            Counted.asked += 1
+            return super().get(*key)
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        model = file.read()
+    encoder, library = token_store.WordEncoder(model), Tokenizer.from_str(model)
+    texts = ["one two. " * 500, "", "zwei  für\nfür " * 500, "two."]
+    want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    encoder.known = Counted(encoder.known)
+    assert encoder.encode(texts) == want
+    assert Counted.asked < 50
