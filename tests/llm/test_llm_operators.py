@@ -246,6 +246,24 @@ def test_extract_text_removes_repeats_of_the_host(spark):
     assert all(r.n_chars == len(r.text) for r in extract_text(frame).collect())
 
 
+def test_extract_text_checks_repeats_in_named_articles(spark):
+    text = lambda n: " ".join(f"w{n}x{k}" for k in range(12))
+    notice = "read more of our stories every day with the new app"
+    quote = "a passage that a few pages of this host quote in full length"
+
+    def page(n):
+        quoted = f"<p>{quote}</p>" if n < 4 else ""
+        return f"<article><p>{text(n)}</p>{quoted}<p>{notice}</p><p>{text(n + 100)} {notice}</p></article><footer>{text(n + 200)}</footer>"
+
+    pages = [(n, "http://a.example/", page(n)) for n in range(12)] + [(50, "http://a.example/", page(0))]
+    pages += [(20 + n, "http://b.example/", page(n)) for n in range(5)]  # too few contents to tell
+    pages += [(40, "http://a.example/", f"<div>{quote}</div><div>{text(40)}</div>")]  # names no article
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    found = {r.page_id: r.text for r in extract_text(frame).collect()}
+    want = lambda n, *more: "\n".join([text(n), *([quote] if n < 4 else []), *more, f"{text(n + 100)} {notice}"])
+    assert found == {n: want(n) for n in range(12)} | {20 + n: want(n, notice) for n in range(5)} | {40: text(40), 50: want(0)}
+
+
 def test_extract_text_keeps_copies_and_repeated_rows(spark):
     menu = "<div>home news sport weather travel money more search now</div>"
     body = lambda n: f"{menu}<p>{' '.join(f'w{n}x{k}' for k in range(12))}</p>"
