@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from retail_insight.functions.measures import recency_days
 from retail_insight.schema import has, require
+from retail_insight.sources.partitions import sized
 from retail_insight.sources.workspace import cut_lineage
 
 # A customer with more rows than one task should take is handled apart. There is
@@ -60,16 +61,13 @@ def derive_churn(
     spread = F.when(
         F.col("_hot") | F.col("customer_id").isNull(), 1 + F.spark_partition_id() % SPREAD
     ).otherwise(0)
+    partner = last.select("customer_id", "_last", F.when(F.col("_hot"), -1).otherwise(0).alias("_spread"))
+    keys = ["customer_id", "_spread"]
+    rows = activity.agg(F.sum("n_rows")).first()[0] or 0
     joined = (
         df.join(F.broadcast(hot), "customer_id", "left")
         .withColumn("_spread", spread)
-        .join(
-            last.select(
-                "customer_id", "_last", F.when(F.col("_hot"), -1).otherwise(0).alias("_spread")
-            ),
-            ["customer_id", "_spread"],
-            "left",
-        )
+        .join(sized(partner, rows, *keys), keys, "left")
     )
     days = recency_days(newest, F.coalesce("_hot_last", "_last"))
     derived = F.when(newest.isNull(), 0).otherwise((days > cutoff_days).cast("int"))

@@ -9,21 +9,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from retail_insight.sources.partitions import sized
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _purchases(line: DataFrame, order: DataFrame, customer: DataFrame, part: DataFrame) -> DataFrame:
-    """Order lines with their order, customer and part.
+def _purchases(rows: int, line: DataFrame, order: DataFrame, customer: DataFrame, part: DataFrame) -> DataFrame:
+    """Order lines, ``rows`` of them, with their order, customer and part.
 
     Customers are joined to the orders first, so the lines, by far the most
     rows, are never shuffled by customer. That also leaves a shuffle between
     this join and a grouping by customer, without which Spark could not split
     the reducer of a hot customer (adaptive skew join). Parts are joined to the
-    lines before their orders, while the lines are narrow.
+    lines before their orders, while the lines are narrow, and that join is left
+    to Spark, which splits hot parts. The join with the orders, of which none has
+    many lines, has tasks by the number of lines.
     """
-    orders = order.join(customer, order.o_custkey == customer.c_custkey)
+    orders = sized(order.join(customer, order.o_custkey == customer.c_custkey), rows, "o_orderkey")
     return line.join(part, line.l_partkey == part.p_partkey).join(
         orders, line.l_orderkey == order.o_orderkey
     )
@@ -32,6 +36,11 @@ def _purchases(line: DataFrame, order: DataFrame, customer: DataFrame, part: Dat
 SOURCES = ("lineitem", "orders", "customer", "part")
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> int:
+    """Number of order lines, now; only the footers of the files are read."""
+    return table(spark, sf_dir, "lineitem").count()
+
+
 def _money(name: str):
     return F.col(name).cast("decimal(18,2)")
 
@@ -39,7 +48,7 @@ def _money(name: str):
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order line in canonical purchase columns."""
     third, quarter = F.col("c_custkey") % 3, F.col("c_custkey") % 4
-    return _purchases(*[table(spark, sf_dir, name) for name in SOURCES]).select(
+    return _purchases(_lines(spark, sf_dir), *[table(spark, sf_dir, name) for name in SOURCES]).select(
         F.col("o_custkey").alias("customer_id"),
         F.col("c_name").alias("customer_name"),
         (F.col("c_custkey") % 110).cast("int").alias("customer_age"),
@@ -158,4 +167,4 @@ def raw_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
         return source.withColumns({c: F.expr(sql) for c, sql in EXPORT_COLUMNS[name].items()})
 
     columns = [c for made in EXPORT_COLUMNS.values() for c in made]
-    return _purchases(*[made_on(name) for name in SOURCES]).select(*columns, "Purchase Date")
+    return _purchases(_lines(spark, sf_dir), *[made_on(name) for name in SOURCES]).select(*columns, "Purchase Date")
