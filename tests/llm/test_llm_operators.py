@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -378,6 +379,37 @@ def test_top_k_of_large_vectors(spark):
         assert {tuple(r) for r in top_k(frame, **sizes).collect()} == want
 
 
+def _shuffled(plan) -> int:
+    """Bytes that the exchanges of a plan that has run were given."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return _shuffled(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return _shuffled(plan.plan())
+    own = plan.metrics().apply("dataSize").value() if name == "ShuffleExchangeExec" else 0
+    return own + sum(_shuffled(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_top_k_copies_no_blocks(spark):
+    rng = random.Random(10)
+    vectors = [(i, [rng.gauss(0, 1) for _ in range(32)]) for i in range(1600)]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    one, many = (top_k(frame, k=3, block_rows=2000, batch_queries=n) for n in (80, 2))
+    assert {tuple(r) for r in one.collect()} == {tuple(r) for r in many.collect()}
+    one, many = (_shuffled(x._jdf.queryExecution().executedPlan()) for x in (one, many))
+    assert 1600 * 32 < one and many < 1.5 * one
+
+
+def test_top_k_holds_few_wide_rows_at_once():
+    schema = pa.schema([("vec_id", pa.int64()), ("q", pa.binary()), ("v", pa.list_(pa.float64()))])
+    widths = [3] * 50 + [40] * 7 + [500] + [1] * 30 + [0] * 5
+    rows = [{"vec_id": i, "q": bytes(4 * w), "v": None} for i, w in enumerate(widths)]
+    batches = [pa.RecordBatch.from_pylist(rows[at : at + 20], schema) for at in range(0, len(rows), 20)]
+    pieces = list(topk._cut(batches, topk._sizes, 25, 100))
+    assert [i for p in pieces for i in p["vec_id"].to_pylist()] == list(range(len(widths)))
+    assert all(p.num_rows <= 25 and (p.num_rows == 1 or p.num_rows * topk._sizes(p).max() <= 100) for p in pieces)
+
+
 def test_slices_hold_large_numbers():
     rng = np.random.default_rng(3)
     values = rng.integers(-topk.LARGEST, topk.LARGEST, (200, 7))
