@@ -24,6 +24,7 @@ COMPONENTS = 1 << 22  # of one block: wider vectors make blocks of fewer rows
 READ_COMPONENTS = 1 << 20  # that are floored together
 EXACT_COMPONENTS = 1 << 18  # that are scored together beside the index, as Python integers
 EXACT_ROWS = 4_096
+EXACT_TASKS = 8  # for the rows of one block, as these take longer
 LARGEST = 1 << 24  # of an indexed component's size, with up to 1,024 components; see _largest
 SCORE_BITS = 58  # of an indexed score; leaves room for the index's own sums in 64 bits
 PLACE = ("side", "score", "beyond")  # a score of any size, see _placed
@@ -342,11 +343,12 @@ def top_k(
     found = {r["large"]: r for r in figures.collect()}
     cores = ready.sparkSession.sparkContext.defaultParallelism
 
-    def parts(large: bool) -> int:
-        """Tasks that make a side's blocks, with as much work as a full block each."""
+    def parts(large: bool, more: int = 1) -> int:
+        """Tasks that make a side's blocks, with about a full block each, or so many times more."""
         if large not in found:
             return 1
-        return int(max(found[large]["rows"] // block_rows, found[large]["components"] // COMPONENTS)) + 1
+        rows, components = found[large]["rows"], int(found[large]["components"])
+        return max(rows * more // block_rows, components * more // COMPONENTS) + 1
 
     def batches(large: bool, ranges: int) -> int:
         asked = found[large]["asked"] if large in found else 0
@@ -415,17 +417,15 @@ def top_k(
 
     indexed, others = ready.where("q IS NOT NULL"), ready.where("q IS NULL")
     ranges = parts(False) // RANGE_BLOCKS + 1
-    asking_indexed = asking(indexed, batches(False, ranges))
-    merged = met(dealt(indexed, parts(False), sliced, ranges, "index"), asking_indexed)
-    merged = merged.mapInArrow(run, "query_id long, vec_id long, score long")
+    cells = met(dealt(indexed, parts(False), sliced, ranges, "index"), asking(indexed, batches(False, ranges)))
+    merged = cells.mapInArrow(run, "query_id long, vec_id long, score long")
     if True in found:  # without any vectors beyond the index there is nothing to add
         merged = merged.select("query_id", "vec_id", F.lit(0).alias("side"), "score", F.lit(None).cast("binary").alias("beyond"))
-        tasks = max(parts(False), parts(True))
-        for index, queries in (
-            (dealt(ready, tasks, listed, tasks, "index"), asking(others, batches(True, tasks))),
-            (dealt(others, parts(True), listed, parts(True), "index"), asking(indexed, batches(False, parts(True)))),
+        for rows, queries, large, tasks in (
+            (ready, others, True, parts(False, EXACT_TASKS) + parts(True, EXACT_TASKS)),
+            (others, indexed, False, parts(True, EXACT_TASKS)),
         ):
-            cells = met(index, queries)
+            cells = met(dealt(rows, tasks, listed, tasks, "index"), asking(queries, batches(large, tasks)))
             merged = merged.unionByName(
                 cells.mapInArrow(run_exactly, "query_id long, vec_id long, side int, score long, beyond binary")
             )
