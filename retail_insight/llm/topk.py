@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 
 from retail_insight.sources.workspace import stage
 
-BLOCK_ROWS = 65_536  # candidates of one piece of the index
-BATCH_QUERIES = 512  # queries that meet a range of the index together
-RANGE_BLOCKS = 16  # blocks that a batch of queries meets in one task
+BLOCK_ROWS = 131_072  # candidates of one piece of the index
+BATCH_QUERIES = 256  # queries that meet a range of the index together
+RANGE_BLOCKS = 8  # blocks that a batch of queries meets in one task
 LEAST_QUERIES = 32  # of a batch, where smaller ones would only give each core more tasks
 TASKS_PER_CORE = 4  # wanted at least, so that cores end together
-COMPONENTS = 1 << 22  # of one block: wider vectors make blocks of fewer rows
+COMPONENTS = 1 << 23  # of one block: wider vectors make blocks of fewer rows
 READ_COMPONENTS = 1 << 20  # that are floored together
 EXACT_COMPONENTS = 1 << 18  # that are scored together beside the index, as Python integers
 EXACT_ROWS = 4_096
